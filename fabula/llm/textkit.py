@@ -139,3 +139,28 @@ def find_sorted(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
     return np.where(table[at] == keys, at, -1)
+
+
+class Lookup:
+    """Finds hashes in a small set: a bit per low 16 bits sorts out most of what is not there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `hashes` that hold a key, and the index of that key."""
+        at = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        found = find_sorted(hashes[at], self.keys)
+        return at[found >= 0], self.order[found[found >= 0]]
+
+
+def hash_of(words: list[bytes]) -> np.ndarray:
+    """The hash that `Words.hashes` gives each of these words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum([len(w) for w in words])
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    return slices(prefix(CODES[0][raw]), np.concatenate(([0], ends[:-1])), ends)
