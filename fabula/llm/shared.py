@@ -44,3 +44,24 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """`df` stored once in buckets of `key` in the warehouse: joins on `key` then move only their other side.
+
+    Where tasks times buckets would make very many files, rows are first dealt out by the key.
+    """
+    spark = df.sparkSession
+    n = tasks(spark)
+    if df.rdd.getNumPartitions() * n > 4096:
+        df = df.repartition(n, key)
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def slots(spark: SparkSession) -> list[int]:
+    """Numbers that Spark's hash deals to its shuffle partitions, one to each: rows keyed by them lie evenly."""
+    n = tasks(spark)
+    found = spark.range(0, 24 * n, 1, 1).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).agg(F.min("id").alias("slot"))
+    return [r.slot for r in found.orderBy("slot").limit(n).collect()]
