@@ -105,9 +105,9 @@ def judged(f: dict[str, np.ndarray], same_doc: bool) -> tuple[np.ndarray, np.nda
     return whole, ~whole & several[group]
 
 
-def found_rows(f: dict[str, np.ndarray], same_doc: bool, by_doc: list[int], keep: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def found_rows(f: dict[str, np.ndarray], same_doc: bool, by_doc: list[int]) -> Iterator[pa.RecordBatch]:
     whole, look = judged(f, same_doc)
-    at = np.flatnonzero((whole | look) if keep is None else (whole | look) & keep)
+    at = np.flatnonzero(whole | look)
     if len(at):
         docs = f["docs"][at]
         yield packed.deal(by_doc, mix(docs.view(np.uint64)), {"docs": docs, "starts": f["starts"][at], "sizes": f["sizes"][at], "open": look[at].astype(np.uint8)})
@@ -127,6 +127,11 @@ def by_document(planes: dict[str, type]):
         got = packed.gather(batches, planes)
         docs = got.pop("docs")
         if "open" in planes:
+            # several batches may have judged one family: once is enough, and a whole repeat is the last word
+            order = np.lexsort((got["open"], got["starts"], docs))
+            docs, got = docs[order], {n: x[order] for n, x in got.items()}
+            once = np.append(True, (docs[1:] != docs[:-1]) | (got["starts"][1:] != got["starts"][:-1]))[: len(docs)]
+            docs, got = docs[once], {n: x[once] for n, x in got.items()}
             is_open = got.pop("open") == 1
             out = []
             for want in (False, True):
