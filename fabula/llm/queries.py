@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import byte_bpe, decontaminate, language_id, near_dup, recompression, suffix_index, token_count, topk, toxicity
+from fabula.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, recompression, suffix_index, token_count, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -52,7 +56,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_decontamination, op4_token_counts, op6_suffix_array_dedup, op7_top_k, op8_language_id, op9_minhash_near_dup, op10_recompression)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_decontamination, op4_token_counts, op5_line_dedup, op6_suffix_array_dedup, op7_top_k, op8_language_id, op9_minhash_near_dup, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
