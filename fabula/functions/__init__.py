@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column functions: text, JSON, vectors. All stay inside Catalyst unless their docstring says otherwise."""
