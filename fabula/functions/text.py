@@ -22,8 +22,8 @@ def strip(c: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 text of bytes; what is not UTF-8 is left out."""
-    return F.replace(F.decode(content, "UTF-8"), F.lit("�"), F.lit(""))
+    """UTF-8 text of bytes; what is not UTF-8 is left out, and replacement characters with it."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
 def window_starts(length: Column, size: int, overlap: int) -> Column:

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Relational, graph, vector and model-backed operators on DataFrames."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Composed queries over the driver's tables."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Reading documents, dictionaries and listings."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Task progress, usage and token feeds as Structured Streaming queries."""
