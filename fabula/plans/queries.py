@@ -11,7 +11,8 @@ from fabula import fixtures
 from fabula.fixtures import Views
 from fabula.functions import json as J
 from fabula.functions import text as T
-from fabula.operators import conversation, dashboard, graph, knn, profiles, tables
+from fabula.functions import folds
+from fabula.operators import conversation, dashboard, graph, knn, model_calls, profiles, rules, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -506,3 +507,57 @@ def terminal_once(v):
 def trend_stream(v):
     """The batch twin of the streaming trend: tumbling weeks from Monday."""
     return v.usage().groupBy(F.window("created_at", "7 days", "7 days", "4 days").alias("w")).agg(F.sum("tokens_in").alias("tokens_in")).select(F.date_format("w.start", "yyyy-MM-dd").alias("week"), "tokens_in")
+
+
+@query()
+def sentence_chunks(v):
+    """Chunks cut at sentence ends: a fold, held against plain Python in the tests."""
+    return v.document().select("doc_id", F.explode(folds.sentence_chunks(F.col("text"), 1000, 100, ".\n")).alias("c")).select("doc_id", F.col("c.start").cast("long").alias("start"), F.col("c.stop").cast("long").alias("stop"))
+
+
+@query("""select novel_id, name, case when length(name) = 4 then 'place' when length(name) = 5 then 'org' else 'character' end type from entity""")
+def entity_types(v):
+    raw = F.when(F.length("name") == 4, " Location").when(F.length("name") == 5, "ORG").otherwise("hero")
+    return v.entity().select("novel_id", "name", rules.entity_type(raw).alias("type"))
+
+
+@query("""select distinct r.novel_id, r.source, r.target, 'near' type from relation r join entity a on a.novel_id = r.novel_id and a.name = r.source and a.entity_no <= 50 join entity b on b.novel_id = r.novel_id and b.name = r.target and b.entity_no <= 50""")
+def relations_valid(v):
+    return rules.valid_relations(v.relation().withColumn("type", F.lit("near")), v.entity().where("entity_no <= 50"))
+
+
+@query("""select novel_id, case when weight % 2 = 0 then target else source end source, case when weight % 2 = 0 then source else target end target, 'knows' type from relation where weight % 3 <> 0""")
+def relations_directed(v):
+    raw = v.relation().select("novel_id", "source", "target", F.when(F.col("weight") % 3 == 0, " ").otherwise("knows").alias("type"), F.when(F.col("weight") % 2 == 0, "B->A").otherwise("A->B").alias("direction"))
+    return rules.directed(raw)
+
+
+@query("""select event_id, case when event_type = 'error' then 'failed at ' || user_id else event_type end message from events""")
+def error_messages(v):
+    e = v.table("events").select("event_id", F.when(F.col("event_type") == "error", F.concat(F.lit("failed at "), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("seen: "), F.upper("event_type"))).alias("error"))
+    kinds = v.spark.createDataFrame([(k, k, i) for i, k in enumerate(("view", "click", "purchase", "signup"))], "keyword string, message string, priority int")
+    return rules.user_error(e, kinds).select("event_id", "message")
+
+
+@query("""select event_id, 'Hi ' || event_type || ', no. ' || user_id || '!' rendered from events""")
+def template_render(v):
+    values = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("n"), F.col("user_id").cast("string"))
+    return v.table("events").select("event_id", rules.render(F.lit("Hi {{ kind }}, no. {{n}}{{ missing }}!"), values).alias("rendered"))
+
+
+@query()
+def map_reduce_summary(v):
+    """Each chunk summarised by the stub, and the summaries of a document again."""
+    return model_calls.summarise(_chunks(v, 800, 0), "doc_id", "piece_no", "content")
+
+
+@query()
+def embed_batches(v):
+    return model_calls.embed(v.document(), "doc_id", "text").select("doc_id", "dim", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query()
+def name_contexts(v):
+    """What each chapter says around the most frequent character of its novel."""
+    cast = tables.latest(v.entity().where("type = 'character'"), ["novel_id"], F.desc("freq"), F.col("name")).select("novel_id", "name")
+    return v.chapter().join(cast, "novel_id").select("doc_id", "name", F.sha2(folds.name_context(F.col("content"), F.col("name")), 256).alias("context_sha"))
