@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, recompression, suffix_index, token_count, topk, toxicity
+from fabula.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, oracles, recompression, suffix_index, token_count, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": oracles.OP3, "op6_suffix_array_dedup": oracles.OP6, "op7_top_k": oracles.OP7, "op9_minhash_near_dup": oracles.OP9, "op10_recompression": oracles.OP10}
