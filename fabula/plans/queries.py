@@ -561,3 +561,109 @@ def name_contexts(v):
     """What each chapter says around the most frequent character of its novel."""
     cast = tables.latest(v.entity().where("type = 'character'"), ["novel_id"], F.desc("freq"), F.col("name")).select("novel_id", "name")
     return v.chapter().join(cast, "novel_id").select("doc_id", "name", F.sha2(folds.name_context(F.col("content"), F.col("name")), 256).alias("context_sha"))
+
+
+@query("""select event_type, count(*) probes, cast(floor(avg(user_id)) as bigint) latency, count(*) filter (where event_id % 10 <> 0) ok from events group by 1""")
+def probe_stats(v):
+    return v.table("events").groupBy("event_type").agg(F.count("*").alias("probes"), F.floor(F.avg("user_id")).alias("latency"), F.count_if(F.col("event_id") % 10 != 0).alias("ok"))
+
+
+@query("""select doc_id, novel_id from document where owner_id = 1 or doc_id % 7 = 0""")
+def mine_or_global(v):
+    owned = v.document().withColumn("owner_id", F.when(F.col("doc_id") % 7 != 0, F.col("owner_id")))
+    return owned.where((F.col("owner_id") == 1) | F.col("owner_id").isNull()).select("doc_id", "novel_id")
+
+
+@query("""select doc_id from chapter where chapter_no between 3 and 9 and doc_id in (select doc_id from labels where quality = 1)""")
+def chapter_range(v):
+    return v.chapter().where(F.col("chapter_no").between(3, 9)).join(v.table("labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id")
+
+
+@query("""select novel_id, coalesce(r.reply, p.reply, '') reply, c.chapter_no from chapter c left join (select chapter_no, 'by index ' || chapter_no reply from chapter where novel_id = 1 and chapter_no % 2 = 0) r on r.chapter_no = c.chapter_no
+ left join (select chapter_no, 'by place ' || chapter_no reply from chapter where novel_id = 1 and chapter_no % 3 = 0) p on p.chapter_no = c.chapter_no where novel_id = 1""")
+def batch_replies(v):
+    """A model's replies joined to chapters by index, else by place."""
+    c = v.chapter().where("novel_id = 1").select("novel_id", "chapter_no")
+    by_index = c.where("chapter_no % 2 = 0").select("chapter_no", F.concat(F.lit("by index "), F.col("chapter_no").cast("string")).alias("a"))
+    by_place = c.where("chapter_no % 3 = 0").select("chapter_no", F.concat(F.lit("by place "), F.col("chapter_no").cast("string")).alias("b"))
+    return c.join(by_index, "chapter_no", "left").join(by_place, "chapter_no", "left").select("novel_id", F.coalesce("a", "b", F.lit("")).alias("reply"), "chapter_no")
+
+
+@query("""select novel_id, min(chapter_no) holder from chapter where length(content) >= 200 group by 1""")
+def structure_holder(v):
+    """Of each novel the first chapter that is no table of contents."""
+    toc = v.chapter().where(F.length("content") < 200).select("novel_id", "chapter_no")
+    return tables.latest(v.chapter().join(toc, ["novel_id", "chapter_no"], "left_anti"), ["novel_id"], F.col("chapter_no")).select("novel_id", F.col("chapter_no").alias("holder"))
+
+
+@query("""select event_id, case when event_id % 5 = 0 then '-' else strftime(ts, '%Y-%m-%d %H:%M:%S') end shown, least(95, 10 + cast(floor((event_id % 97) / 97.0 * 90) as int)) progress, greatest(1, cast(ceil(event_id / 20.0) as bigint)) page from events""")
+def display_fields(v):
+    ts = F.when(F.col("event_id") % 5 != 0, F.col("ts"))
+    return v.table("events").select(
+        "event_id",
+        F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("-")).alias("shown"),
+        F.least(F.lit(95), 10 + F.floor((F.col("event_id") % 97) / 97.0 * 90).cast("int")).alias("progress"),
+        F.greatest(F.lit(1), F.ceil(F.col("event_id") / 20.0)).alias("page"),
+    )
+
+
+@query("""select doc_id, greatest(1, cast(floor(length(text) / (800 * 1.4) + 0.5) as bigint)) estimate from document""")
+def chunk_estimate(v):
+    return v.document().select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / (800 * 1.4) + 0.5)).alias("estimate"))
+
+
+@query("""select doc_id, case when doc_id % 6 = 0 then 'renamed' else source end source, case when doc_id % 4 = 0 then 'xx' else lang end lang from document""")
+def partial_update(v):
+    base = v.document().select("doc_id", "source", "lang")
+    hit = base.where("doc_id % 6 = 0 or doc_id % 4 = 0")
+    changes = hit.select("doc_id", F.when(F.col("doc_id") % 6 == 0, "renamed").alias("source"), F.when(F.col("doc_id") % 4 == 0, "xx").alias("lang"))
+    return tables.patch(base, changes, "doc_id")
+
+
+@query(f"""select task_id, case when status = 'running' then 'failed' else status end status from {_TASKS}""")
+def boot_cleanup(v):
+    """At a start, what was left running has failed."""
+    return _current(v).select("task_id", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")).alias("status"))
+
+
+@query("""select doc_id, coalesce(nullif(substr(trim(replace(source || chr(10) || lang, chr(10), ' ')), 1, 200), ''), '第' || doc_id || '章') title, case when length(text) <= 120 then text else substr(text, 1, 120) end summary, '过渡' plot_role from document""")
+def analysis_defaults(v):
+    """A model's record with what it lacks filled in."""
+    record = F.to_json(F.struct(F.col("text").alias("summary")))
+    parsed = F.from_json(record, "summary string, plot_role string")
+    return v.document().select("doc_id", T.clean_title(F.concat("source", F.lit("\n"), "lang"), F.col("doc_id")).alias("title"), F.substring(parsed["summary"], 1, 120).alias("summary"), F.coalesce(parsed["plot_role"], F.lit("过渡")).alias("plot_role"))
+
+
+@query("""select event_id, coalesce(user_id, 0) tokens_in, case when event_id % 2 = 0 then event_id else 0 end tokens_out from events""")
+def usage_normalised(v):
+    """Token counts under either of the names that adapters use."""
+    e = v.table("events")
+    raw = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("user_id").alias("prompt_tokens"), F.col("event_id").alias("completion_tokens")))).otherwise(F.to_json(F.struct(F.col("user_id").alias("tokens_in"))))
+    pick = lambda a, b: F.coalesce(F.get_json_object(raw, f"$.{a}").cast("long"), F.get_json_object(raw, f"$.{b}").cast("long"), F.lit(0).cast("long"))
+    return e.select("event_id", pick("tokens_in", "prompt_tokens").alias("tokens_in"), pick("tokens_out", "completion_tokens").alias("tokens_out"))
+
+
+@query("""select user_id, string_agg(distinct event_type, ',' order by event_type) tags from events group by 1""")
+def tag_lists(v):
+    return v.table("events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("tags"))
+
+
+@query("""select n_nationkey id, n_name as name from nation union all select 100, 'built-in'""")
+def seed_rows(v):
+    from fabula.sources.files import seeded
+
+    existing = v.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return seeded(existing, [(3, "again"), (100, "built-in")], ["id"])
+
+
+@query("""select novel_id, type, string_agg(name, '、' order by entity_no) as names from entity where entity_no <= 20 group by all""")
+def candidate_lists(v):
+    rows = v.entity().where("entity_no <= 20").groupBy("novel_id", "type").agg(F.sort_array(F.collect_list(F.struct("entity_no", "name"))).alias("xs"))
+    return rows.select("novel_id", "type", F.array_join(F.transform("xs", lambda x: x["name"]), "、").alias("names"))
+
+
+@query("""select d.doc_id, d.text = e.text same, least(d.word_count, e.word_count) n from document d join document e on d.novel_id = e.novel_id and e.doc_id = d.doc_id + 20""")
+def neighbour_documents(v):
+    d = v.document()
+    e = d.select("novel_id", (F.col("doc_id") - 20).alias("doc_id"), F.col("text").alias("other"), F.col("word_count").alias("m"))
+    return d.join(e, ["novel_id", "doc_id"]).select("doc_id", (F.col("text") == F.col("other")).alias("same"), F.least("word_count", "m").alias("n"))
