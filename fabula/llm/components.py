@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.shared import stored
+from fabula.llm.shared import stored, stored_with_sum
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,8 +15,7 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     The ids' minima are stored before they are joined back, so that Spark can split a hub's rows. It ends when a
     round changes no link.
     """
-    e = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    e, sign = stored_with_sum(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
@@ -24,8 +23,7 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         e = stored(large.distinct(), "links")
         least = stored(e.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = e.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v")
-        e = stored(small.distinct(), "links")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, now = stored_with_sum(small.distinct(), "links")
         if now == sign:
             break
         sign = now

@@ -105,7 +105,7 @@ def spread(slot_ids: list[int]):
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with several members: (key, block, blocks, members, pivots), members in blocks of at most BLOCK."""
+    """Keys with several members: (key, large, block, blocks, members, pivots), members in blocks of at most BLOCK."""
     got = packed.gather(batches, PLANES)
     order = np.lexsort((got["ids"], got["keys"]))
     keys, ids = got["keys"][order], got["ids"][order]
@@ -130,10 +130,10 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots[order] = np.repeat(own[order[first]], count)
             pivots[order[first]] = own[0]
         blocks = -(-n // BLOCK)
-        out += [(int(keys[s].view(np.int64)), i, blocks, own[i * BLOCK : (i + 1) * BLOCK], pivots[i * BLOCK : (i + 1) * BLOCK]) for i in range(blocks)]
+        out += [(int(keys[s].view(np.int64)), n > STAR, i, blocks, own[i * BLOCK : (i + 1) * BLOCK], pivots[i * BLOCK : (i + 1) * BLOCK]) for i in range(blocks)]
     for i in range(0, len(out), 5000):
         cut = out[i : i + 5000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in cut], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.list_(pa.int64())), (4, pa.list_(pa.int64())))], names=["key", "block", "blocks", "members", "pivots"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in cut], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["key", "large", "block", "blocks", "members", "pivots"])
 
 
 def near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,20 +155,67 @@ def verify(n: int, percent: int):
     return run
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within DISTANCE of members of two blocks (or of one) whose components differ."""
-    for b in batches:
-        for r in range(b.num_rows):
-            sides = []
-            for c in ("left", "right"):
-                rows = b.column(c)[r].as_py()
-                sides.append((np.array([x["id"] for x in rows], np.int64), np.array([x["component"] for x in rows], np.int64), np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(-1, VALUES)))
-            (ids, own, sig), (ids2, own2, sig2) = sides
-            for i in range(len(ids)):
-                at = np.flatnonzero((own2 != own[i]) & (ids2 > ids[i]))
-                at = at[(sig2[at] != sig[i]).sum(1) <= DISTANCE]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(ids2[at])], names=["a", "b"])
+def first_key(same: np.ndarray) -> np.ndarray:
+    """Of rows of equal-value marks the first key (its index among a signature's) under which such a pair meets, or -1."""
+    equal = same.reshape(-1, CHUNKS, WIDTH)
+    meets = equal.sum(2) >= WIDTH - ERRORS
+    chunk = meets.argmax(1)
+    differs = (~equal[np.arange(len(equal)), chunk]).argmax(1)  # the value left out; the first of a wholly equal chunk
+    return np.where(meets.any(1), chunk * WIDTH + differs, -1)
+
+
+def link_across(n: int, percent: int):
+    """Links among the members of one key (or of two of its blocks) whose components differ, by their full sets.
+
+    A pair that meets under several large keys is looked at under the first; pairs that a link found here has joined
+    are passed over. Only links come out, so no pairs are moved.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("id")
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+        key = table.column("key")[0].as_py() if table.column("large")[0].as_py() else None
+        parent = {c: c for c in table.column("component").to_pylist()}
+        own = table.column("component").to_numpy()
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets(*text_bytes(table.column("text").slice(i, 1)), n)[0]
+            return sets[i]
+
+        a, b = [], []
+        two = block.min() != block.max()
+        for i in range(len(ids)):
+            at = np.flatnonzero((own[i + 1 :] != own[i]) & ((block[i + 1 :] != block[i]) | (not two))) + i + 1
+            if not len(at):
+                continue
+            same = sig[at] == sig[i]
+            far = VALUES - same.sum(1)
+            fit = far <= DISTANCE
+            if key is not None and fit.any():
+                met = first_key(same)
+                fit &= chunk_keys(sig[i : i + 1])[0][met].view(np.int64) == key
+            at, far = at[fit], far[fit]
+            for j in at[np.argsort(far, kind="stable")].tolist():
+                x, y = root(int(own[i])), root(int(own[j]))
+                if x == y:
+                    continue
+                p, q = shingles(i), shingles(j)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -189,7 +236,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     reps = stored(reps, "near-dup-representatives")
 
     dealt = reps.mapInArrow(spread(slots(spark)), packed.schema(PLANES)).repartition(tasks(spark), "slot")
-    keys = stored(dealt.mapInArrow(meet, "key long, block int, blocks int, members array<long>, pivots array<long>"), "near-dup-keys")
+    keys = stored(dealt.mapInArrow(meet, "key long, large boolean, block int, blocks int, members array<long>, pivots array<long>"), "near-dup-keys")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         """Links among candidate pairs (a < b, stored) by the full sets. Texts come from the bucketed table; only pairs move.
@@ -210,18 +257,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = confirmed(near, "near-dup-links")
     first = stored(connected(links), "near-dup-components")
 
-    # Keys whose members are still in several components: the pairs across are candidates too.
-    member = keys.select("key", "block", "blocks", F.explode("members").alias("id")).join(first, "id", "left").select("key", "block", "blocks", "id", F.coalesce("component", "id").alias("component"))
+    # Keys whose members are still in several components: pairs across are looked at where the key's members meet.
+    member = keys.select("key", "large", "block", "blocks", F.explode("members").alias("id")).join(first, "id", "left").select("key", "large", "block", "blocks", "id", F.coalesce("component", "id").alias("component"))
     member = stored(member, "near-dup-members")
     apart = stored(member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "near-dup-apart")
-    left = member.join(apart, "key").join(reps.select(F.col("doc_id").alias("id"), "sig"), "id")
-    blocks = stored(left.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("id", "component", "sig")).alias("rows")), "near-dup-blocks")
-    small = blocks.where("blocks = 1").select(F.col("rows").alias("left"), F.col("rows").alias("right"))
-    x, y = blocks.where("blocks > 1").alias("x"), blocks.where("blocks > 1").alias("y")
-    large = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.rows").alias("left"), F.col("y.rows").alias("right"))
-    across = small.unionByName(large).mapInArrow(cross_pairs, "a long, b long").distinct()
-    more = confirmed(stored(across, "near-dup-across"), "near-dup-links")
-    final = stored(connected(links.unionByName(more)), "near-dup-components")
+    left = stored(member.join(apart, "key").join(reps.select(F.col("doc_id").alias("id"), "sig"), "id"), "near-dup-left")
+    # a cell is a pair of a key's blocks; a member is in the cells of its block and each of them
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
+    full = left.join(base.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "large", "block", "id", "component", "sig", "text", cells.alias("cell"))
+    more = stored(full.groupBy("key", "cell").applyInArrow(link_across(n, percent), "a long, b long").distinct(), "near-dup-more")
+    stars_so_far = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    final = stored(connected(stars_so_far.unionByName(more)), "near-dup-components")
 
     of_rep = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     of_rep = stored(of_rep, "near-dup-class-components")

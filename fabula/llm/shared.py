@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with_sum(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """`stored`, and the number of its rows and a sum of their hashes, observed while they are written."""
+    seen = Observation()
+    path = scratch(df.sparkSession, tag)
+    digest = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(digest).alias("sum")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["sum"])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table of this package's own from the shared folder."""
     jvm = spark._jvm
