@@ -164,20 +164,53 @@ def first_key(same: np.ndarray) -> np.ndarray:
     return np.where(meets.any(1), chunk * WIDTH + differs, -1)
 
 
+class Cell:
+    """Members of one key, or of two of its blocks, in the order of their ids."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.combine_chunks().sort_by("id")
+        self.ids, self.own, self.block = (self.table.column(c).to_numpy() for c in ("id", "component", "block"))
+        self.sig = np.frombuffer(b"".join(self.table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+        self.key = self.table.column("key")[0].as_py() if self.table.column("large")[0].as_py() else None
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each member the later ones of other components within DISTANCE, nearest first.
+
+        A pair that meets under several large keys belongs to the first of them.
+        """
+        two = self.block.min() != self.block.max()
+        for i in range(len(self.ids)):
+            at = np.flatnonzero((self.own[i + 1 :] != self.own[i]) & ((self.block[i + 1 :] != self.block[i]) | (not two))) + i + 1
+            if not len(at):
+                continue
+            same = self.sig[at] == self.sig[i]
+            far = VALUES - same.sum(1)
+            fit = far <= DISTANCE
+            if self.key is not None and fit.any():
+                fit &= chunk_keys(self.sig[i : i + 1])[0][first_key(same)].view(np.int64) == self.key
+            if fit.any():
+                yield i, at[fit][np.argsort(far[fit], kind="stable")]
+
+
+def members_across(table: pa.Table) -> pa.Table:
+    """The members that have a candidate; the others' texts need not be moved."""
+    cell = Cell(table)
+    mask = np.zeros(len(cell.ids), bool)
+    for i, at in cell.candidates():
+        mask[i] = True
+        mask[at] = True
+    return cell.table.filter(pa.array(mask))
+
+
 def link_across(n: int, percent: int):
-    """Links among the members of one key (or of two of its blocks) whose components differ, by their full sets.
+    """Links among the candidates of a cell by their full sets; pairs that a link found here has joined are passed over.
 
-    A pair that meets under several large keys is looked at under the first; pairs that a link found here has joined
-    are passed over. Only links come out, so no pairs are moved.
+    Only links come out, so no pairs are moved.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("id")
-        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-        key = table.column("key")[0].as_py() if table.column("large")[0].as_py() else None
-        parent = {c: c for c in table.column("component").to_pylist()}
-        own = table.column("component").to_numpy()
+        cell = Cell(table)
+        parent = {c: c for c in cell.own.tolist()}
         sets: dict[int, np.ndarray] = {}
 
         def root(c: int) -> int:
@@ -187,32 +220,21 @@ def link_across(n: int, percent: int):
 
         def shingles(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = shingle_sets(*text_bytes(table.column("text").slice(i, 1)), n)[0]
+                sets[i] = shingle_sets(*text_bytes(cell.table.column("text").slice(i, 1)), n)[0]
             return sets[i]
 
         a, b = [], []
-        two = block.min() != block.max()
-        for i in range(len(ids)):
-            at = np.flatnonzero((own[i + 1 :] != own[i]) & ((block[i + 1 :] != block[i]) | (not two))) + i + 1
-            if not len(at):
-                continue
-            same = sig[at] == sig[i]
-            far = VALUES - same.sum(1)
-            fit = far <= DISTANCE
-            if key is not None and fit.any():
-                met = first_key(same)
-                fit &= chunk_keys(sig[i : i + 1])[0][met].view(np.int64) == key
-            at, far = at[fit], far[fit]
-            for j in at[np.argsort(far, kind="stable")].tolist():
-                x, y = root(int(own[i])), root(int(own[j]))
+        for i, at in cell.candidates():
+            for j in at.tolist():
+                x, y = root(int(cell.own[i])), root(int(cell.own[j]))
                 if x == y:
                     continue
                 p, q = shingles(i), shingles(j)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if 100 * both >= percent * (len(p) + len(q) - both):
                     parent[max(x, y)] = min(x, y)
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
+                    a.append(int(cell.ids[i]))
+                    b.append(int(cell.ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -265,8 +287,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # a cell is a pair of a key's blocks; a member is in the cells of its block and each of them
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
-    full = left.join(base.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "large", "block", "id", "component", "sig", "text", cells.alias("cell"))
-    more = stored(full.groupBy("key", "cell").applyInArrow(link_across(n, percent), "a long, b long").distinct(), "near-dup-more")
+    spread_out = left.select("key", "large", "block", "id", "component", "sig", cells.alias("cell")).select("key", "large", "block", "id", "component", "sig", "cell.x", "cell.y")
+    few = stored(spread_out.groupBy("key", "x", "y").applyInArrow(members_across, spread_out.schema), "near-dup-candidates")
+    full = few.join(base.select(F.col("doc_id").alias("id"), "text"), "id")
+    more = stored(full.groupBy("key", "x", "y").applyInArrow(link_across(n, percent), "a long, b long").distinct(), "near-dup-more")
     stars_so_far = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = stored(connected(stars_so_far.unionByName(more)), "near-dup-components")
 
