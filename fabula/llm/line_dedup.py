@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last SPAN lines ends a chunk where its low bits are zero, so borders follow
-content and not position: a passage that sits elsewhere in another text is cut at the same lines. Chunks of several
-lines meet by their hashes; one that repeats an earlier chunk is compared with it byte by byte, and goes if equal.
+A chunk begins, and one ends, at every line: the fewest lines that make a passage. So every passage that sits elsewhere
+in another text is covered by the same chunks there, wherever it stands and whatever its neighbours are. Chunks meet by
+their hashes; those of a document that repeat one earlier place side by side are joined to a run of lines as long as the
+texts agree, and the run is compared with that place byte by byte, and goes if equal.
 """
 
 from __future__ import annotations
@@ -16,12 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import packed
+from fabula.llm.repeats import shared_only
 from fabula.llm.shared import bucketed, slots, stored, tasks, texts
 from fabula.llm.textkit import CODES, Words, mix, parts, prefix, slices, text_bytes
 
-#: Lines that decide a border, and one border in so many lines on average.
-SPAN, EVERY = 2, 4
-#: Chunks of fewer lines, or bytes, are no passage and stay.
+#: Fewer lines, or bytes, are no passage and stay.
 LEAST_LINES, LEAST_BYTES = 2, 40
 
 CHUNKS = {"high": np.uint64, "low": np.uint64, "docs": np.int64, "starts": np.uint32, "sizes": np.uint32}
@@ -34,22 +34,26 @@ NOT_BREAK[10] = False
 def chunks(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first byte, end byte and number of lines of each chunk; empty lines belong to no chunk's count.
 
-    A chunk runs from its first line that is not empty to its last one, line breaks between them included.
+    From each line down, and from each line up, a chunk takes the fewest lines of its row that are LEAST_LINES and
+    LEAST_BYTES; what fits neither way makes none. A chunk runs from its first line that is not empty to its last one,
+    line breaks between them included. Chunks overlap, and ascend by their first and by their end byte.
+
+    Every line of a passage is in a chunk within the passage: the one that begins there, or, where too little of the
+    passage follows, the one that ends with it.
     """
     lines = Words(raw, off, NOT_BREAK)
-    if not len(lines):
+    n = len(lines)
+    if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, z
-    h, row = lines.hashes(), lines.rows()
-    rolling = h.copy()
-    for i in range(1, SPAN):
-        before = np.append(np.zeros(i, np.uint64), h[:-i])
-        same = np.append(np.zeros(i, bool), row[i:] == row[:-i])
-        rolling = mix(rolling + np.where(same, before, np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
-    last = (mix(rolling) >> np.uint64(40)) % np.uint64(EVERY) == 0
-    last[np.append(row[1:] != row[:-1], True)] = True
-    end = np.flatnonzero(last)
-    first = np.append(0, end[:-1] + 1)
+    row, at = lines.rows(), np.arange(n)
+    down = np.maximum(np.searchsorted(lines.ends, lines.starts + LEAST_BYTES), at + LEAST_LINES - 1)
+    up = np.minimum(np.searchsorted(lines.starts, lines.ends - LEAST_BYTES, side="right") - 1, at - LEAST_LINES + 1)
+    first, end = np.append(at, up), np.append(down, at)
+    inside = (first >= 0) & (end < n)
+    first, end = first[inside], end[inside]
+    own = row[first] == row[end]
+    first, end = np.divmod(np.unique(first[own] * n + end[own]), n)
     return row[first], lines.starts[first], lines.ends[end], end - first + 1
 
 
@@ -57,9 +61,7 @@ def send_chunks(slot_ids: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             raw, off = text_bytes(b.column("text"))
-            row, s, e, n = chunks(raw, off)
-            big = (n >= LEAST_LINES) & (e - s >= LEAST_BYTES)
-            row, s, e = row[big], s[big], e[big]
+            row, s, e, _ = chunks(raw, off)
             if len(row):
                 high, low = (slices(prefix(CODES[i][raw], i), s, e, i) for i in (0, 1))
                 yield packed.deal(slot_ids, high, {"high": high, "low": low, "docs": b.column("doc_id").to_numpy()[row], "starts": (s - off[row]).astype(np.uint32), "sizes": (e - s).astype(np.uint32)})
@@ -71,7 +73,7 @@ def match_chunks(by_doc: list[int]):
     """Chunks that repeat the first of their hash (smallest doc_id, then start), with the first's place; dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = packed.gather(batches, CHUNKS)
+        f = shared_only(packed.gather(batches, CHUNKS), "high")
         order = np.lexsort((f["starts"], f["docs"], f["low"], f["high"]))
         f = {n: x[order] for n, x in f.items()}
         if not len(order):
@@ -86,35 +88,55 @@ def match_chunks(by_doc: list[int]):
     return run
 
 
+def runs(got: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Overlapping repeats of one document that lie in another, or earlier in itself, as far from each other, as one."""
+    if not len(got["docs"]):
+        return got
+    order = np.lexsort((got["sizes"], got["starts"], got["docs"]))
+    f = {n: x[order].astype(np.int64) for n, x in got.items()}
+    ends, shift = f["starts"] + f["sizes"], f["starts"] - f["at"]
+    new = np.ones(len(order), bool)
+    new[1:] = (f["docs"][1:] != f["docs"][:-1]) | (f["of"][1:] != f["of"][:-1]) | (shift[1:] != shift[:-1]) | (f["starts"][1:] > ends[:-1])
+    first = np.flatnonzero(new)
+    return {"docs": f["docs"][first], "starts": f["starts"][first], "sizes": np.maximum.reduceat(ends, first) - f["starts"][first], "of": f["of"][first], "at": f["at"][first]}
+
+
 def by_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, size, of, at) rows."""
-    got = packed.gather(batches, REPEATS)
+    """(doc_id, start, size, of, at) rows of runs."""
+    got = runs(packed.gather(batches, REPEATS))
     for i in range(0, len(got["docs"]), 50_000):
         cut = slice(i, i + 50_000)
         yield pa.RecordBatch.from_arrays([pa.array(got["docs"][cut]), *[pa.array(got[n][cut].astype(np.int64)) for n in ("starts", "sizes", "of", "at")]], names=["doc_id", "start", "size", "of", "at"])
 
 
 def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the chunks whose bytes equal the first's; one line break goes with each chunk."""
+    """Texts without the runs whose bytes equal those they repeat; one line break goes with each, and what then touches counts as one."""
     for b in parts(batches):
         kept, removed, gone = [], [], []
         for text, rows in zip(b.column("text").to_pylist(), b.column("rows").to_pylist(), strict=True):
             raw = (text or "").encode()
-            ranges = sorted({(x["start"], x["start"] + x["size"]) for x in rows or () if raw[x["start"] : x["start"] + x["size"]] == x["first"]})
-            at, pieces, lines = 0, [], 0
+            ranges = sorted({(x["start"], x["start"] + x["size"]) for x in rows or () if raw[x["start"] : x["start"] + x["size"]] == x["first"][: x["size"]]})
+            cuts: list[list[int]] = []
             for s, e in ranges:
+                after = e + 1 if raw[e : e + 1] == b"\n" else e
+                if cuts and s <= cuts[-1][1]:
+                    cuts[-1][1] = max(after, cuts[-1][1])
+                else:
+                    cuts.append([s, after])
+            at, pieces, lines = 0, [], 0
+            for s, e in cuts:
                 pieces.append(raw[at:s])
-                at = e + 1 if raw[e : e + 1] == b"\n" else e
+                at = e
                 lines += sum(1 for x in raw[s:e].split(b"\n") if x)
             pieces.append(raw[at:])
             kept.append(b"".join(pieces).decode())
-            removed.append(len(ranges))
+            removed.append(len(cuts))
             gone.append(lines)
         yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(gone, pa.int64())], names=["row_key", "kept", "chunks_removed", "lines_removed"])
 
 
 def repeated_chunks(base: DataFrame) -> DataFrame:
-    """doc_id, rows array<struct<start,size,first>>: of the bucketed table `base`, repeats of earlier chunks with those chunks' bytes."""
+    """doc_id, rows array<struct<start,size,first>>: of the bucketed table `base`, runs that repeat earlier chunks, with the bytes there (of the longest run that begins there)."""
     spark = base.sparkSession
     slot_ids = slots(spark)
 
@@ -123,7 +145,7 @@ def repeated_chunks(base: DataFrame) -> DataFrame:
 
     named = dealt(base.where("doc_id is not null"), send_chunks(slot_ids), CHUNKS)
     found = stored(dealt(named, match_chunks(slot_ids), REPEATS).mapInArrow(by_source, "doc_id long, start long, size long, of long, at long"), "line-repeats")
-    # the bytes of each first chunk, once
+    # the bytes of each repeated place, once
     firsts = found.groupBy("of", "at").agg(F.max("size").alias("size")).groupBy("of").agg(F.collect_list(F.struct("at", "size")).alias("places"))
     read = base.join(firsts.withColumnRenamed("of", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("of"), F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
     first = stored(read.select("of", F.col("p.at").alias("at"), F.substring("raw", (F.col("p.at") + 1).cast("int"), F.col("p.size").cast("int")).alias("first")).dropDuplicates(["of", "at"]), "line-firsts")
@@ -133,9 +155,9 @@ def repeated_chunks(base: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, chunks_removed, lines_removed, kept, kept_sha256 of each row of `docs`.
 
-    Lines that are not empty count. A chunk of at least LEAST_LINES lines and LEAST_BYTES bytes goes, with one line
-    break, if its bytes equal an earlier chunk's (smaller doc_id, or before in the same document). Null text is
-    empty. Rows that share a doc_id are copies of one document; with a null doc_id nothing is compared.
+    Lines that are not empty count. Every passage of at least LEAST_LINES lines and LEAST_BYTES bytes goes, with one
+    line break, if its bytes also are whole lines earlier (in a smaller doc_id, or from an earlier line of the same
+    document); `chunks_removed` counts the runs of lines that went. Null text is empty. Rows that share a doc_id are copies of one document; with a null doc_id nothing is compared.
     """
     base = bucketed(texts(docs), "doc_id", "line_texts")
     work = base.join(repeated_chunks(base).hint("shuffle_hash"), "doc_id", "left").select(F.struct("doc_id", (F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))).cast("long").alias("n_lines")).alias("row_key"), "text", "rows")
@@ -144,7 +166,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated chunks cut out of their texts; all rows and columns stay, null texts too."""
+    """`docs` with repeated passages cut out of their texts; all rows and columns stay, null texts too."""
     fields = docs.schema.fields
     row = F.struct(*[(F.col(f.name).isNull() if f.name == "text" else F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)])
     base = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row_key")), "doc_id", "line_texts")

@@ -49,6 +49,23 @@ def repeated_bytes(docs, width=100):
     return out
 
 
+def repeated_lines(docs, least_lines=2, least_bytes=40):
+    rows = sorted((d, (t or "").encode()) for d, t in docs)
+    seen, out = set(), {}
+    for d, x in rows:
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\n]+", x)]
+        gone = bytearray(len(x) + 1)
+        for i, (s, _) in enumerate(at):
+            passages = [(s, e) for _, e in at[i + least_lines - 1 :] if e - s >= least_bytes]
+            for s, e in passages:
+                if x[s:e] in seen:
+                    gone[s : e + (x[e : e + 1] == b"\n")] = b"\1" * (e + (x[e : e + 1] == b"\n") - s)
+            seen |= {x[s:e] for s, e in passages}
+        cuts = sum(1 for i in range(len(x)) if gone[i] and not (i and gone[i - 1]))
+        out[d] = (len(at), cuts, sum(gone[s] for s, _ in at), bytes(a for a, g in zip(x, gone) if not g).decode())
+    return out
+
+
 def repeated_words(docs, width=13):
     rows = sorted((d, SPACED.findall((t or "").encode())) for d, t in docs)
     first = {}

@@ -181,6 +181,30 @@ def test_line_chunks(spark, nothing):
     assert got[8].chunks_removed == 0 and line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_every_repeated_passage_of_lines_goes(spark):
+    rng = random.Random(16)
+    line = lambda: " ".join(rng.choice("red green blue black white é日".split()) for _ in range(rng.choice((0, 1, 1, 2, 4, 8))))
+    own = lambda d, n: [f"{d} {line()}" if rng.random() < 0.8 else "" for _ in range(n)]
+    rows = [(d, "\n".join(own(d, rng.randint(2, 14)))) for d in range(60)]
+    for d in range(60, 160):
+        source = rng.choice(rows)[1].split("\n")
+        n, i = rng.randint(2, 10), rng.randint(0, len(source))
+        rows.append((d, "\n".join([*own(d, rng.randint(0, 3)), *source[i : i + n], *own(d, rng.randint(0, 3))])))
+    copies = list(range(1000, 1060))
+    rows += [(d, rng.choice(rows[:60])[1] + rng.choice(("", "\n"))) for d in copies]
+    rows += [(2000, "\n".join(["the same line of at least forty bytes, again"] * 5)), (2001, None), (2002, ""), (2003, "a\nb\na\nb")]
+    rng.shuffle(rows)
+    want = brute.repeated_lines(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.chunks_removed, r.lines_removed, r.kept) for r in line_dedup.dedup_lines(table).collect()}
+    assert got == want
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(table).collect()} == {d: None if t is None else want[d][3] for d, t in rows}
+    texts = dict(rows)
+    long = [d for d in copies if len(texts[d].strip("\n").encode()) >= 40 and len(texts[d].split()) and len([x for x in texts[d].split("\n") if x]) >= 2]
+    assert len(long) > 30 and all(got[d][2] == got[d][0] for d in long)  # nothing of an exact copy stays
+    assert sum(x[2] for d, x in got.items() if 60 <= d < 160) > 100
+
+
 def labelled(spark, n=1200):
     rng = random.Random(8)
     mild = "the of and a stone river walks under green light with paper".split()
