@@ -99,14 +99,15 @@ def cut_at_sentence(text: Column, limit: int, ends: str = "。！？.!?\n") -> C
     return F.when(F.length(text) <= limit, text).when(cut > limit / 2, F.left(text, cut)).otherwise(head)
 
 
-def bigram_jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two short texts by their sets of two-character pieces; of a single character, that itself."""
+def bigrams(t: Column) -> Column:
+    """The set of two-character pieces of a text; of a single character, that itself."""
+    n = F.length(t)
+    return F.when(n < 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
 
-    def grams(t: Column) -> Column:
-        n = F.length(t)
-        return F.when(n < 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
 
-    x, y = grams(a), grams(b)
+def bigram_jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two short texts by their sets of two-character pieces; of a single character, that itself."""
+    x, y = bigrams(a), bigrams(b)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.functions.text import bigram_jaccard
+from fabula.functions.text import bigram_jaccard, bigrams
 
 #: Entity types, and what else models call them.
 ENTITY_TYPES = ("character", "place", "org", "item", "event", "time", "concept")
@@ -49,20 +49,50 @@ def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return ok.select("novel_id", "source", "target", "type").distinct()
 
 
+def alike_texts(texts: DataFrame, least: float) -> DataFrame:
+    """(role, a, b): pairs of `texts` (role, place struct<..., description>, all different) of one role whose bigrams are alike above `least`.
+
+    Complete: where sets are alike, the smaller one's size times (1 - least) / least bounds how many bigrams only one
+    of them has. Dealt by hash to more parts than that, the sets have one part in common at least. Each text has the
+    parts that its own size asks for, and to meet smaller ones those that their sizes ask for.
+    """
+    few = lambda size: F.floor(size * F.lit((1 - least) / least)).cast("int") + 1
+    sets = texts.select("role", "place", bigrams(F.col("place.description")).alias("grams")).withColumn("size", F.size("grams"))
+
+    def pieces(side: str, fewest: Column) -> DataFrame:
+        part = lambda i: F.struct(i.alias("part"), F.array_sort(F.filter("grams", lambda g: F.pmod(F.xxhash64(g), F.col("k")) == i)).alias("piece"))
+        counts = sets.withColumn("k", F.explode(F.sequence(fewest, few(F.col("size")))))
+        rows = counts.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), part)))
+        return rows.select("role", "k", "p.part", "p.piece", F.col("place").alias(side), F.col("size").alias(f"size_{side}"))
+
+    smallest = F.floor(F.col("size") * F.lit(least)).cast("int")
+    met = pieces("a", few(F.col("size"))).join(pieces("b", few(smallest)), ["role", "k", "part", "piece"])
+    sizes = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= F.col("size_b") * F.lit(least)) & (F.col("a.description") != F.col("b.description"))
+    return met.where(sizes).select("role", "a", "b").distinct().where(bigram_jaccard(F.col("a.description"), F.col("b.description")) > least)
+
+
 def judge_profiles(profiles: DataFrame) -> DataFrame:
     """(name, role, identity, description) with `ok` and `reason`: role, identity and length of the description, and no two alike.
 
-    Descriptions are compared with the next by length within their role, so no group is crossed with itself.
+    A description is a duplicate if one of its role that comes before by (length, name, description) is alike, whatever
+    lies between them; of equal ones with equal names, all but one. Equal descriptions are looked at once.
     """
-    w = Window.partitionBy("role").orderBy(F.length("description"), "name")
-    like = bigram_jaccard(F.coalesce("description", F.lit("")), F.coalesce(F.lag("description").over(w), F.lit("")))
+    place = lambda name: F.struct(F.length("description").alias("length"), F.col(name).alias("name"), "description")
+    fits = F.col("role").isin(*ROLES) & F.length("description").between(1, DESCRIPTION_LIMIT)
+    # structs, as their least counts a null name
+    texts = profiles.where(fits).groupBy("role", "description").agg(F.min(F.struct("name")).alias("first")).select("role", "description", place("first.name").alias("place"))
+    pairs = alike_texts(texts.select("role", "place"), SAME_DESCRIPTION)
+    both = pairs.select("role", "a.description", F.col("b").alias("place")).unionByName(pairs.select("role", "b.description", F.col("a").alias("place")))
+    before = texts.unionByName(both).groupBy("role", "description").agg(F.min("place").alias("before"))
+    again = F.row_number().over(Window.partitionBy("role", "description", "name").orderBy("identity")) > 1
     reason = (
         F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "role")
         .when(F.trim(F.coalesce("identity", F.lit(""))) == "", "identity")
         .when(~F.coalesce(F.length("description").between(1, DESCRIPTION_LIMIT), F.lit(False)), "description")
-        .when(F.col("alike") > SAME_DESCRIPTION, "duplicate")
+        .when(F.col("again") | (F.col("before") < place("name")), "duplicate")
     )
-    return profiles.withColumn("alike", like).withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).drop("alike")
+    found = profiles.withColumn("again", again).join(before, ["role", "description"], "left")
+    return found.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(*profiles.columns, "reason", "ok")
 
 
 def render(template: Column, values: Column) -> Column:

@@ -30,3 +30,26 @@ def test_profiles_are_judged(spark):
     rows = [("a", "主角", "king", "rules the land"), ("b", "hero", "x", "y"), ("c", "配角", " ", "y"), ("d", "配角", "x", "z" * 200), ("e", "主角", "heir", "rules the land"), ("f", None, None, None)]
     df = spark.createDataFrame(rows, "name string, role string, identity string, description string")
     assert {r.name: r.reason for r in rules.judge_profiles(df).collect()} == {"a": None, "b": "role", "c": "identity", "d": "description", "e": "duplicate", "f": "role"}
+
+
+def test_alike_profiles_are_found_whatever_lies_between(spark):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghij的了山水") for _ in range(n))
+    rows = [("a", "主角", "x", "the same words of one and the same length"), ("b", "主角", "x", "other words that have the very same length"[:41]), ("c", "主角", "x", "the same words of one and the same length")]
+    rows += [(rng.choice(("m", "n", "o", None)), rng.choice(("主角", "配角", "反派")), "x", text(rng.choice((1, 2, 3, 9, 10, 11, 40, 41, 90, 148, 150)))) for _ in range(90)]
+    for _ in range(150):
+        name, role, _, d = rng.choice(rows)
+        i = rng.randint(0, len(d))
+        d = (d, d[:i] + text(1) + d[i:], d[:i] + text(1) + d[i + 1 :], d + text(rng.randint(0, 9)), d[: -rng.randint(1, 9)])[rng.randint(0, 4)]
+        rows.append((rng.choice((name, "m", "p", None)), rng.choice((role, role, "配角")), rng.choice(("x", "y", "")), d))
+    rows += rows[:20]
+    sets = [{d[i : i + 2] for i in range(len(d) - 1)} or {d} for _, _, _, d in rows]
+    key = lambda i: (len(rows[i][3]), rows[i][0] is not None, rows[i][0] or "", rows[i][3], rows[i][2], i)
+    want = []
+    for i, (name, role, identity, d) in enumerate(rows):
+        alike = any(rows[j][1] == role and key(j) < key(i) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.9 for j in range(len(rows)))
+        want.append((name, role, identity, d, "identity" if not identity else "description" if not 1 <= len(d) <= 150 else "duplicate" if alike else None))
+    rng.shuffle(rows)
+    got = rules.judge_profiles(spark.createDataFrame(rows, "name string, role string, identity string, description string")).collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got) and all(r.ok == (r.reason is None) for r in got)
+    assert [r.reason for r in got if r.name == "c"] == ["duplicate"] * 2 and sum(w[4] == "duplicate" for w in want) > 60
