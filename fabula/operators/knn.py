@@ -1,26 +1,29 @@
-"""Nearest vectors, exactly: the queries are few and broadcast, every row is read once."""
+"""Nearest vectors, exactly: the queries are broadcast in blocks, and every row is read once for each block."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.vector import squared_l2
 
-#: Queries that one call may broadcast; more are to be asked in blocks.
+#: Queries of a block, about: so many are broadcast at once.
 QUERIES = 10_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest by squared L2 of each query, itself left out; ties to the smaller id.
 
-    The number of queries is checked; only a bounded set is broadcast.
+    More than QUERIES queries are dealt by a hash of their id to blocks of about QUERIES, asked one after the other.
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q"))
-    n = asked.limit(QUERIES + 1).count()
-    if n > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries; ask them in blocks")
-    pairs = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("v")).join(F.broadcast(asked), (F.col("vec_id") != F.col("query_id")) & (F.size("v") == F.size("q")))
+    blocks = -(-asked.count() // QUERIES) or 1
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("v"))
+    met = (F.col("vec_id") != F.col("query_id")) & (F.size("v") == F.size("q"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    pairs = reduce(DataFrame.unionAll, [rows.join(F.broadcast(asked.where(block == i)), met) for i in range(blocks)])
     scored = pairs.select("query_id", "vec_id", squared_l2(F.col("v"), F.col("q")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -26,11 +26,12 @@ def entity_type(raw: Column) -> Column:
 def user_error(errors: DataFrame, keywords: DataFrame, text: str = "error", limit: int = 200) -> DataFrame:
     """`errors` with a message: that of the keyword (keyword, message, priority) found in the text with least priority, else the text, cut.
 
-    Keywords are a small fixed table; each is looked for in the text as a column.
+    All keywords go along as one broadcast list in the order of priority, then of keyword; none is left out.
     """
-    known = sorted(keywords.limit(1000).collect(), key=lambda r: r.priority)
-    found = [F.when(F.contains(F.lower(text), F.lit(r.keyword.lower())), F.lit(r.message)) for r in known]
-    return errors.withColumn("message", F.coalesce(*found, F.substring(text, 1, limit)))
+    one = keywords.select(F.struct("priority", F.lower("keyword").alias("keyword"), "message").alias("k")).where("k.keyword is not null and k.message is not null")
+    known = one.agg(F.array_sort(F.collect_list("k")).alias("known_keywords"))
+    found = F.get(F.filter("known_keywords", lambda k: F.contains(F.lower(text), k["keyword"])), 0)["message"]
+    return errors.crossJoin(F.broadcast(known)).withColumn("message", F.coalesce(found, F.substring(text, 1, limit))).drop("known_keywords")
 
 
 def directed(relations: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from fabula.functions import folds
-from fabula.operators import rules
+from fabula.operators import knn, rules
 
 
 def test_sentence_cuts_cover_the_text(spark):
@@ -53,3 +53,23 @@ def test_alike_profiles_are_found_whatever_lies_between(spark):
     got = rules.judge_profiles(spark.createDataFrame(rows, "name string, role string, identity string, description string")).collect()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got) and all(r.ok == (r.reason is None) for r in got)
     assert [r.reason for r in got if r.name == "c"] == ["duplicate"] * 2 and sum(w[4] == "duplicate" for w in want) > 60
+
+
+def test_nearest_asks_many_queries_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    vectors = [(i, [rng.randint(0, 9) / 2 for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(knn, "QUERIES", 10)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in knn.nearest(df, df.where("vec_id < 35"), 3).collect())
+    want = []
+    for q, x in vectors[:35]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), i) for i, y in vectors if i != q)[:3]
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(near)]
+    assert got == want
+
+
+def test_every_keyword_is_looked_for(spark):
+    errors = spark.createDataFrame([("Word 7 failed, word 1490 too",), ("none",), (None,)], "error string")
+    keywords = spark.createDataFrame([(f"WORD {i} ", str(i), -i) for i in range(1500)], "keyword string, message string, priority int")
+    assert [r.message for r in rules.user_error(errors, keywords).collect()] == ["1490", "none", None]
+    assert [r.message for r in rules.user_error(errors, keywords.limit(0)).collect()] == ["Word 7 failed, word 1490 too", "none", None]
