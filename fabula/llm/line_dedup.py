@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fabula.llm import packed
 from fabula.llm.repeats import shared_only
 from fabula.llm.shared import bucketed, slots, stored, tasks, texts
-from fabula.llm.textkit import CODES, Words, mix, parts, prefix, slices, text_bytes
+from fabula.llm.textkit import Words, mix, parts, range_hashes, text_bytes
 
 #: Fewer lines, or bytes, are no passage and stay.
 LEAST_LINES, LEAST_BYTES = 2, 40
@@ -63,7 +63,7 @@ def send_chunks(slot_ids: list[int]):
             raw, off = text_bytes(b.column("text"))
             row, s, e, _ = chunks(raw, off)
             if len(row):
-                high, low = (slices(prefix(CODES[i][raw], i), s, e, i) for i in (0, 1))
+                high, low = (range_hashes(raw, s, e, i) for i in (0, 1))
                 yield packed.deal(slot_ids, high, {"high": high, "low": low, "docs": b.column("doc_id").to_numpy()[row], "starts": (s - off[row]).astype(np.uint32), "sizes": (e - s).astype(np.uint32)})
 
     return run

@@ -4,13 +4,18 @@ A text's shingle set gets a signature of b-bit minima. Signatures are split into
 principle two of distance at most CHUNKS * (ERRORS + 1) - 1 have a chunk with at most ERRORS = 1 differing
 values, so each signature enters, for each chunk, one key for every value that may differ: all pairs within the
 distance meet under some key. Equal sets are one class with one representative. Representatives that share a key
-are linked, where the full sets confirm it, first to the key's smallest id; then only pairs whose ends these links
-leave in different components are looked at.
+are first looked at against the key's smallest id, and linked where the full sets confirm it; then only pairs
+whose ends these links leave in different components are looked at, each under the first key that it shares.
+
+Before texts are read, a pair must pass what is certain without them: the sizes of the sets, and an upper bound of
+their intersection from bitmaps (an element whose bit the other set lacks is not in it). Only pairs of ids are moved to
+the texts, which lie in buckets of doc_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fabula.llm import packed
 from fabula.llm.components import connected
-from fabula.llm.shared import bucketed, slots, stored, tasks, texts
+from fabula.llm.shared import bucketed, drop, passing, slots, stored, tasks, texts
 from fabula.llm.textkit import LOWER, SPACE_WORDS, Words, mix, parts, prefix, slices, text_bytes
 
 CHUNKS, WIDTH, ERRORS = 19, 5, 1
@@ -27,33 +32,60 @@ VALUES = CHUNKS * WIDTH
 #: Greatest number of differing signature values for which the join is complete. Of two sets of similarity 0.8
 #: the signatures differ in 19 values on average, with a standard deviation of 3.9.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Members of a key that are compared as one block; a larger key's blocks are compared pair by pair.
+#: Members of a key that are compared as one block; a larger key's blocks are compared with blocks of its minority.
 BLOCK = 1024
-#: Members that a star has at most, about, and pairs of one text that are checked in one place.
+#: Members that a star has at most, about, and pairs of one id that are checked in one place.
 STAR, HUB = 64, 256
+#: Bits of a bitmap for each element of its set, at least.
+BITS = 8
+#: Pairs that a task compares at once.
+AT_ONCE = 1 << 15
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 XORS = _RNG.integers(0, 2**32, VALUES, dtype=np.uint32)
 ODDS = _RNG.integers(0, 2**31, (2, VALUES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
-    """By row the sorted distinct hashes of its n-word shingles; of a shorter text, the whole sequence's."""
-    words = Words(LOWER[raw], off, SPACE_WORDS)
-    p = prefix(words.hashes())
+def shingle_hashes(words: Words, n: int, which: int = 0) -> list[np.ndarray]:
+    """By row the hashes of its n-word shingles, in their order; of a shorter text, the whole sequence's."""
+    p = prefix(words.hashes(which), which)
     starts = np.arange(max(0, len(words) - n + 1))
-    h = slices(p, starts, starts + n) if len(starts) else np.zeros(0, np.uint64)
+    h = slices(p, starts, starts + n, which) if len(starts) else np.zeros(0, np.uint64)
     out = []
     for i, j in zip(words.row_at[:-1].tolist(), words.row_at[1:].tolist(), strict=True):
         if j - i >= n:
-            out.append(np.unique(h[i : j - n + 1]))
-        elif j > i:
-            out.append(slices(p, np.array([i]), np.array([j])))
+            out.append(h[i : j - n + 1])
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(slices(p, np.array([i]), np.array([j]), which) if j > i else np.zeros(0, np.uint64))
     return out
 
 
+def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
+    return [np.unique(h) for h in shingle_hashes(words, n)]
+
+
+@dataclass
+class Sets:
+    """The shingle sets of a batch, and 128-bit digests of them from two independent hashes of each word."""
+
+    sets: list[np.ndarray]
+    digests: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array, n: int) -> Sets:
+        raw, off = text_bytes(column)
+        words = Words(LOWER[raw], off, SPACE_WORDS)
+        sets, digests = [], []
+        for x, y in zip(shingle_hashes(words, n), shingle_hashes(words, n, 1), strict=True):
+            own, at = np.unique(x, return_index=True)
+            sets.append(own)
+            digests.append((own.sum(dtype=np.uint64), mix(y[at] + own).sum(dtype=np.uint64)))
+        return cls(sets, np.array(digests, np.uint64).reshape(-1, 2).view(np.int64))
+
+    def sizes(self) -> np.ndarray:
+        return np.array([len(s) for s in self.sets], np.int64)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Rows of VALUES 16-bit minima; zeros for an empty set."""
     out = np.zeros((len(sets), VALUES), np.uint16)
@@ -71,6 +103,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Bits of a set's elements, by their low bits; a power of two of them, so that a larger bitmap folds to a smaller one."""
+    size = 1 << max(6, (BITS * len(own) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(x: list[bytes], y: list[bytes], nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of sets whose sizes and bitmaps leave a similarity of `percent` possible; none that has it is left out."""
+    out = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+    lx, ly = np.array([len(b) for b in x], np.int64), np.array([len(b) for b in y], np.int64)
+    shape = np.where(out, lx * (1 << 32) + ly, -1)
+    for both in np.unique(shape[out]).tolist():
+        at = np.flatnonzero(shape == both)
+        a, b = (np.frombuffer(b"".join([z[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1) for z in (x, y))
+        width = min(a.shape[1], b.shape[1])
+        a, b = (np.bitwise_or.reduce(z.reshape(len(at), -1, width), axis=1).view(np.uint64) for z in (a, b))
+        least = lambda n, z: n[at] - np.bitwise_count(z).sum(1, dtype=np.int64)
+        most = np.minimum(least(nx, a & ~b), least(ny, b & ~a))
+        out[at] = 100 * most >= percent * (nx[at] + ny[at] - most)
+    return out
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """Rows of keys: for each chunk and each value in it, a hash of the chunk's other values."""
     x = mix(sig.astype(np.uint64) + (np.arange(VALUES, dtype=np.uint64) << np.uint64(16)) + np.uint64(1))
@@ -78,13 +134,27 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return mix(np.repeat(whole, WIDTH, axis=1) - x + np.arange(VALUES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def features(n: int):
+def digests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            sets = shingle_sets(*text_bytes(b.column("text")), n)
-            sig = signatures(sets)
-            digest = [np.array([[x.sum(dtype=np.uint64), mix(x + np.uint64(7)).sum(dtype=np.uint64)]], np.uint64).view(np.int64)[0] for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+            s = Sets.of(b.column("text"), n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.sizes()), pa.array(s.digests[:, 0]), pa.array(s.digests[:, 1])], names=["doc_id", "n_shingles", "d1", "d2"])
+
+    return run
+
+
+def sketches(n: int):
+    """Size, signature and bitmap of the texts whose digests are those that are asked for (rows of one id may differ), once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in parts(batches):
+            s = Sets.of(b.column("text"), n)
+            fit = (s.digests[:, 0] == b.column("d1").to_numpy()) & (s.digests[:, 1] == b.column("d2").to_numpy()) & (s.sizes() == b.column("n_shingles").to_numpy())
+            ids = b.column("doc_id").to_pylist()
+            at = np.array([i for i in np.flatnonzero(fit).tolist() if ids[i] not in seen and not seen.add(ids[i])], np.int64)
+            sets = [s.sets[i] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(s.sizes()[at].astype(np.int32)), pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["doc_id", "size", "sig", "bits"])
 
     return run
 
@@ -97,60 +167,94 @@ def spread(slot_ids: list[int]):
         for b in batches:
             for i in range(0, b.num_rows, 4000):
                 own = b.slice(i, 4000)
-                keys = chunk_keys(np.frombuffer(b"".join(own.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES))
+                keys = chunk_keys(signature_rows(own.column("sig")))
                 ids = np.repeat(own.column("doc_id").to_numpy(), VALUES)
                 yield packed.deal(slot_ids, keys.ravel(), {"keys": keys.ravel(), "ids": ids})
 
     return run
 
 
+def signature_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+
+
+MET = "key long, large boolean, block int, blocks int, least long, members array<long>, pivots array<long>"
+
+
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with several members: (key, large, block, blocks, members, pivots), members in blocks of at most BLOCK."""
+    """Stars of the keys with several members (no key; members and their pivots), each pair once in a task; and of keys
+    with more than two the members, in blocks of at most BLOCK."""
     got = packed.gather(batches, PLANES)
     order = np.lexsort((got["ids"], got["keys"]))
     keys, ids = got["keys"][order], got["ids"][order]
+    del got, order
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     keys, ids = keys[new], ids[new]
     _, start, size = np.unique(keys, return_index=True, return_counts=True)
-    met: set[bytes] = set()
+    several = np.repeat(size > 1, size)
+    pivots = np.repeat(ids[start], size)
     out = []
-    for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         own = ids[s : s + n]
-        pivots = np.full(n, own[0])
-        if n <= STAR:
-            mark = own.tobytes()
-            if mark in met:  # the same few met under another key of this task
-                continue
-            met.add(mark)
-        else:  # stars of about STAR members around the least id of each part, and a star of those
+        if n > STAR:  # stars of about STAR members around the least id of each part, and a star of those
             part = mix(own.view(np.uint64)) % np.uint64(1 << (n // STAR).bit_length())
-            order = np.argsort(part, kind="stable")
-            _, first, count = np.unique(part[order], return_index=True, return_counts=True)
-            pivots[order] = np.repeat(own[order[first]], count)
-            pivots[order[first]] = own[0]
+            at = np.argsort(part, kind="stable")
+            _, first, count = np.unique(part[at], return_index=True, return_counts=True)
+            pivots[s + at] = np.repeat(own[at[first]], count)
+            pivots[s + at[first]] = own[0]
         blocks = -(-n // BLOCK)
-        out += [(int(keys[s].view(np.int64)), n > STAR, i, blocks, own[i * BLOCK : (i + 1) * BLOCK], pivots[i * BLOCK : (i + 1) * BLOCK]) for i in range(blocks)]
-    for i in range(0, len(out), 5000):
-        cut = out[i : i + 5000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in cut], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["key", "large", "block", "blocks", "members", "pivots"])
+        out += [(int(keys[s].view(np.int64)), n > STAR, i, blocks, int(own[0]), own[i * BLOCK : (i + 1) * BLOCK], []) for i in range(blocks)]
+    star = np.flatnonzero(several & (pivots != ids))
+    star = star[np.lexsort((ids[star], pivots[star]))]
+    once = np.ones(len(star), bool)
+    once[1:] = (pivots[star][1:] != pivots[star][:-1]) | (ids[star][1:] != ids[star][:-1])
+    star = star[once]
+    out += [(None, False, 0, 0, None, ids[star[i : i + BLOCK]], pivots[star[i : i + BLOCK]]) for i in range(0, len(star), BLOCK)]
+    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    for i in range(0, len(out), 2000):
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out[i : i + 2000]], t) for k, t in enumerate(kinds)], names=["key", "large", "block", "blocks", "least", "members", "pivots"])
+
 
+def near(percent: int):
+    """Of (a, b, and both sizes, signatures and bitmaps) the pairs within DISTANCE whose sets may be alike."""
 
-def near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sig_a, sig_b) the pairs within DISTANCE."""
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, VALUES) for c in ("sig_a", "sig_b"))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x != y).sum(1) <= DISTANCE))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(i, AT_ONCE)
+                x, y = (signature_rows(b.column(c)) for c in ("sig_a", "sig_b"))
+                b = b.filter(pa.array((x != y).sum(1) <= DISTANCE))
+                nx, ny = (b.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b"))
+                fit = may_link(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), nx, ny, percent)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(fit))
+
+    return run
+
+
+def exact_sets(words: Words, n: int) -> list[set]:
+    """The shingle sets in bytes of words, for the batch in which two words share a hash."""
+    rows = [[words.data[s:e].tobytes() for s, e in zip(words.starts[i:j].tolist(), words.ends[i:j].tolist(), strict=True)] for i, j in zip(words.row_at[:-1].tolist(), words.row_at[1:].tolist(), strict=True)]
+    return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in rows]
 
 
 def verify(n: int, percent: int):
+    """Of (a, b, text_a, text_b) the pairs whose full sets are alike; words of one hash are compared byte by byte."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(parts(batches, "text_a"), "text_b"):
-            x, y = (shingle_sets(*text_bytes(b.column(c)), n) for c in ("text_a", "text_b"))
-            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)])
-            union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - both
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((100 * both >= percent * union) & (union > 0)))
+            both = pa.chunked_array([b.column("text_a"), b.column("text_b")]).combine_chunks()
+            raw, off = text_bytes(both)
+            words = Words(LOWER[raw], off, SPACE_WORDS)
+            if words.collide(words.hashes()):
+                sets = exact_sets(words, n)
+                common = np.array([len(x & y) for x, y in zip(sets[: b.num_rows], sets[b.num_rows :], strict=True)])
+            else:
+                sets = shingle_sets(words, n)
+                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[: b.num_rows], sets[b.num_rows :], strict=True)])
+            size = np.array([len(s) for s in sets])
+            union = size[: b.num_rows] + size[b.num_rows :] - common
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((100 * common >= percent * union) & (union > 0)))
 
     return run
 
@@ -164,80 +268,115 @@ def first_key(same: np.ndarray) -> np.ndarray:
     return np.where(meets.any(1), chunk * WIDTH + differs, -1)
 
 
-class Cell:
-    """Members of one key, or of two of its blocks, in the order of their ids."""
+MEMBER = "key long, x int, y int, role int, minor boolean, id long, component long, size int, sig binary, bits binary"
+BOTH, LEFT, RIGHT = range(3)
 
-    def __init__(self, table: pa.Table):
-        self.table = table.combine_chunks().sort_by("id")
-        self.ids, self.own, self.block = (self.table.column(c).to_numpy() for c in ("id", "component", "block"))
-        self.sig = np.frombuffer(b"".join(self.table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-        self.key = self.table.column("key")[0].as_py() if self.table.column("large")[0].as_py() else None
-
-    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Of each member the later ones of other components within DISTANCE, nearest first.
-
-        A pair that meets under several large keys belongs to the first of them.
-        """
-        two = self.block.min() != self.block.max()
-        for i in range(len(self.ids)):
-            at = np.flatnonzero((self.own[i + 1 :] != self.own[i]) & ((self.block[i + 1 :] != self.block[i]) | (not two))) + i + 1
-            if not len(at):
-                continue
-            same = self.sig[at] == self.sig[i]
-            far = VALUES - same.sum(1)
-            fit = far <= DISTANCE
-            if self.key is not None and fit.any():
-                fit &= chunk_keys(self.sig[i : i + 1])[0][first_key(same)].view(np.int64) == self.key
-            if fit.any():
-                yield i, at[fit][np.argsort(far[fit], kind="stable")]
 
+class Cells:
+    """Rows of members (MEMBER), cell by cell: of a key, or of a block of a key and a block of its minority."""
 
-def members_across(table: pa.Table) -> pa.Table:
-    """The members that have a candidate; the others' texts need not be moved."""
-    cell = Cell(table)
-    mask = np.zeros(len(cell.ids), bool)
-    for i, at in cell.candidates():
-        mask[i] = True
-        mask[at] = True
-    return cell.table.filter(pa.array(mask))
+    def __init__(self, table: pa.Table):
+        t = table.combine_chunks()
+        self.key, self.x, self.y, self.role, self.id, self.component = (t.column(c).to_numpy() for c in ("key", "x", "y", "role", "id", "component"))
+        self.minor = t.column("minor").to_numpy(zero_copy_only=False)
+        self.size = t.column("size").to_numpy().astype(np.int64)
+        self.sig, self.bits = signature_rows(t.column("sig")), t.column("bits").to_pylist()
+
+    def borders(self) -> np.ndarray:
+        """Where cells begin, and the end."""
+        n = len(self.key)
+        new = np.append(True, (self.key[1:] != self.key[:-1]) | (self.x[1:] != self.x[:-1]) | (self.y[1:] != self.y[:-1]))[:n]
+        return np.append(np.flatnonzero(new), n)
+
+    def across(self, s: int, e: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs of rows s to e of different components, whose sizes may go together."""
+        left, right = np.flatnonzero(self.role[s:e] != RIGHT) + s, np.flatnonzero(self.role[s:e] != LEFT) + s
+        step = max(1, 4 * AT_ONCE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i = np.repeat(left[at : at + step], len(right))
+            j = np.tile(right, len(left[at : at + step]))
+            # where both ends are in both lists, the pair is seen from either
+            fit = (self.component[i] != self.component[j]) & ((self.id[i] < self.id[j]) | ((self.role[i] == LEFT) & ~self.minor[i]))
+            fit &= 100 * np.minimum(self.size[i], self.size[j]) >= percent * np.maximum(self.size[i], self.size[j])
+            yield i[fit], j[fit]
+
+    def candidates(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Marks pairs within DISTANCE that may be alike and that this key is the first to see."""
+        same = self.sig[i] == self.sig[j]
+        fit = np.flatnonzero(VALUES - same.sum(1) <= DISTANCE)
+        key = chunk_keys(self.sig[i[fit]])[np.arange(len(fit)), first_key(same[fit])].view(np.int64)
+        fit = fit[key == self.key[i[fit]]]
+        a, b = i[fit], j[fit]
+        fit = fit[may_link([self.bits[k] for k in a.tolist()], [self.bits[k] for k in b.tolist()], self.size[a], self.size[b], percent)]
+        out = np.zeros(len(i), bool)
+        out[fit] = True
+        return out
+
+
+def pairs_across(percent: int):
+    """(a, b) of candidates; rows come sorted by cell, and a cell that a batch cuts is carried on."""
+
+    def judged(cells: Cells, borders: np.ndarray) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(len(borders) - 1):
+            waiting += cells.across(int(borders[k]), int(borders[k + 1]), percent)
+            if sum(len(i) for i, _ in waiting) >= AT_ONCE or k == len(borders) - 2:
+                i, j = (np.concatenate([w[side] for w in waiting]) for side in (0, 1))
+                waiting = []
+                for at in range(0, len(i), AT_ONCE):
+                    p, q = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                    fit = cells.candidates(p, q, percent)
+                    a, b = cells.id[p[fit]], cells.id[q[fit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, b])
+            cells = Cells(table)
+            borders = cells.borders()
+            yield from judged(cells, borders[:-1])
+            rest = table.slice(int(borders[-2])).to_batches()
+        if rest:
+            cells = Cells(pa.Table.from_batches(rest))
+            yield from judged(cells, cells.borders())
 
-def link_across(n: int, percent: int):
-    """Links among the candidates of a cell by their full sets; pairs that a link found here has joined are passed over.
+    return run
 
-    Only links come out, so no pairs are moved.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        cell = Cell(table)
-        parent = {c: c for c in cell.own.tolist()}
-        sets: dict[int, np.ndarray] = {}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        def shingles(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_sets(*text_bytes(cell.table.column("text").slice(i, 1)), n)[0]
-            return sets[i]
-
-        a, b = [], []
-        for i, at in cell.candidates():
-            for j in at.tolist():
-                x, y = root(int(cell.own[i])), root(int(cell.own[j]))
-                if x == y:
-                    continue
-                p, q = shingles(i), shingles(j)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    parent[max(x, y)] = min(x, y)
-                    a.append(int(cell.ids[i]))
-                    b.append(int(cell.ids[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def paired(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b; stored) with the columns of both ends from `table`, which lies in buckets of doc_id.
 
-    return run
+    Of ids that very many pairs start from there is one copy for each HUB pairs, so no task gets them all.
+    """
+    one = lambda side: table.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    both = ["a", "b", *[f"{c}_{side}" for c in columns for side in "ab"]]
+    hubs = stored(pairs.groupBy("a").count().where(F.col("count") > HUB).select(F.col("a").alias("hub"), F.ceil(F.col("count") / HUB).cast("int").alias("copies")), "near-dup-hubs")
+    side = pairs.join(hubs, F.col("a") == F.col("hub"), "left").join(one("b"), "b")
+    copied = one("a").join(hubs, F.col("a") == F.col("hub")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("hub", "copies")
+    busy = side.where("copies is not null").withColumn("copy", F.pmod(F.hash("b"), "copies")).join(copied, ["a", "copy"])
+    return side.where("copies is null").join(one("a"), "a").select(*both).unionByName(busy.select(*both))
+
+
+def members_apart(met: DataFrame, reps: DataFrame, first: DataFrame) -> DataFrame:
+    """MEMBER rows of the keys whose members are in several components; of a small key without its pivot, which has met them all."""
+    keys = met.where("key is not null").withColumn("id", F.explode("members")).where("large or id <> least")
+    member = keys.join(first, "id", "left").select("key", "block", "blocks", "id", F.coalesce("component", "id").alias("component"))
+    member = stored(member, "near-dup-members")
+    sides = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("blocks").alias("of")).where("low <> high")
+    # in a key of several blocks only the minority, all but its most frequent component, is compared with all
+    most = member.where("blocks > 1").groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
+    apart = stored(sides.select("key").join(most.select("key", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK).cast("int").alias("few")), "key", "left"), "near-dup-apart")
+    chosen = member.join(apart, "key").withColumn("minor", F.coalesce(F.col("component") != F.col("top"), F.lit(False)))
+    cell = lambda x, y, role: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(role).alias("role"))
+    zero, own = F.lit(0), F.pmod(F.xxhash64("id"), F.greatest("few", F.lit(1)))
+    as_left = F.transform(F.sequence(zero, F.col("few") - 1), lambda y: cell(F.col("block"), y, LEFT))
+    as_right = F.when(F.col("minor"), F.transform(F.sequence(zero, F.col("blocks") - 1), lambda x: cell(x, own, RIGHT))).otherwise(F.array().cast("array<struct<x:int,y:int,role:int>>"))
+    cells = F.explode(F.when(F.col("blocks") == 1, F.array(cell(zero, zero, BOTH))).otherwise(F.concat(as_left, as_right)))
+    out = chosen.withColumn("cell", cells).join(reps.withColumnRenamed("doc_id", "id"), "id")
+    return out.select("key", "cell.x", "cell.y", "cell.role", "minor", "id", "component", "size", "sig", "bits")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -247,56 +386,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     have 100 * intersection >= percent * union are linked; component_id is the smallest doc_id in reach, and the
     document of that id is kept. Texts without words (null too) and rows with a null doc_id are linked with
     nothing and kept (a null doc_id has a null component_id). Rows that share a
-    doc_id are judged each by its own text.
+    doc_id are judged each by its own text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    base = bucketed(texts(docs), "doc_id", "near_dup_texts")
-    feat = stored(base.mapInArrow(features(n), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "near-dup-features")
-    real = feat.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "near-dup-classes")
-    reps = feat.join(classes, (feat.doc_id == F.col("rep")) & (feat.n_shingles == classes.n_shingles) & (feat.d1 == classes.d1) & (feat.d2 == classes.d2), "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"])
-    reps = stored(reps, "near-dup-representatives")
-
-    dealt = reps.mapInArrow(spread(slots(spark)), packed.schema(PLANES)).repartition(tasks(spark), "slot")
-    keys = stored(dealt.mapInArrow(meet, "key long, large boolean, block int, blocks int, members array<long>, pivots array<long>"), "near-dup-keys")
-
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        """Links among candidate pairs (a < b, stored) by the full sets. Texts come from the bucketed table; only pairs move.
-
-        The texts that very many pairs start from are copied, one copy for each HUB pairs.
-        """
-        hubs = stored(pairs.groupBy("a").count().where(F.col("count") > HUB).select(F.col("a").alias("hub"), F.ceil(F.col("count") / HUB).cast("int").alias("copies")), tag + "-hubs")
-        text_a = base.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        side = pairs.join(base.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(hubs, F.col("a") == F.col("hub"), "left")
-        full = side.where("copies is null").join(text_a, "a").select("a", "b", "text_a", "text_b")
-        copied = text_a.join(hubs.hint("shuffle_hash"), F.col("a") == F.col("hub")).select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-        busy = side.where("copies is not null").withColumn("copy", F.pmod(F.hash("b"), "copies")).join(copied, ["a", "copy"]).select("a", "b", "text_a", "text_b")
-        return stored(full.unionByName(busy).mapInArrow(verify(n, percent), "a long, b long").distinct(), tag)
-
-    stars = keys.select(F.explode(F.arrays_zip("members", "pivots")).alias("x")).select(F.col("x.pivots").alias("a"), F.col("x.members").alias("b")).where("a <> b").distinct()
-    signed = stars.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = stored(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(near_signatures, "a long, b long").distinct(), "near-dup-stars")
-    links = confirmed(near, "near-dup-links")
-    first = stored(connected(links), "near-dup-components")
-
-    # Keys whose members are still in several components: pairs across are looked at where the key's members meet.
-    member = keys.select("key", "large", "block", "blocks", F.explode("members").alias("id")).join(first, "id", "left").select("key", "large", "block", "blocks", "id", F.coalesce("component", "id").alias("component"))
-    member = stored(member, "near-dup-members")
-    apart = stored(member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "near-dup-apart")
-    left = stored(member.join(apart, "key").join(reps.select(F.col("doc_id").alias("id"), "sig"), "id"), "near-dup-left")
-    # a cell is a pair of a key's blocks; a member is in the cells of its block and each of them
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
-    spread_out = left.select("key", "large", "block", "id", "component", "sig", cells.alias("cell")).select("key", "large", "block", "id", "component", "sig", "cell.x", "cell.y")
-    few = stored(spread_out.groupBy("key", "x", "y").applyInArrow(members_across, spread_out.schema), "near-dup-candidates")
-    full = few.join(base.select(F.col("doc_id").alias("id"), "text"), "id")
-    more = stored(full.groupBy("key", "x", "y").applyInArrow(link_across(n, percent), "a long, b long").distinct(), "near-dup-more")
-    stars_so_far = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    final = stored(connected(stars_so_far.unionByName(more)), "near-dup-components")
-
-    of_rep = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    of_rep = stored(of_rep, "near-dup-class-components")
-    out = feat.select("doc_id", "n_shingles", "d1", "d2").join(of_rep, ["n_shingles", "d1", "d2"], "left")
+    with passing() as kept:
+        base = bucketed(texts(docs), "doc_id", "near_dup_texts")
+        feat = stored(base.mapInArrow(digests(n), "doc_id long, n_shingles long, d1 long, d2 long"), "near-dup-digests")
+        real = feat.where("n_shingles > 0 and doc_id is not null")
+        classes = stored(real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "near-dup-classes")
+        asked = base.join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(sketches(n), "doc_id long, size int, sig binary, bits binary")
+        reps = bucketed(asked, "doc_id", "near_dup_sketches", aligned=True)
+
+        dealt = reps.select("doc_id", "sig").mapInArrow(spread(slots(spark)), packed.schema(PLANES)).repartition(tasks(spark), "slot")
+        met = stored(dealt.mapInArrow(meet, MET), "near-dup-keys")
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            found = stored(paired(pairs, base, ["text"]).mapInArrow(verify(n, percent), "a long, b long").distinct(), "near-dup-links")
+            drop(pairs)
+            return found
+
+        stars = stored(met.where("key is null").select(F.explode(F.arrays_zip("members", "pivots")).alias("x")).select(F.col("x.pivots").alias("a"), F.col("x.members").alias("b")).distinct(), "near-dup-stars")
+        links = linked(stored(paired(stars, reps, ["size", "sig", "bits"]).mapInArrow(near(percent), "a long, b long"), "near-dup-near"))
+        drop(stars)
+        first = connected(links)
+
+        # Keys whose members are still in several components: pairs across are looked at where the key's members meet.
+        left = members_apart(met, reps, first).repartition(tasks(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+        more = linked(stored(left.mapInArrow(pairs_across(percent), "a long, b long").distinct(), "near-dup-across"))
+        stars_so_far = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        final = connected(stars_so_far.unionByName(more))
+
+        of_rep = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+        of_rep = stored(of_rep, "near-dup-class-components")
+        kept += [feat, of_rep]
+    out = feat.join(of_rep, ["n_shingles", "d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -304,4 +427,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps; all columns stay, in their order."""
     gone = stored(near_duplicates(docs, n, percent).where("not kept").select("doc_id").distinct(), "near-dup-gone")
-    return docs.join(gone.hint("shuffle_hash").withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")

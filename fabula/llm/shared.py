@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Where the tables of this package lie, by the DataFrame that reads them; and those that nobody has dropped yet.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LEFT: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where the cluster names none (as in tests)."""
+    """The folder that all executors see. Only a local session, as in tests, may do without one: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fabula-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,24 +36,56 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return _placed(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def stored_with_sum(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
     """`stored`, and the number of its rows and a sum of their hashes, observed while they are written."""
     seen = Observation()
-    path = scratch(df.sparkSession, tag)
     digest = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(digest).alias("sum")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["sum"])
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(digest).alias("sum")), tag)
+    return out, (seen.get["n"], seen.get["sum"])
+
+
+def _placed(df: DataFrame, place: str) -> DataFrame:
+    _PLACES[df] = place
+    _LEFT[place] = df.sparkSession
+    return df
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that `stored` or `bucketed` made; what is still to be computed from them must not be lazy."""
+    for df in tables:
+        _drop_place(_PLACES.pop(df))
+
+
+def _drop_place(place: str) -> None:
+    spark = _LEFT.pop(place)
+    if place.startswith("table "):
+        spark.sql(f"drop table if exists {place[6:]}")
+    else:
+        p = spark._jvm.org.apache.hadoop.fs.Path(place)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables made inside go at the end, but for those that are put on the list: what a lazy result still reads."""
+    before, kept = set(_LEFT), []
+    try:
+        yield kept
+    finally:
+        named = {_PLACES[df] for df in kept if df in _PLACES}
+        for place in set(_LEFT) - before - named:
+            _drop_place(place)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table of this package's own from the shared folder."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+@atexit.register
+def _drop_all() -> None:
+    for place in list(_LEFT):
+        with contextlib.suppress(Exception):  # the session has ended: nothing can be reached any more
+            _drop_place(place)
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,18 +97,19 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, tag: str, aligned: bool = False) -> DataFrame:
     """`df` stored once in buckets of `key` in the warehouse: joins on `key` then move only their other side.
 
-    Where tasks times buckets would make very many files, rows are first dealt out by the key.
+    Where tasks times buckets would make very many files, rows are first dealt out by the key, unless they come out of
+    a table in the same buckets (`aligned`) and so lie together.
     """
     spark = df.sparkSession
     n = tasks(spark)
-    if df.rdd.getNumPartitions() * n > 4096:
+    if not aligned and df.rdd.getNumPartitions() * n > 4096:
         df = df.repartition(n, key)
     name = f"{tag}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return _placed(spark.table(name), "table " + name)
 
 
 def slots(spark: SparkSession) -> list[int]:

@@ -1,8 +1,10 @@
 """Vectorised text work on Arrow columns: words, rolling hashes, windows. All of it runs inside tasks.
 
-A batch's texts are one byte array with offsets; words of all its rows are found at once. Hashes are
-polynomials modulo 2**64 over random byte codes, so that the hash of any slice is the difference of two
-prefix sums times a power; a finaliser spreads the bits.
+A batch's texts are one byte array with offsets; words of all its rows are found at once. Byte ranges such as
+words and lines are hashed eight bytes at a time by a mixing that is not linear. Hashes of sequences of such hashes,
+and of short strings at every place, are polynomials modulo 2**64, so that the hash of any slice is the difference of
+two prefix sums times a power; a finaliser spreads the bits. Polynomials are for fewer than SAFE units: from there on
+there are sequences (Thue-Morse) that collide whatever the base.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ ALNUM_WORDS[0x80:] = True
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 CODES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+SAFE = 1024
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -47,7 +51,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, BATCH_BYTES + 4096)
+        size = max(n, 1 << 16, 0 if have is None else 2 * len(have[0]))
         base = BASES[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -70,6 +74,53 @@ def slices(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0)
     return mix((p[ends] - p[starts]) * powers(which, len(p))[1][starts])
 
 
+#: By number of bytes (up to 8): the mask of a little-endian value's first bytes.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges of any length; `which` chooses one of two independent functions.
+
+    Every eight bytes are mixed with their place in the range, and the results are summed.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(SEEDS[which]))
+    pieces = (size + 7) >> 3
+    total = int(pieces.sum())
+    if not total:
+        return out
+    first = np.cumsum(pieces) - pieces
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    at_once = 1 << 20
+    sums = np.zeros(total + 1, np.uint64)
+    owner = np.repeat(np.arange(len(size)), pieces)
+    for i in range(0, total, at_once):
+        own = owner[i : i + at_once]
+        nth = np.arange(i, i + len(own)) - first[own]
+        at = starts[own] + 8 * nth
+        x = np.ascontiguousarray(view[at]).view("<u8").ravel() & FIRST_BYTES[np.minimum(ends[own] - at, 8)]
+        place = mix(nth.astype(np.uint64) * np.uint64(BASES[1]) + np.uint64(SEEDS[which]))
+        sums[i + 1 : i + 1 + len(own)] = mix(x ^ place)
+    np.cumsum(sums, out=sums, dtype=np.uint64)
+    return mix(out ^ (sums[first + pieces] - sums[first]))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+    """Whether the ranges of `size` bytes that begin at `a` and at `b` are equal, pair by pair."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+        n = size[i:j]
+        own = np.repeat(np.arange(i, j), n)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        out[own[data[a[own] + nth] != data[b[own] + nth]]] = False
+        i = j
+    return out
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows and the offsets of rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -120,7 +171,16 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return slices(prefix(CODES[which][self.data], which), self.starts, self.ends, which)
+        return range_hashes(self.data, self.starts, self.ends, which)
+
+    def collide(self, hashes: np.ndarray) -> bool:
+        """Whether two different words have one hash: equal hashes are checked byte by byte."""
+        order = np.argsort(hashes, kind="stable")
+        a, b = order[:-1], order[1:]
+        met = hashes[a] == hashes[b]
+        a, b = a[met], b[met]
+        size = self.ends - self.starts
+        return bool((size[a] != size[b]).any()) or not same_bytes(self.data, self.starts[a], self.starts[b], size[a]).all()
 
     def joined(self, i: int, j: int, sep: bytes = b" ") -> bytes:
         return sep.join(self.data[a:b].tobytes() for a, b in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist(), strict=True))
@@ -163,4 +223,4 @@ def hash_of(words: list[bytes]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     ends = np.cumsum([len(w) for w in words])
     raw = np.frombuffer(b"".join(words), np.uint8)
-    return slices(prefix(CODES[0][raw]), np.concatenate(([0], ends[:-1])), ends)
+    return range_hashes(raw, np.concatenate(([0], ends[:-1])), ends)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fabula.llm.language_id import sampled
 from fabula.llm.shared import texts
-from fabula.llm.textkit import CODES, LOWER, Lookup, Words, hash_of, parts, prefix, slices, text_bytes
+from fabula.llm.textkit import LOWER, Lookup, Words, hash_of, parts, range_hashes, text_bytes
 
 #: Labelled rows of each class to learn from, as expected by a hash threshold.
 SAMPLE_PER_CLASS = 3000
@@ -119,15 +119,14 @@ class Grammar:
         """By row: weights summed by tag (plain, aimed, negated, reported), and the number of matched clauses."""
         low = LOWER[raw]
         words = Words(low, off, LETTERS)
-        p = prefix(CODES[0][low])
         symbol, weight = np.zeros(len(words), np.int8), np.zeros(len(words))
         size = words.ends - words.starts
         for n, (table, own) in self.stems.items():
             long = np.flatnonzero(size > n)
-            at, key = table.find(slices(p, words.starts[long], words.starts[long] + n))
+            at, key = table.find(range_hashes(low, words.starts[long], words.starts[long] + n))
             symbol[long[at]] = INSULT
             weight[long[at]] = np.maximum(weight[long[at]], own[key])
-        at, key = self.words.find(slices(p, words.starts, words.ends))
+        at, key = self.words.find(words.hashes())
         symbol[at], weight[at] = self.symbol[key], self.weight[key]
         out, clauses = np.zeros((len(off) - 1, 4)), np.zeros(len(off) - 1, np.int64)
         hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
