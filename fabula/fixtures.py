@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fabula.operators.graph import cooccurrence, tokens
+from fabula.operators.tables import numbered
+
+#: A token: letters of any language.
+LETTERS = r"\p{L}+"
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -27,13 +33,21 @@ class Views:
             (F.col("doc_id") % 29 == 0).alias("deleted"),
         )
 
+    def link(self) -> DataFrame:
+        return self.document().where("doc_id % 5 <> 0").select("doc_id", F.col("novel_id").alias("kb_id"))
+
     def linked(self) -> DataFrame:
         """Documents of knowledge bases: kb_id is the novel's id; every fifth document is not linked yet."""
         return self.document().where("doc_id % 5 <> 0").withColumn("kb_id", F.col("novel_id"))
 
+    def novel(self) -> DataFrame:
+        return self.document().select("novel_id", "owner_id", "source").distinct()
+
     def chapter(self) -> DataFrame:
-        no = F.row_number().over(Window.partitionBy("novel_id").orderBy("doc_id"))
-        return self.document().select("novel_id", "owner_id", "doc_id", no.cast("long").alias("chapter_no"), F.col("text").alias("content"), "word_count").withColumn("title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
+        """A novel's documents, numbered. Only ids are numbered, in spans; texts are joined to them."""
+        d = self.document()
+        no = numbered(d.select("novel_id", "doc_id"), ["novel_id"], "doc_id", "chapter_no").select("doc_id", "chapter_no")
+        return no.join(d, "doc_id").select("novel_id", "owner_id", "doc_id", "chapter_no", F.col("text").alias("content"), "word_count").withColumn("title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
 
     def usage(self) -> DataFrame:
         return self.table("events").select(
@@ -44,6 +58,7 @@ class Views:
             F.when(F.col("event_id") % 2 == 0, "chat").otherwise("embed").alias("task_type"),
             F.floor("value").cast("long").alias("tokens_in"),
             (F.col("event_id") % 97).alias("tokens_out"),
+            ((F.floor("value").cast("long") * 3 + F.col("event_id") % 97 * 7).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)")).alias("cost"),
             F.col("ts").alias("created_at"),
         )
 
@@ -53,8 +68,7 @@ class Views:
         return self.table("events").select(task.alias("task_id"), F.col("event_id").alias("seq"), status.alias("status"), (F.col("user_id") % 3).alias("owner_id"), F.when(task % 9 != 0, task % 50).alias("novel_id"), (task % 4 == 0).alias("is_long"), F.col("ts"))
 
     def token(self) -> DataFrame:
-        docs = self.document().where("lang = 'en'")
-        return docs.select("novel_id", "doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pos", "token"))
+        return tokens(self.document(), ["novel_id", "doc_id"], "text", LETTERS)
 
     def entity(self) -> DataFrame:
         """The 100 most frequent tokens of four to six letters of each novel, with a type and an id."""
@@ -63,12 +77,18 @@ class Views:
         types = F.element_at(F.array(*map(F.lit, ("character", "place", "org", "item"))), (F.col("place") % 4 + 1).cast("int"))
         return n.withColumn("place", place).where("place <= 100").select("novel_id", F.col("token").alias("name"), "freq", F.col("place").cast("long").alias("entity_no"), types.alias("type"))
 
+    def edge(self) -> DataFrame:
+        """Co-occurrences of each novel's entities, counted by their numbers; names are joined to the sums."""
+        named = self.entity().select("novel_id", F.col("name").alias("token"), "entity_no")
+        mentions = self.token().join(named, ["novel_id", "token"]).select("novel_id", "doc_id", "pos", F.col("entity_no").cast("int").alias("entity_no"))
+        edges = cooccurrence(mentions, ["novel_id"], "doc_id", "pos", "entity_no")
+        for end in ("source", "target"):
+            edges = edges.join(named.select("novel_id", F.col("entity_no").cast("int").alias(end), F.col("token").alias(f"{end}_name")), ["novel_id", end])
+        return edges.select("novel_id", F.least("source_name", "target_name").alias("source"), F.greatest("source_name", "target_name").alias("target"), "weight")
+
     def relation(self) -> DataFrame:
         """The 60 heaviest co-occurrences of each novel's entities."""
-        from fabula.operators.graph import cooccurrence
-
-        mentions = self.token().join(self.entity().select("novel_id", F.col("name").alias("token")), ["novel_id", "token"])
-        edges = cooccurrence(mentions, ["novel_id"], "doc_id", "pos", "token")
+        edges = self.edge()
         place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("weight"), "source", "target"))
         return edges.withColumn("place", place).where("place <= 60").drop("place")
 
@@ -83,10 +103,11 @@ SQL = """with document as (select doc_id, cast(substr(source, 4) as bigint) nove
 linked as (select *, novel_id kb_id from document where doc_id % 5 <> 0),
 chapter as (select novel_id, owner_id, doc_id, row_number() over (partition by novel_id order by doc_id) chapter_no, text content, word_count, 'Chapter ' || row_number() over (partition by novel_id order by doc_id) title from document),
 usage as (select event_id, user_id % 3 owner_id, case when event_id % 50 <> 0 then event_type end model, user_id % 5 config_id, case when event_id % 2 = 0 then 'chat' else 'embed' end task_type,
- cast(floor(value) as bigint) tokens_in, event_id % 97 tokens_out, ts created_at from events),
+ cast(floor(value) as bigint) tokens_in, event_id % 97 tokens_out, cast(cast(floor(value) as bigint) * 3 + event_id % 97 * 7 as decimal(18,0)) * cast(0.000001 as decimal(7,6)) cost, ts created_at from events),
 task_event as (select event_id % 500 task_id, event_id seq, case event_type when 'error' then 'failed' when 'purchase' then 'success' when 'signup' then 'cancelled' else 'running' end status, user_id % 3 owner_id,
  case when (event_id % 500) % 9 <> 0 then (event_id % 500) % 50 end novel_id, (event_id % 500) % 4 = 0 is_long, ts from events),
-words as (select novel_id, doc_id, regexp_extract_all(lower(text), '[a-z]+') ws from document where lang = 'en'),
+novel as (select distinct novel_id, owner_id, source from document),
+words as (select novel_id, doc_id, regexp_extract_all(lower(text), '\\p{L}+') ws from document),
 token as (select novel_id, doc_id, unnest(range(0, len(ws))) pos, unnest(ws) token from words),
 entity as (select novel_id, token as name, freq, place entity_no, ['character', 'place', 'org', 'item'][cast(place % 4 + 1 as int)] type from
  (select *, row_number() over (partition by novel_id order by freq desc, token) place from (select novel_id, token, count(*) freq from token where length(token) between 4 and 6 group by all)) where place <= 100),

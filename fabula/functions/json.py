@@ -28,3 +28,31 @@ def shallow_merge(a: Column, b: Column) -> Column:
     """Map with b's entries over a's."""
     kept = F.map_filter(a, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(b), k), F.lit(False)))
     return F.coalesce(F.map_concat(kept, b), a, b)
+
+
+def as_list(raw: Column) -> Column:
+    """array<string> (JSON of each item) of a JSON array; of an object the first of its values that is an array, or else itself."""
+    item = "array<variant>"
+    texts = lambda xs: F.transform(xs, lambda x: F.to_json(x))
+    whole = F.try_parse_json(raw)
+    lists = F.filter(F.map_values(F.try_variant_get(whole, "$", "map<string,variant>")), lambda x: F.schema_of_variant(x).startswith("ARRAY"))
+    of_object = F.when(F.size(lists) > 0, texts(F.try_variant_get(F.get(lists, 0), "$", item))).otherwise(F.array(F.to_json(whole)))
+    kind = F.schema_of_variant(whole)
+    return F.when(kind.startswith("ARRAY"), texts(F.try_variant_get(whole, "$", item))).when(kind.startswith("OBJECT"), of_object).otherwise(F.array().cast("array<string>"))
+
+
+def director(raw: Column) -> Column:
+    """A director's reply as a struct of review, scene, plot, camera, duration and `fallback` (true where there is no object to read).
+
+    Lists are cleaned; a camera list that the object lacks is looked for anywhere in the reply; what of it slipped
+    into the plot's pieces is cut off there.
+    """
+    text = outermost(raw)
+    fields = F.from_json(text, "prev_chapter_review string, scene_design array<string>, plot_arrangement array<string>, camera_movement array<string>, duration_estimate string")
+    found = lambda name: clean_list(F.coalesce(fields[name], F.array().cast("array<string>")))
+    saved = clean_list(F.transform(rescued_array(raw, "camera_movement"), lambda x: F.replace(x, F.lit('\\"'), F.lit('"'))))
+    camera = F.when(F.size(found("camera_movement")) > 0, found("camera_movement")).otherwise(saved)
+    tidy = F.transform(found("plot_arrangement"), lambda p: F.trim(F.regexp_replace(p, '(?s),?\\s*"?camera_movement"?\\s*:\\s*\\[.*$', "")))
+    plot = F.when(F.size(camera) > 0, tidy).otherwise(found("plot_arrangement"))
+    broken = F.try_parse_json(text).isNull()
+    return F.struct(F.trim(F.coalesce(fields["prev_chapter_review"], F.lit(""))).alias("review"), found("scene_design").alias("scene"), plot.alias("plot"), camera.alias("camera"), F.coalesce(fields["duration_estimate"], F.lit("")).alias("duration"), F.coalesce(broken, F.lit(True)).alias("fallback"))

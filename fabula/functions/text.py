@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 EDGE_BLANKS = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
 
 #: What a chapter heading looks like. A line that begins with one of these, a Markdown mark apart.
-HEADING = "(?mdU)^[ \\t\\u3000]*(?:#{1,6}[ \\t]*)?(?:第[0-9０-９零〇一二三四五六七八九十百千万两]+[章卷节回部篇]|Chapter\\s+[0-9]+|Volume\\s+[0-9]+)[^\\n]*$"
+HEADING = "[ \\t\\u3000]*(?:#{1,6}[ \\t]*)?(?:第[0-9０-９零〇一二三四五六七八九十百千万两]+[章卷节回部篇]|Chapter\\s+[0-9]+|Volume\\s+[0-9]+)[^\\n]*"
 HEADING_LIMIT = 40
+#: A whole line that is a heading, of at most HEADING_LIMIT characters without the blanks at its ends.
+HEADING_LINE = f"(?mdU)^(?=[^\\S\\n]*(?:\\S(?:[^\\n]{{0,{HEADING_LIMIT - 2}}}\\S)?)?[^\\S\\n]*$){HEADING}$"
+#: A heading anywhere in a line, as the analysis of names counts chapters.
+CHAPTER_MARK = "第[一二三四五六七八九十百千零0-9]+[章回节卷部]"
 
-#: What ends a sentence, and what quotes speech.
+#: What ends a sentence, and what opens and closes quoted speech.
 SENTENCE_ENDS = "[。！？!?；;\\n]+"
-QUOTED = "“[^”]*”|「[^」]*」|『[^』]*』|\"[^\"]*\""
+QUOTED = "[\"“'『「][^\"”’』」]*[\"”’』」]"
+#: Where a text is cut, the best place first.
+CUT_AFTER = ("。", "！", "？", "\n\n", "\n", "，", " ")
+#: Expressions of time.
+TIME = "(?:公元前)?[0-9]+年(?:[0-9]+月(?:[0-9]+日)?)?|公元[0-9]+年|[0-9]+世纪|太古|上古|远古|洪荒|纪元[一-龥]{1,6}|[一-龥]{1,5}年间|上古时期"
 
 
 def strip(c: Column) -> Column:
@@ -62,7 +70,9 @@ def occurrences(text: Column, needle: Column) -> Column:
 
 
 def sentence_lengths(text: Column) -> Column:
-    return F.transform(F.filter(F.transform(F.split(text, SENTENCE_ENDS), strip), lambda s: F.length(s) > 0), F.length)
+    """Characters of each sentence that are not blank; sentences without any do not count."""
+    bare = F.transform(F.split(text, SENTENCE_ENDS), lambda s: F.length(F.regexp_replace(s, "(?U)[\\s\\x1c-\\x1f]+", "")))
+    return F.filter(bare, lambda n: n > 0)
 
 
 def variance(values: Column) -> Column:
@@ -91,12 +101,13 @@ def clean_title(title: Column, number: Column) -> Column:
     return F.coalesce(F.when(F.length(flat) > 0, flat), F.concat(F.lit("第"), number.cast("string"), F.lit("章")))
 
 
-def cut_at_sentence(text: Column, limit: int, ends: str = "。！？.!?\n") -> Column:
-    """At most `limit` characters; cut behind the last sentence end if that is past the half."""
+def cut_at_sentence(text: Column, limit: int, after: tuple[str, ...] = CUT_AFTER) -> Column:
+    """At most `limit` characters; cut behind the last of the first separator in `after` that lies past the half."""
     head = F.substring(text, 1, limit)
-    back = F.least(*[F.when(F.locate(e, F.reverse(head)) > 0, F.locate(e, F.reverse(head))) for e in ends])
-    cut = F.length(head) - back + 1
-    return F.when(F.length(text) <= limit, text).when(cut > limit / 2, F.left(text, cut)).otherwise(head)
+    back = lambda mark: F.locate(mark[::-1], F.reverse(head))
+    place = lambda mark: F.length(head) - back(mark) - (len(mark) - 1)
+    cuts = [F.when((back(m) > 0) & (place(m) > limit * 0.5), F.left(text, place(m) + 1)) for m in after]
+    return F.when(F.length(text) <= limit, text).otherwise(F.coalesce(*cuts, head))
 
 
 def bigrams(t: Column) -> Column:
@@ -111,26 +122,39 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def split_chapters(text: Column) -> Column:
     """array<struct<title,content,char_start,char_end>> of the chapters of a text.
 
-    A heading is a line of at most HEADING_LIMIT characters that HEADING matches; a chapter runs to the next heading
+    A heading is a line that HEADING_LINE matches; a chapter runs to the next heading
     and goes if nothing is left of it. Text before the first heading belongs to no chapter; without any chapter the
-    whole text is one, without a title. Offsets are those of the content in the text, behind its heading.
+    whole text is one, without a title. Offsets are those of the content in the text, behind its heading. Null has none.
     """
-    lines = F.split(text, "\n")
-    lengths = F.transform(lines, lambda s: F.length(s) + 1)
-    numbered = F.transform(lines, lambda s, i: F.struct(s.alias("line"), F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x).alias("at")))
-    heads = F.filter(numbered, lambda x: x["line"].rlike(HEADING) & (F.length(strip(x["line"])) <= HEADING_LIMIT))
-    chapters = F.transform(
-        heads,
-        lambda x, i: F.struct(
-            F.substring(strip(F.regexp_replace(x["line"], "^[ \\t\\u3000]*#{1,6}", "")), 1, 200).alias("title"),
-            (x["at"] + F.length(x["line"])).alias("begin"),
-            F.coalesce(F.get(heads, i + 1)["at"], F.length(text)).alias("stop"),
-        ),
-    )
-    whole = F.transform(chapters, lambda c: F.struct(c["title"].alias("title"), strip(F.substring(text, c["begin"] + 1, F.greatest(c["stop"] - c["begin"], F.lit(0)))).alias("content"), c["begin"].alias("char_start"), c["stop"].alias("char_end")))
-    kept = F.filter(whole, lambda c: F.length(c["content"]) > 0)
+    cut = F.struct(F.regexp_extract_all(text, F.lit(HEADING_LINE), F.lit(0)).alias("heads"), F.split(text, HEADING_LINE, -1).alias("pieces"))
+    title = lambda head: F.substring(strip(F.regexp_replace(head, "^[ \\t\\u3000]*#{1,6}", "")), 1, 200)
+
+    def chapters(p: Column) -> Column:
+        sizes = F.zip_with(p["heads"], F.slice(p["pieces"], 2, F.size(p["heads"])), lambda h, t: F.struct(F.length(h).alias("head"), F.length(t).alias("body")))
+        start = F.struct(F.length(p["pieces"][0]).alias("at"), F.array().cast("array<int>").alias("begins"))
+        begins = F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x["head"] + x["body"]).alias("at"), F.concat(a["begins"], F.array(a["at"] + x["head"])).alias("begins")), lambda a: a["begins"])
+        one = lambda h, i, at: F.struct(title(h).alias("title"), strip(p["pieces"][i + 1]).alias("content"), at[i].alias("char_start"), (at[i] + F.length(p["pieces"][i + 1])).alias("char_end"))
+        return bound(begins, lambda at: F.transform(p["heads"], lambda h, i: one(h, i, at)))
+
     alone = F.array(F.struct(F.lit(None).cast("string").alias("title"), strip(text).alias("content"), F.lit(0).alias("char_start"), F.length(text).alias("char_end")))
-    return F.when(F.size(kept) > 0, kept).otherwise(alone)
+    kept = bound(cut, lambda p: F.filter(chapters(p), lambda c: F.length(c["content"]) > 0))
+    return F.when(text.isNotNull(), bound(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(alone)))
+
+
+def mark_chapters(text: Column) -> Column:
+    """array<struct<title,content>>: a text cut at every CHAPTER_MARK, wherever it stands; text before the first is left out, and without any the whole is one."""
+    marks, pieces = F.regexp_extract_all(text, F.lit(CHAPTER_MARK), F.lit(0)), F.split(text, CHAPTER_MARK, -1)
+    cut = F.zip_with(marks, F.slice(pieces, 2, F.size(marks)), lambda m, t: F.struct(m.alias("title"), t.alias("content")))
+    return F.when(F.size(marks) > 0, cut).otherwise(F.array(F.struct(F.lit("").alias("title"), text.alias("content"))))
+
+
+def time_expressions(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TIME), F.lit(0))

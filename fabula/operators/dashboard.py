@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def cost() -> Column:
+    """The sum of costs: of decimals, so that the order of rows does not matter."""
+    return F.sum("cost").cast("double").alias("cost")
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """(name, n) of each table: one row each, so nothing is crossed."""
     out = None
@@ -29,7 +34,16 @@ def by_group(usage: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 
 def estimate(words: Column, rate: int, forced_long: Column | None = None, long_minutes: int = 10) -> tuple[Column, Column]:
-    """Minutes at `rate` words a minute, at least one, and whether that is long."""
-    minutes = F.greatest(F.lit(1), F.ceil(F.coalesce(words, F.lit(0)) / F.lit(rate))).cast("long")
-    is_long = minutes > long_minutes
-    return minutes, is_long if forced_long is None else is_long | forced_long
+    """Minutes at `rate` words a minute, at least one, and whether that is long.
+
+    Without words there is no estimate, but for a task that is long by its kind: `long_minutes`.
+    """
+    forced = F.lit(False) if forced_long is None else forced_long
+    some = F.coalesce(words, F.lit(0)) > 0
+    minutes = F.when(some, F.greatest(F.lit(1), F.ceil(words / F.lit(rate))).cast("long")).when(forced, F.lit(long_minutes).cast("long"))
+    return minutes, F.when(some, (minutes > long_minutes) | forced).otherwise(forced)
+
+
+def completed_at(now: Column, minutes: Column) -> Column:
+    """When a task of so many minutes ends; null without an estimate."""
+    return now + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))

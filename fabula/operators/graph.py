@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tokens(docs: DataFrame, key: str, text: str, pattern: str = "[a-z]+") -> DataFrame:
-    """(key, pos, token): runs of the pattern in the lower-cased text."""
-    return docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("pos", "token"))
+def tokens(docs: DataFrame, keys: list[str], text: str, pattern: str = r"\p{L}+") -> DataFrame:
+    """(keys, pos, token): runs of the pattern in the lower-cased text."""
+    return docs.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("pos", "token"))
+
+
+def tagged(words: DataFrame, dictionary: DataFrame, scope: list[str], word: str = "token", default: str = "x") -> DataFrame:
+    """`words` with the flag that the dictionary (scope, word, flag) gives them, `default` where it has none.
+
+    A dictionary with a scope, such as a novel's own words, holds within it only; nothing is shared between scopes.
+    """
+    named = dictionary.withColumnRenamed("word", word).groupBy(*scope, word).agg(F.min("flag").alias("flag"))
+    return words.join(named, [*scope, word], "left").withColumn("flag", F.coalesce("flag", F.lit(default)))
 
 
 def cooccurrence(mentions: DataFrame, scope: list[str], part: str, pos: str, name: str, reach: int = 80) -> DataFrame:
-    """(scope, source, target, weight): unordered pairs of different names at most `reach` mentions apart in a part.
+    """(scope, source, target, weight): unordered pairs of different names (or numbers of names, which are cheaper) at most `reach` mentions apart in a part.
 
     Mentions are candidates only, so that a frame holds few; no self-join is needed.
     """
@@ -37,3 +46,16 @@ def resolve(names: DataFrame, entities: DataFrame, priority: dict[str, int]) ->
     found = names.join(entities, "name")
     place = F.row_number().over(Window.partitionBy("name", "hint").orderBy((F.col("type") == F.col("hint")).desc(), F.coalesce(rank[F.col("type")], F.lit(99)), "id"))
     return found.withColumn("place", place).where("place = 1").select("name", "hint", "id", "type")
+
+
+def connect(relations: DataFrame, entities: DataFrame, priority: tuple[str, ...]) -> DataFrame:
+    """(novel_id, source_id, target_id, type) of relations between names, each once; an end that no entity (novel_id, name, type, id) bears drops the row.
+
+    Of several entities of one name the type that comes first in `priority` is meant.
+    """
+    rank = F.create_map(*[F.lit(x) for i, t in enumerate(priority) for x in (t, i)])
+    ids = entities.groupBy("novel_id", "name").agg(F.min_by("id", F.struct(F.coalesce(rank[F.col("type")], F.lit(len(priority))), "id")).alias("id"))
+    out = relations
+    for end in ("source", "target"):
+        out = out.join(ids.select("novel_id", F.col("name").alias(end), F.col("id").alias(f"{end}_id")), ["novel_id", end])
+    return out.select("novel_id", "source_id", "target_id", "type").distinct()

@@ -67,6 +67,31 @@ def retry_loop(items: DataFrame, key: str, prompt: str, model: Callable[[int], M
     return done
 
 
+def placed(asked: DataFrame, replies: DataFrame, batch: list[str], number: str) -> DataFrame:
+    """`asked` (batch, number, place) with `by_index`, the reply that names its number, and `by_place`, the one at its place in the batch.
+
+    `replies` are (batch, place, named, reply); a reply that names nothing counts by its place alone.
+    """
+    named = replies.where("named is not null").groupBy(*batch, F.col("named").alias(number)).agg(F.min_by("reply", "place").alias("by_index"))
+    return asked.join(named, [*batch, number], "left").join(replies.select(*batch, "place", F.col("reply").alias("by_place")), [*batch, "place"], "left")
+
+
+def still_missing(rejected: DataFrame, passed: DataFrame, rejected_again: DataFrame, key: str) -> DataFrame:
+    """What was rejected and has since neither passed nor been rejected again: the retry lost it."""
+    return rejected.join(passed.select(key), key, "left_anti").join(rejected_again.select(key), key, "left_anti")
+
+
+def fresh(memo: DataFrame, now, ttl: str) -> DataFrame:
+    """The latest entry (key, reply, created_at) of each key that is not older than `ttl` before `now` (a column)."""
+    live = memo.where(F.col("created_at") >= now - F.expr(f"interval {ttl}"))
+    return live.groupBy("key").agg(F.max_by("reply", "created_at").alias("reply"), F.max("created_at").alias("created_at"))
+
+
+def without_prefix(memo: DataFrame, prefix: str) -> DataFrame:
+    """The memo without the keys that begin with `prefix`."""
+    return memo.where(~F.startswith("key", F.lit(prefix)))
+
+
 def memoised(items: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of `items` by the digest of their text in `memo` (digest, reply)."""
     keyed = items.withColumn("digest", F.sha2("text", 256))

@@ -7,9 +7,27 @@ from pyspark.sql import functions as F
 
 from fabula.functions.text import bigram_jaccard, bigrams
 
-#: Entity types, and what else models call them.
-ENTITY_TYPES = ("character", "place", "org", "item", "event", "time", "concept")
-TYPE_ALIASES = {"person": "character", "people": "character", "location": "place", "organization": "org", "organisation": "org", "object": "item", "thing": "item", "date": "time"}
+#: Entity types in the order of priority, and what else models call them.
+ENTITY_TYPES = ("character", "place", "org", "time_period", "event", "item", "concept")
+TYPE_ALIASES = {
+    "person": "character", "people": "character", "人": "character", "角色": "character",
+    "location": "place", "位置": "place", "场景": "place",
+    "organization": "org", "组织": "org", "势力": "org", "帮派": "org",
+    "time": "time_period", "时间": "time_period", "时期": "time_period", "时代": "time_period",
+    "事件": "event", "情节": "event",
+    "object": "item", "物品": "item", "道具": "item", "武器": "item",
+    "概念": "concept", "设定": "concept",
+}
+
+#: Words that are no names, and what is said of an error by its class or where nothing else fits.
+STOP_WORDS = tuple("的 了 是 在 我 你 他 她 它 们 这 那 有 和 与 及 也 都 就 而 等 着 过 又 个 之 其".split())
+ERROR_CLASSES = {
+    "TimeoutError": "模型服务响应超时，请检查网络或更换模型（后台任务超时）",
+    "CancelledError": "任务已被取消",
+    "ConnectionError": "连接模型服务失败，请检查模型地址是否可访问",
+    "ConnectionRefusedError": "模型服务拒绝连接，请确认模型服务已启动",
+}
+UNKNOWN_ERROR, ERROR_PREFIX = "未知错误，请稍后重试", "系统错误："
 
 #: The roles that a profile may name, and the bounds of this library's own rules.
 ROLES = ("主角", "配角", "反派")
@@ -23,15 +41,29 @@ def entity_type(raw: Column) -> Column:
     return F.coalesce(F.when(t.isin(*ENTITY_TYPES), t), F.try_element_at(aliases, t), F.lit("character"))
 
 
-def user_error(errors: DataFrame, keywords: DataFrame, text: str = "error", limit: int = 200) -> DataFrame:
-    """`errors` with a message: that of the keyword (keyword, message, priority) found in the text with least priority, else the text, cut.
+def valid_name(name: Column) -> Column:
+    """Two to six characters, no stop word, and not digits alone."""
+    return F.length(name).between(2, 6) & ~name.isin(*STOP_WORDS) & ~name.rlike("^[0-9]+$")
 
-    All keywords go along as one broadcast list in the order of priority, then of keyword; none is left out.
+
+def user_error(errors: DataFrame, keywords: DataFrame, text: str = "error", kind: str | None = None, limit: int = 200) -> DataFrame:
+    """`errors` with a message for users.
+
+    In this order: the text of an error whose class (`kind`) is BizError; what ERROR_CLASSES says of the class; that of
+    the keyword (keyword, message, priority) found in the text with least priority, or the text where that message is
+    null; the text on one line, cut to `limit`, behind a prefix. All keywords go along as one broadcast list in the
+    order of priority, then of keyword; none is left out.
     """
-    one = keywords.select(F.struct("priority", F.lower("keyword").alias("keyword"), "message").alias("k")).where("k.keyword is not null and k.message is not null")
+    one = keywords.select(F.struct("priority", F.lower("keyword").alias("keyword"), "message").alias("k")).where("k.keyword is not null")
     known = one.agg(F.array_sort(F.collect_list("k")).alias("known_keywords"))
-    found = F.get(F.filter("known_keywords", lambda k: F.contains(F.lower(text), k["keyword"])), 0)["message"]
-    return errors.crossJoin(F.broadcast(known)).withColumn("message", F.coalesce(found, F.substring(text, 1, limit))).drop("known_keywords")
+    found = F.get(F.filter("known_keywords", lambda k: F.contains(F.lower(text), k["keyword"])), 0)
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\s+", " "))
+    cut = F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).when(flat == "", UNKNOWN_ERROR).otherwise(flat)
+    message = F.when(found.isNotNull(), F.coalesce(found["message"], F.col(text))).otherwise(F.concat(F.lit(ERROR_PREFIX), cut))
+    if kind:
+        classes = F.create_map(*[F.lit(x) for kv in ERROR_CLASSES.items() for x in kv])
+        message = F.when(F.col(kind) == "BizError", F.col(text)).otherwise(F.coalesce(F.try_element_at(classes, F.col(kind)), message))
+    return errors.join(F.broadcast(known), F.lit(True)).withColumn("message", message).drop("known_keywords")  # one row
 
 
 def directed(relations: DataFrame) -> DataFrame:
@@ -96,6 +128,24 @@ def judge_profiles(profiles: DataFrame) -> DataFrame:
     return found.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(*profiles.columns, "reason", "ok")
 
 
+def template_variables(template: Column) -> Column:
+    """The names between double braces, sorted, each once."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(template, F.lit("\\{\\{\\s*([A-Za-z_][A-Za-z0-9_]*)\\s*\\}\\}"), F.lit(1))))
+
+
+def template_valid(template: Column) -> Column:
+    """Whether every double brace that opens closes again, around one name."""
+    bare = F.regexp_replace(template, "\\{\\{\\s*[A-Za-z_][A-Za-z0-9_]*\\s*\\}\\}", "")
+    return ~F.contains(bare, F.lit("{{")) & ~F.contains(bare, F.lit("}}"))
+
+
+def importable_skills(lists: DataFrame, raw: str = "raw") -> DataFrame:
+    """(name, scene, template) of the JSON lists in `raw`: those with a name and a template that is valid."""
+    kind = "array<struct<name:string,scene:string,template:string>>"
+    items = lists.select(F.explode(F.from_json(raw, kind)).alias("x")).select("x.*")
+    return items.where((F.trim("name") != "") & (F.trim("template") != "") & template_valid(F.col("template")))
+
+
 def render(template: Column, values: Column) -> Column:
     """`{{ name }}` replaced from a map, by nothing where it lacks the name: pieces between marks, each with its value."""
     pieces = F.split(template, "\\{\\{")

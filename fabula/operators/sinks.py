@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.text import safe_name
+from fabula.sources.files import table_exists
 
 
 def write_partitions(df: DataFrame, path: str, by: str) -> None:
@@ -14,19 +15,55 @@ def write_partitions(df: DataFrame, path: str, by: str) -> None:
 
 
 def write_blobs(df: DataFrame, path: str, content: str = "content") -> None:
-    """Appends contents under their SHA-256, each once."""
-    df.withColumn("key", F.sha2(content, 256)).dropDuplicates(["key"]).write.mode("append").parquet(path)
+    """Appends contents under their SHA-256; what the table has already, or the call holds twice, is written once."""
+    new = df.withColumn("key", F.sha2(content, 256)).dropDuplicates(["key"])
+    if table_exists(df.sparkSession, path):
+        new = new.join(df.sparkSession.read.parquet(path).select("key"), "key", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def drop_collection(spark: SparkSession, path: str, kb_id: int) -> None:
+    """Removes one base's partition of a table that is partitioned by kb_id; without it nothing happens."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kb_id={int(kb_id)}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def export_csv(chunks: DataFrame, path: str) -> None:
     """Six columns in (doc_id, idx) order, with a header."""
-    rows = chunks.select("doc_id", "idx", "content", "word_count", "chapter_title", "disabled").orderBy("doc_id", "idx")
-    rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    csv_rows(chunks).orderBy("doc_id", "idx").write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def csv_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", "doc_id", "chapter_id", "idx", "word_count", "content")
+
+
+def json_lines(kb: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(kb_id, part, doc_id, idx, line): lines that, in this order, are one object {knowledge_base, chunks[]} for each base.
+
+    No base is gathered into one row: part 0 opens the object, part 1 has a chunk on each line, part 2 closes it.
+    """
+    none = F.lit(None).cast("long")
+    fields = F.to_json(F.struct(*kb.columns))
+    opens = kb.select("kb_id", F.lit(0).alias("part"), none.alias("doc_id"), none.alias("idx"), F.concat(F.lit('{"knowledge_base":'), fields, F.lit(',"chunks":[')).alias("line"))
+    first = F.lag("idx").over(Window.partitionBy("kb_id").orderBy("doc_id", "idx")).isNull()
+    chunk = F.to_json(F.struct(*[c for c in chunks.columns if c != "kb_id"]))
+    rows = chunks.select("kb_id", F.lit(1).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.concat(F.when(first, "").otherwise(","), chunk).alias("line"))
+    return opens.unionByName(rows).unionByName(opens.select("kb_id", F.lit(2).alias("part"), "doc_id", "idx", F.lit("]}").alias("line")))
 
 
 def export_json(kb: DataFrame, chunks: DataFrame, path: str) -> None:
-    """One line for each chunk, with its knowledge base's fields: no base is gathered into one row."""
-    chunks.join(kb.select("kb_id", F.struct(*[c for c in kb.columns if c != "kb_id"]).alias("knowledge_base")), "kb_id").orderBy("doc_id", "idx").write.mode("overwrite").json(path)
+    """The lines of `json_lines` as text, a folder for each base, its files in order."""
+    lines = json_lines(kb, chunks.join(kb.select("kb_id"), "kb_id", "left_semi"))
+    lines.repartitionByRange("kb_id", "part", "doc_id", "idx").sortWithinPartitions("kb_id", "part", "doc_id", "idx").select("kb_id", "line").write.mode("overwrite").partitionBy("kb_id").text(path)
+
+
+def append_audit(changes: DataFrame, path: str, action: str) -> None:
+    """Adds a row for each change (owner_id, target_id) to the log; rows are never changed."""
+    audit_rows(changes, action).write.mode("append").parquet(path)
+
+
+def audit_rows(changes: DataFrame, action: str) -> DataFrame:
+    return changes.select("owner_id", F.lit(action).alias("action"), F.col("target_id").cast("string").alias("target"), F.to_json(F.struct(*[c for c in changes.columns if c != "owner_id"])).alias("detail"))
 
 
 def save_drafts(df: DataFrame, path: str) -> None:

@@ -62,10 +62,11 @@ def chunk_chapter_mode(v):
     return v.chapter().select("doc_id", F.size(T.chapter_windows(F.col("content"), 1500)).cast("long").alias("n_chunks"))
 
 
-@query("""select kb_id, count(*) docs, cast(sum(word_count) as bigint) chars, cast(sum(cast(ceil(greatest(0, length(text) - 800) / 800.0) as bigint) + 1) as bigint) windows from linked group by kb_id""")
+@query(f"""select l.kb_id, docs, chars, chunks from (select kb_id, count(*) docs, cast(sum(word_count) as bigint) chars from linked group by 1) l join (select kb_id, count(*) chunks from linked join ({_chunk_sql(800, 0)}) using (doc_id) group by 1) c on l.kb_id = c.kb_id""")
 def kb_stats(v):
-    n = F.size(T.window_starts(F.length("text"), 800, 0))
-    return v.linked().groupBy("kb_id").agg(F.count("*").alias("docs"), F.sum("word_count").alias("chars"), F.sum(n).alias("windows"))
+    """Documents, characters and chunks of each base: documents joined to their links, chunks counted within their document."""
+    docs = v.document().select("doc_id", "word_count", F.size(T.windows(F.col("text"), 800, 0)).alias("chunks"))
+    return docs.join(v.link(), "doc_id").groupBy("kb_id").agg(F.count("*").alias("docs"), F.sum("word_count").alias("chars"), F.sum("chunks").alias("chunks"))
 
 
 @query("""select doc_id, novel_id, sha256(text) file_hash, row_number() over (partition by novel_id, sha256(text) order by doc_id) = 1 accepted from document where not deleted""")
@@ -81,19 +82,22 @@ def ingest_validate(v):
     return v.document().select("doc_id", verdict.alias("verdict"))
 
 
-@query("""select doc_id from document d where doc_id % 2 = 1 and exists (select 1 from document e where e.doc_id % 2 = 0 and e.text = d.text and e.novel_id = d.novel_id)""")
+@query("""select doc_id from document d where doc_id % 2 = 1 and exists (select 1 from document e where e.doc_id % 2 = 0 and e.text = d.text)""")
 def dup_against_existing(v):
-    d = v.document().select("doc_id", "novel_id", F.sha2("text", 256).alias("h"))
-    return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("novel_id", "h"), ["novel_id", "h"], "left_semi").select("doc_id")
+    """New uploads (odd ids) whose content is there already."""
+    d = v.document().select("doc_id", F.sha2("text", 256).alias("h"))
+    return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("h"), "h", "left_semi").select("doc_id")
 
 
-@query(f"""select novel_id, chapter_no % 7 part, count(*) chapters, cast(sum(length({TRIMMED.format('content')})) as bigint) chars from chapter where length({TRIMMED.format('content')}) > 0 group by all""")
+@query(f"""select doc_id, count(*) chapters, cast(sum(length(content)) as bigint) chars, max(i) + 1 last_no from (select doc_id, i, {TRIMMED.format("substr(text, cast(i * 1000 + 1 as int), 1000)")} content from
+ (select doc_id, text, unnest(range(0, cast(ceil(greatest(0, length(text) - 1000) / 1000.0) as bigint) + 1)) i from document)) where length(content) > 0 group by 1""")
 def chapter_split_synthetic(v):
-    """Every seventh of a novel's chapters is joined to one text with headings, which is then split again."""
-    rows = v.chapter().groupBy("novel_id", (F.col("chapter_no") % 7).alias("part")).agg(F.sort_array(F.collect_list(F.struct("chapter_no", "title", "content"))).alias("cs"))
-    text = F.array_join(F.transform("cs", lambda c: F.concat(c["title"], F.lit("\n"), c["content"])), "\n")
-    split = rows.select("novel_id", "part", F.explode(T.split_chapters(text)).alias("c"))
-    return split.groupBy("novel_id", "part").agg(F.count("*").alias("chapters"), F.sum(F.length("c.content")).alias("chars"))
+    """Each document's text with a heading before every thousandth character, which is then split again."""
+    starts = T.window_starts(F.length("text"), 1000, 0)
+    text = F.array_join(F.transform(starts, lambda at, i: F.concat(F.lit("Chapter "), (i + 1).cast("string"), F.lit("\n"), F.substring("text", at + 1, F.lit(1000)))), "\n")
+    split = v.document().where(F.length(T.strip(F.col("text"))) > 0).select("doc_id", F.explode(T.split_chapters(text)).alias("c"))
+    no = F.regexp_extract("c.title", "[0-9]+", 0).cast("long")
+    return split.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum(F.length("c.content")).alias("chars"), F.max(no).alias("last_no"))
 
 
 @query("""select novel_id, chapter_no, coalesce(lag(title) over w, '(none)') prev_title, coalesce(lead(title) over w, '(none)') next_title from chapter window w as (partition by novel_id order by chapter_no)""")
@@ -112,9 +116,10 @@ def chapter_page(v):
     return tables.page(v.chapter(), 3, 20, F.col("novel_id"), F.col("chapter_no"), F.col("doc_id")).select("doc_id", "title", F.col("seq").cast("long").alias("seq"))
 
 
-@query("""select novel_id, count(*) kept from chapter where chapter_no <= 30 group by 1""")
+@query("""select novel_id, doc_id, chapter_no from chapter where chapter_no <= 5000""")
 def chapter_cap(v):
-    return v.chapter().where("chapter_no <= 30").groupBy("novel_id").agg(F.count("*").alias("kept"))
+    """At most 5000 chapters of a novel: a limit that is the feature."""
+    return v.chapter().where("chapter_no <= 5000").select("novel_id", "doc_id", "chapter_no")
 
 
 @query("""select doc_id, title from chapter where title ilike '%ter 1%'""")
@@ -177,10 +182,11 @@ def running_offsets(v):
     return v.chapter().select("novel_id", "chapter_no", F.coalesce(before, F.lit(0)).alias("char_start"))
 
 
-@query("""select novel_id, chapter_no, title from (select *, count(*) over (partition by novel_id) n from chapter) where n <= 100 or chapter_no <= 60 or chapter_no > n - 40""")
+@query("""select novel_id, chapter_no place, title line from (select *, count(*) over (partition by novel_id) n from chapter) where n <= 6 or chapter_no <= 4 or chapter_no > n - 2
+ union all select novel_id, 5, '...（中间省略 ' || (count(*) - 6) || ' 章）...' from chapter group by 1 having count(*) > 6""")
 def head_tail_titles(v):
-    n = F.count("*").over(Window.partitionBy("novel_id"))
-    return v.chapter().withColumn("n", n).where("n <= 100 or chapter_no <= 60 or chapter_no > n - 40").select("novel_id", "chapter_no", "title")
+    """A novel's first four titles and its last two, and what is left out between them; the structure prompt takes 60 and 40."""
+    return tables.head_tail(v.chapter(), "novel_id", "chapter_no", "title", 4, 2)
 
 
 @query("""select token, count(*) freq, min(doc_id) first_doc from token where length(token) >= 2 group by 1""")
@@ -191,14 +197,13 @@ def token_freq(v):
 @query("""select novel_id, token as name, count(*) freq, min(doc_id) first_doc from token where length(token) between 2 and 6 and token not in ('the', 'and', 'of', 'to', 'in', 'is', 'are', 'that', 'with') group by all having count(*) >= 10""")
 def person_candidates(v):
     stop = ["the", "and", "of", "to", "in", "is", "are", "that", "with"]
-    named = v.token().where(F.length("token").between(2, 6) & ~F.col("token").isin(stop))
+    named = v.token().where(rules.valid_name(F.col("token")) & ~F.col("token").isin(stop))
     return named.groupBy("novel_id", F.col("token").alias("name")).agg(F.count("*").alias("freq"), F.min("doc_id").alias("first_doc")).where("freq >= 10")
 
 
 @query("""select novel_id, source, target, weight from edge""")
 def cooccurrence(v):
-    mentions = v.token().join(v.entity().select("novel_id", F.col("name").alias("token")), ["novel_id", "token"])
-    return graph.cooccurrence(mentions, ["novel_id"], "doc_id", "pos", "token")
+    return v.edge()
 
 
 @query("""select novel_id, source, target, weight from relation""")
@@ -206,24 +211,23 @@ def cooccurrence_topk(v):
     return v.relation().select("novel_id", "source", "target", "weight")
 
 
-@query("""select doc_id, count(*) tokens, count(distinct token) types from token group by 1""")
+@query("""select doc_id, count(*) tokens, count(distinct token) types, count(distinct token) / cast(count(*) as double) ttr from token group by 1""")
 def ttr(v):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return v.document().where("lang = 'en'").select("doc_id", F.size(words).cast("long").alias("tokens"), F.size(F.array_distinct(words)).cast("long").alias("types")).where("tokens > 0")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(fixtures.LETTERS), F.lit(0))
+    counted = v.document().select("doc_id", F.size(words).cast("long").alias("tokens"), F.size(F.array_distinct(words)).cast("long").alias("types")).where("tokens > 0")
+    return counted.withColumn("ttr", F.col("types") / F.col("tokens").cast("double"))
 
 
-@query("""select doc_id, cast(len(ls) as bigint) sentences, cast(list_sum(ls) as bigint) total, cast(list_sum(list_transform(ls, lambda x: x * x)) as bigint) squares from (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda s: length(trim(s))), lambda n: n > 0) ls from document) where len(ls) > 0""")
+@query("""select doc_id, cast(len(ls) as bigint) sentences, cast(list_sum(ls) as bigint) total, cast(list_sum(list_transform(ls, lambda x: x * x)) as bigint) squares from (select doc_id, list_filter(list_transform(string_split_regex(text, '[。！？!?；;\\n]+'), lambda s: length(regexp_replace(s, '\\s+', '', 'g'))), lambda n: n > 0) ls from document) where len(ls) > 0""")
 def sentence_variance(v):
     """Number, sum and sum of squares of sentence lengths, from which the variance follows without rounding."""
-    ls = F.filter(F.transform(F.split("text", "[.!?\\n]+"), lambda s: F.length(F.trim(s))), lambda n: n > 0)
-    out = v.document().select("doc_id", ls.alias("ls")).where(F.size("ls") > 0)
+    out = v.document().select("doc_id", T.sentence_lengths(F.col("text")).alias("ls")).where(F.size("ls") > 0)
     return out.select("doc_id", F.size("ls").cast("long").alias("sentences"), F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + x * x).alias("squares"))
 
 
-@query("""select doc_id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '"[^"]*"'), lambda s: length(s))), 0) as bigint) quoted, length(text) total from document""")
+@query("""select doc_id, case when length(text) > 0 then coalesce(list_sum(list_transform(regexp_extract_all(text, '["“''『「][^"”’』」]*["”’』」]'), lambda s: length(s))), 0) / cast(length(text) as double) else 0.0 end density from document""")
 def dialogue_density(v):
-    quoted = F.aggregate(F.regexp_extract_all("text", F.lit('"[^"]*"'), F.lit(0)), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return v.document().select("doc_id", quoted.alias("quoted"), F.length("text").cast("long").alias("total"))
+    return v.document().select("doc_id", T.dialogue_density(F.col("text")).alias("density"))
 
 
 @query("""select e.novel_id, e.name, e.type, coalesce(d.degree, 0) degree from entity e left join (select novel_id, name, count(*) degree from (select novel_id, source as name from relation union all select novel_id, target from relation) group by all) d on e.novel_id = d.novel_id and e.name = d.name""")
@@ -231,11 +235,13 @@ def graph_nodes(v):
     return graph.nodes(v.entity(), v.relation(), ["novel_id"]).select("novel_id", "name", "type", "degree")
 
 
-@query("""select r.novel_id, r.source, r.target, r.weight, a.type source_type, b.type target_type from relation r join entity a on r.novel_id = a.novel_id and r.source = a.name join entity b on r.novel_id = b.novel_id and r.target = b.name""")
+@query("""select r.novel_id, r.source, r.target, r.weight, coalesce(a.type, '') source_type, coalesce(b.type, '') target_type from relation r left join (select * from entity where entity_no <= 60) a on r.novel_id = a.novel_id and r.source = a.name left join (select * from entity where entity_no <= 60) b on r.novel_id = b.novel_id and r.target = b.name""")
 def graph_links(v):
-    e = v.entity()
+    """Relations with the types of both ends; of an end that is not among the 60 entities that are shown, an empty one."""
+    e = v.entity().where("entity_no <= 60")
     a, b = e.select("novel_id", F.col("name").alias("source"), F.col("type").alias("source_type")), e.select("novel_id", F.col("name").alias("target"), F.col("type").alias("target_type"))
-    return v.relation().join(a, ["novel_id", "source"]).join(b, ["novel_id", "target"]).select("novel_id", "source", "target", "weight", "source_type", "target_type")
+    out = v.relation().join(a, ["novel_id", "source"], "left").join(b, ["novel_id", "target"], "left")
+    return out.select("novel_id", "source", "target", "weight", F.coalesce("source_type", F.lit("")).alias("source_type"), F.coalesce("target_type", F.lit("")).alias("target_type"))
 
 
 @query("""select novel_id, type, min(entity_no) first_no, count(*) n from entity group by all""")
@@ -251,9 +257,11 @@ def relation_resolve(v):
     return graph.resolve(names, e, {"character": 1, "place": 2, "org": 3, "item": 4})
 
 
-@query("""select novel_id, count(*) > 0 has_graph, count(*) n from relation group by 1""")
+@query("""select n.novel_id, coalesce(k, 0) > 0 has_graph, coalesce(k, 0) n from novel n left join (select novel_id, count(*) k from relation where weight > 60 group by 1) r on n.novel_id = r.novel_id""")
 def graph_exists(v):
-    return v.relation().groupBy("novel_id").agg((F.count("*") > 0).alias("has_graph"), F.count("*").alias("n"))
+    """Whether a novel has relations of more than 60 co-occurrences."""
+    n = v.relation().where("weight > 60").groupBy("novel_id").agg(F.count("*").alias("k"))
+    return v.novel().join(n, "novel_id", "left").select("novel_id", (F.coalesce("k", F.lit(0)) > 0).alias("has_graph"), F.coalesce("k", F.lit(0)).alias("n"))
 
 
 @query("""select c.doc_id, e.name from chapter c join entity e on c.novel_id = e.novel_id and e.type = 'character' and contains(c.content, e.name)""")
@@ -273,9 +281,9 @@ def stats_cards(v):
     return dashboard.counts(novels=v.document().select("novel_id").distinct(), documents=v.document(), turns=v.table("conversations"), vectors=v.table("embeddings"))
 
 
-@query("""select owner_id, cast(coalesce(sum(tokens_in), 0) as bigint) tokens_in, cast(coalesce(sum(tokens_out), 0) as bigint) tokens_out, count(*) calls from usage group by 1""")
+@query("""select owner_id, cast(coalesce(sum(tokens_in), 0) as bigint) tokens_in, cast(coalesce(sum(tokens_out), 0) as bigint) tokens_out, count(*) calls, cast(sum(cost) as double) cost from usage group by 1""")
 def token_usage(v):
-    return dashboard.by_group(v.usage(), ["owner_id"], F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.count("*").alias("calls"))
+    return dashboard.by_group(v.usage(), ["owner_id"], F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.count("*").alias("calls"), dashboard.cost())
 
 
 def _trend_sql(unit: str, n: int) -> str:
@@ -293,20 +301,22 @@ def token_trend_week(v):
     return dashboard.trend(v.usage(), "created_at", "week", 8, "tokens_in", "tokens_out").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
-@query("""select coalesce(model, 'unknown') model, count(*) calls, cast(sum(tokens_in) as bigint) tokens from usage group by usage.model""")
+@query("""select model, calls, tokens, cost, cast(row_number() over (order by calls desc, model) as int) place from (select coalesce(model, 'unknown') model, count(*) calls, cast(sum(tokens_in) as bigint) tokens, cast(sum(cost) as double) cost from usage group by usage.model)""")
 def model_stats(v):
-    return dashboard.by_group(v.usage(), ["model"], F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens")).withColumn("model", F.coalesce("model", F.lit("unknown")))
+    """Models by their calls, most first; there are few, so one task numbers them."""
+    found = dashboard.by_group(v.usage(), ["model"], F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens"), dashboard.cost()).withColumn("model", F.coalesce("model", F.lit("unknown")))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("calls"), "model")))
 
 
-@query("""select config_id, model, task_type, count(*) calls, cast(sum(tokens_in) as bigint) tokens_in, cast(sum(tokens_out) as bigint) tokens_out from usage group by 1, 2, 3""")
+@query("""select config_id, model, task_type, count(*) calls, cast(sum(tokens_in) as bigint) tokens_in, cast(sum(tokens_out) as bigint) tokens_out, cast(sum(cost) as double) cost from usage group by 1, 2, 3""")
 def usage_by_config(v):
-    return dashboard.by_group(v.usage(), ["config_id", "model", "task_type"], F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    return dashboard.by_group(v.usage(), ["config_id", "model", "task_type"], F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), dashboard.cost())
 
 
-@query("""select config_id, task_type, cast(grouping(config_id) + grouping(task_type) as bigint) lvl, count(*) calls, cast(sum(tokens_in) as bigint) tokens_in from usage group by rollup (config_id, task_type)""")
+@query("""select config_id, task_type, cast(grouping(config_id) + grouping(task_type) as bigint) lvl, count(*) calls, cast(sum(tokens_in) as bigint) tokens_in, cast(sum(cost) as double) cost from usage group by rollup (config_id, task_type)""")
 def usage_total(v):
     """Groups, subtotals and the grand total in one pass."""
-    return v.usage().rollup("config_id", "task_type").agg((F.grouping("config_id") + F.grouping("task_type")).cast("long").alias("lvl"), F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"))
+    return v.usage().rollup("config_id", "task_type").agg((F.grouping("config_id") + F.grouping("task_type")).cast("long").alias("lvl"), F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), dashboard.cost())
 
 
 _TASKS = "(select * from (select *, row_number() over (partition by task_id order by seq desc) place from task_event) where place = 1)"
@@ -372,11 +382,15 @@ def vec_knn_all(v):
     return knn.nearest(e, e.where("vec_id % 100 = 0"), 3).select("query_id", "vec_id", "rank")
 
 
-@query("""select vec_id, case when vec_id % 10 = 0 then label + 100 else label end label from embeddings union all select vec_id + 1000000, label from embeddings where vec_id % 10 = 1""")
+@query("""select vec_id, case when vec_id % 20 = 0 then label + 101 else label end label from embeddings union all select vec_id + 1000000, label from embeddings where vec_id % 10 = 1""")
 def vec_upsert(v):
+    """Of a key that comes twice the later version counts; an empty document changes nothing."""
     e = v.table("embeddings").select("vec_id", "label")
-    delta = e.where("vec_id % 10 = 0").select("vec_id", (F.col("label") + 100).alias("label")).unionByName(e.where("vec_id % 10 = 1").select((F.col("vec_id") + 1000000).alias("vec_id"), "label"))
-    return tables.upsert(e, delta, ["vec_id"])
+    twice = e.where("vec_id % 10 = 0").withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
+    changed = twice.select("vec_id", (F.col("label") + 100 + F.col("version")).alias("label"), "version", F.when(F.col("vec_id") % 20 == 0, "text").otherwise(" ").alias("document"))
+    new = e.where("vec_id % 10 = 1").select((F.col("vec_id") + 1000000).alias("vec_id"), "label", F.lit(0).alias("version"), F.lit("text").alias("document"))
+    base = e.select("vec_id", "label", F.lit(0).alias("version"), F.lit("text").alias("document"))
+    return tables.upsert_documents(base, changed.unionByName(new), ["vec_id"], "document", F.desc("version")).select("vec_id", "label")
 
 
 @query("""select vec_id, label from embeddings where label <> 3 and vec_id % 13 <> 0""")
@@ -421,15 +435,20 @@ def insert_ignore(v):
     return tables.insert_ignore(e.limit(0), e, ["task_id"], F.col("seq"))
 
 
-@query("""select kb_id, doc_id, case when kb_id % 4 = 0 then 2 else 1 end version from linked where kb_id % 4 <> 0 or doc_id % 2 = 0""")
+@query("""select kb_id, doc_id, case when kb_id % 4 = 0 then 2 else 1 end version from linked where kb_id % 4 not in (0, 1) or kb_id % 4 = 0 and doc_id % 2 = 0""")
 def replace_all(v):
+    """Every fourth base is rebuilt from half of its documents, and the next to it from none."""
     base = v.linked().select("kb_id", "doc_id", F.lit(1).alias("version"))
-    return tables.replace_all(base, base.where("kb_id % 4 = 0 and doc_id % 2 = 0").withColumn("version", F.lit(2)), ["kb_id"])
+    rebuilt = base.where("kb_id % 4 in (0, 1)").select("kb_id")
+    return tables.replace_all(base, base.where("kb_id % 4 = 0 and doc_id % 2 = 0").withColumn("version", F.lit(2)), ["kb_id"], rebuilt)
 
 
-@query("""select 'document' kind, count(*) n from document where novel_id % 6 <> 0 union all select 'chapter', count(*) from chapter where novel_id % 6 <> 0 union all select 'link', count(*) from linked where novel_id % 6 <> 0""")
+@query(f"""select 'document' kind, count(*) n from document where novel_id % 6 <> 0 union all select 'chapter', count(*) from chapter where novel_id % 6 <> 0 union all select 'link', count(*) from linked where novel_id % 6 <> 0
+ union all select 'chunk', count(*) from ({_chunk_sql(800, 0)}) join document using (doc_id) where novel_id % 6 <> 0""")
 def cascade_delete(v):
-    left = tables.delete_cascade({"document": v.document(), "chapter": v.chapter(), "link": v.linked()}, v.document().where("novel_id % 6 = 0"), "novel_id", {n: "novel_id" for n in ("document", "chapter", "link")})
+    """A novel's documents, chapters and links go with it, and the chunks with their documents."""
+    chunks = _chunks(v, 800, 0).select("doc_id", "piece_no")
+    left = tables.delete_cascade({"document": v.document(), "chapter": v.chapter(), "link": v.linked(), "chunk": chunks}, v.document().where("novel_id % 6 = 0"), "novel_id", {n: "novel_id" for n in ("document", "chapter", "link")}, {"chunk": ("document", "doc_id")})
     return dashboard.counts(**left).withColumnRenamed("name", "kind")
 
 
@@ -515,10 +534,14 @@ def sentence_chunks(v):
     return v.document().select("doc_id", F.explode(folds.sentence_chunks(F.col("text"), 1000, 100, ".\n")).alias("c")).select("doc_id", F.col("c.start").cast("long").alias("start"), F.col("c.stop").cast("long").alias("stop"))
 
 
-@query("""select novel_id, name, case when length(name) = 4 then 'place' when length(name) = 5 then 'org' else 'character' end type from entity""")
+_RAW_TYPES = (" Location", "ORG", "hero", "time_period", "时代", "武器", "设定", "", "势力", "情节")
+_TYPES = ("place", "org", "character", "time_period", "time_period", "item", "concept", "character", "org", "event")
+
+
+@query(f"""select event_id, {list(_TYPES)}[cast(event_id % {len(_TYPES)} as int) + 1] as type from events""")
 def entity_types(v):
-    raw = F.when(F.length("name") == 4, " Location").when(F.length("name") == 5, "ORG").otherwise("hero")
-    return v.entity().select("novel_id", "name", rules.entity_type(raw).alias("type"))
+    raw = F.element_at(F.array(*map(F.lit, _RAW_TYPES)), (F.col("event_id") % len(_TYPES) + 1).cast("int"))
+    return v.table("events").select("event_id", rules.entity_type(raw).alias("type"))
 
 
 @query("""select distinct r.novel_id, r.source, r.target, 'near' type from relation r join entity a on a.novel_id = r.novel_id and a.name = r.source and a.entity_no <= 50 join entity b on b.novel_id = r.novel_id and b.name = r.target and b.entity_no <= 50""")
@@ -532,11 +555,14 @@ def relations_directed(v):
     return rules.directed(raw)
 
 
-@query("""select event_id, case when event_type = 'error' then 'failed at ' || user_id else event_type end message from events""")
+@query("""select event_id, case when event_id % 7 = 0 then '任务已被取消' when event_id % 7 = 1 then 'as is ' || user_id when event_type = 'error' then '系统错误：failed at ' || user_id when event_type = 'click' then 'seen: CLICK' else event_type end message from events""")
 def error_messages(v):
-    e = v.table("events").select("event_id", F.when(F.col("event_type") == "error", F.concat(F.lit("failed at "), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("seen: "), F.upper("event_type"))).alias("error"))
-    kinds = v.spark.createDataFrame([(k, k, i) for i, k in enumerate(("view", "click", "purchase", "signup"))], "keyword string, message string, priority int")
-    return rules.user_error(e, kinds).select("event_id", "message")
+    """By class, passed through, by keyword (one of them passes the text through), and else behind a prefix on one line."""
+    seen = F.when(F.col("event_type") == "error", F.concat(F.lit("failed \n at  "), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("seen: "), F.upper("event_type")))
+    kind = F.when(F.col("event_id") % 7 == 0, "CancelledError").when(F.col("event_id") % 7 == 1, "BizError").otherwise("ValueError")
+    e = v.table("events").select("event_id", kind.alias("kind"), F.when(F.col("event_id") % 7 == 1, F.concat(F.lit("as is "), F.col("user_id").cast("string"))).otherwise(seen).alias("error"))
+    kinds = v.spark.createDataFrame([(k, None if k == "click" else k, i) for i, k in enumerate(("view", "click", "purchase", "signup"))], "keyword string, message string, priority int")
+    return rules.user_error(e, kinds, kind="kind").select("event_id", "message")
 
 
 @query("""select event_id, 'Hi ' || event_type || ', no. ' || user_id || '!' rendered from events""")
@@ -558,9 +584,24 @@ def embed_batches(v):
 
 @query()
 def name_contexts(v):
-    """What each chapter says around the most frequent character of its novel."""
-    cast = tables.latest(v.entity().where("type = 'character'"), ["novel_id"], F.desc("freq"), F.col("name")).select("novel_id", "name")
-    return v.chapter().join(cast, "novel_id").select("doc_id", "name", F.sha2(folds.name_context(F.col("content"), F.col("name")), 256).alias("context_sha"))
+    """What each chapter says around each character of its novel that it names."""
+    cast = v.entity().where("type = 'character'").select("novel_id", "name")
+    met = v.chapter().join(cast, "novel_id").where(F.contains(F.lower("content"), F.col("name")))
+    return met.select("doc_id", "name", F.sha2(folds.name_context(F.lower("content"), F.col("name")), 256).alias("context_sha"))
+
+
+@query()
+def pair_contexts(v):
+    """What a chapter says where the two ends of a relation stand close together."""
+    pairs = v.relation().where("weight > 60").select("novel_id", "source", "target")
+    met = v.chapter().join(pairs, "novel_id").where(F.contains(F.lower("content"), F.col("source")) & F.contains(F.lower("content"), F.col("target")))
+    return met.select("doc_id", "source", "target", F.sha2(folds.pair_context(F.lower("content"), F.col("source"), F.col("target")), 256).alias("context_sha"))
+
+
+@query()
+def sentence_pieces(v):
+    """Chunks of at most 600 characters cut at sentence ends, without overlap."""
+    return v.document().select("doc_id", F.explode(folds.sentence_chunks(F.col("text"), 600, 0, "\n.!?")).alias("c")).select("doc_id", F.col("c.start").cast("long").alias("start"), F.col("c.stop").cast("long").alias("stop"))
 
 
 @query("""select event_type, count(*) probes, cast(floor(avg(user_id)) as bigint) latency, count(*) filter (where event_id % 10 <> 0) ok from events group by 1""")
@@ -579,14 +620,19 @@ def chapter_range(v):
     return v.chapter().where(F.col("chapter_no").between(3, 9)).join(v.table("labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id")
 
 
-@query("""select novel_id, coalesce(r.reply, p.reply, '') reply, c.chapter_no from chapter c left join (select chapter_no, 'by index ' || chapter_no reply from chapter where novel_id = 1 and chapter_no % 2 = 0) r on r.chapter_no = c.chapter_no
- left join (select chapter_no, 'by place ' || chapter_no reply from chapter where novel_id = 1 and chapter_no % 3 = 0) p on p.chapter_no = c.chapter_no where novel_id = 1""")
+@query(""", r as (select *, row_number() over (partition by novel_id, batch order by chapter_no desc) place from (select novel_id, cast(floor((chapter_no - 1) / 3) as bigint) batch, chapter_no, doc_id from chapter) where chapter_no % 4 <> 0),
+ c as (select *, row_number() over (partition by novel_id, batch order by chapter_no) place from (select novel_id, cast(floor((chapter_no - 1) / 3) as bigint) batch, chapter_no from chapter))
+ select c.novel_id, c.chapter_no, coalesce('by index ' || i.doc_id, 'by place ' || p.doc_id, '') reply from c left join (select * from r where chapter_no % 2 = 0) i on i.novel_id = c.novel_id and i.batch = c.batch and i.chapter_no = c.chapter_no left join r p on p.novel_id = c.novel_id and p.batch = c.batch and p.place = c.place""")
 def batch_replies(v):
-    """A model's replies joined to chapters by index, else by place."""
-    c = v.chapter().where("novel_id = 1").select("novel_id", "chapter_no")
-    by_index = c.where("chapter_no % 2 = 0").select("chapter_no", F.concat(F.lit("by index "), F.col("chapter_no").cast("string")).alias("a"))
-    by_place = c.where("chapter_no % 3 = 0").select("chapter_no", F.concat(F.lit("by place "), F.col("chapter_no").cast("string")).alias("b"))
-    return c.join(by_index, "chapter_no", "left").join(by_place, "chapter_no", "left").select("novel_id", F.coalesce("a", "b", F.lit("")).alias("reply"), "chapter_no")
+    """A model's replies to batches of three chapters, joined by the chapter that a reply names, else by its place in the batch.
+
+    Here a reply stands in reverse order and names its chapter only if that is even; every fourth chapter has none.
+    """
+    c = v.chapter().select("novel_id", F.floor((F.col("chapter_no") - 1) / 3).alias("batch"), "chapter_no", "doc_id")
+    batch = Window.partitionBy("novel_id", "batch")
+    sent = c.where("chapter_no % 4 <> 0").withColumn("place", F.row_number().over(batch.orderBy(F.desc("chapter_no")))).select("novel_id", "batch", "place", F.when(F.col("chapter_no") % 2 == 0, F.col("chapter_no")).alias("named"), F.col("doc_id").cast("string").alias("reply"))
+    asked = c.withColumn("place", F.row_number().over(batch.orderBy("chapter_no"))).drop("doc_id")
+    return model_calls.placed(asked, sent, ["novel_id", "batch"], "chapter_no").select("novel_id", "chapter_no", F.coalesce(F.concat(F.lit("by index "), "by_index"), F.concat(F.lit("by place "), "by_place"), F.lit("")).alias("reply"))
 
 
 @query("""select novel_id, min(chapter_no) holder from chapter where length(content) >= 200 group by 1""")
@@ -612,12 +658,14 @@ def chunk_estimate(v):
     return v.document().select("doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / (800 * 1.4) + 0.5)).alias("estimate"))
 
 
-@query("""select doc_id, case when doc_id % 6 = 0 then 'renamed' else source end source, case when doc_id % 4 = 0 then 'xx' else lang end lang from document""")
+@query("""select doc_id, case when doc_id % 6 = 0 then 'renamed' else source end source, case when doc_id % 8 = 0 then null when doc_id % 4 = 0 then 'xx' else lang end lang from document""")
 def partial_update(v):
+    """Only the fields that a change names are set, to null too."""
     base = v.document().select("doc_id", "source", "lang")
     hit = base.where("doc_id % 6 = 0 or doc_id % 4 = 0")
-    changes = hit.select("doc_id", F.when(F.col("doc_id") % 6 == 0, "renamed").alias("source"), F.when(F.col("doc_id") % 4 == 0, "xx").alias("lang"))
-    return tables.patch(base, changes, "doc_id")
+    fields = F.array_compact(F.array(F.when(F.col("doc_id") % 6 == 0, "source"), F.when(F.col("doc_id") % 4 == 0, "lang")))
+    changes = hit.select("doc_id", F.when(F.col("doc_id") % 6 == 0, "renamed").alias("source"), F.when((F.col("doc_id") % 4 == 0) & (F.col("doc_id") % 8 != 0), "xx").alias("lang"), fields.alias("fields"))
+    return tables.patch(base, changes, "doc_id", supplied="fields")
 
 
 @query(f"""select task_id, case when status = 'running' then 'failed' else status end status from {_TASKS}""")

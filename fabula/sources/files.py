@@ -9,14 +9,29 @@ from fabula.functions.text import decoded
 
 #: What may be uploaded, and the largest size in bytes.
 EXTENSIONS = {"txt": 50 << 20, "md": 200 << 20, "epub": 200 << 20, "pdf": 200 << 20, "docx": 200 << 20}
+#: The same for what is attached to a conversation.
+ATTACHMENTS = {e: 5 << 20 for e in EXTENSIONS}
 
 
-def uploads(spark: SparkSession, path: str, limits: dict[str, int] = EXTENSIONS) -> DataFrame:
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def present(names: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """`names` (path, relative to `root`) with `exists`, from one listing of the store."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), F.lit(True).alias("exists"))
+    return names.join(there, "path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def uploads(spark: SparkSession, path: str, limits: dict[str, int] = EXTENSIONS, existing: DataFrame | None = None) -> DataFrame:
     """(path, name, ext, length, file_hash, text, error) of the files below `path`.
 
     A bad file is a row with an error, and no reason for others to fail. Sizes and extensions are judged before
     contents are decoded; bytes that are not UTF-8 are left out. Of files with one hash all but the first path are
-    `duplicate`. Spark's reader passes over files of no bytes at all.
+    `duplicate`, and so is one whose hash `existing` (file_hash, deleted; one novel's documents) has and has not deleted.
+    Spark's reader passes over files of no bytes at all.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = raw.withColumns({"name": F.element_at(F.split("path", "/"), -1), "ext": F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))})
@@ -26,6 +41,9 @@ def uploads(spark: SparkSession, path: str, limits: dict[str, int] = EXTENSIONS)
     judged = named.withColumns({"error": error, "file_hash": F.sha2("content", 256)})
     first = judged.where("error is null").groupBy("file_hash").agg(F.min("path").alias("first_path"))
     out = judged.join(first, "file_hash", "left").withColumn("error", F.coalesce("error", F.when(F.col("path") != F.col("first_path"), "duplicate")))
+    if existing is not None:
+        known = existing.where("not deleted").select("file_hash").distinct().withColumn("known", F.lit(True))
+        out = out.join(known, "file_hash", "left").withColumn("error", F.coalesce("error", F.when(F.col("known"), "duplicate")))
     return out.select("path", "name", "ext", "length", "file_hash", F.when(F.col("error").isNull(), decoded(F.col("content"))).alias("text"), "error")
 
 
@@ -35,6 +53,14 @@ def drafts(spark: SparkSession, root: str, owner: int, novel: int) -> DataFrame:
     return raw.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def draft_text(spark: SparkSession, root: str, owner: int, novel: int, key: str) -> DataFrame:
+    """(path, text) of one saved draft; no row for a key outside the owner's and the novel's folder."""
+    prefix = f"{owner}/{novel}/"
+    if not key.startswith(prefix) or ".." in key.split("/") or not table_exists(spark, f"{root}/{key}"):
+        return spark.createDataFrame([], "path string, text string")
+    return spark.read.format("binaryFile").load(f"{root}/{key}").select("path", decoded(F.col("content")).alias("text"))
+
+
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(word, freq, tag) of a word list; blank lines, and lines that begin with an ASCII word (comments too), are skipped."""
     parts = F.split(F.trim("value"), "\\s+")

@@ -38,13 +38,48 @@ def trend(usage: DataFrame, unit: str = "day", lateness: str = "1 day") -> DataF
     return timed(usage, lateness).groupBy(w.alias("w")).agg(F.sum("tokens_in").alias("tokens_in")).select(F.col("w.start").alias("bucket"), "tokens_in")
 
 
-def replies(pieces: DataFrame) -> DataFrame:
+def until_terminal(events: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """(task_id, seq, status) of a task's events up to its first terminal one; what comes after that is dropped.
+
+    Events of a task must not come before earlier ones of it by more than a batch. That a task has ended is state until
+    the watermark passes its end.
+    """
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ended = state.get[0] if state.exists else None
+        own = pd.concat(list(frames)).sort_values("seq")
+        if ended is None:
+            ends = own.loc[own["status"].isin(TERMINAL), "seq"]
+            ended = int(ends.min()) if len(ends) else None
+            yield (own if ended is None else own[own["seq"] <= ended])[["task_id", "seq", "status"]]
+        if ended is not None:
+            state.update((ended,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(own["ts"].max().timestamp() * 1000)) + 1)
+
+    return timed(events, lateness).groupBy("task_id").applyInPandasWithState(follow, "task_id long, seq long, status string", "ended long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def retries(latest: DataFrame, asked: DataFrame) -> DataFrame:
+    """New event rows for the tasks that are asked to run again and whose latest status is `failed`; others are passed over."""
+    return latest.where("status = 'failed'").join(asked.select("task_id"), "task_id", "left_semi").select("task_id", (F.col("seq") + 1).alias("seq"), F.lit("running").alias("status"), "ts")
+
+
+def replies(pieces: DataFrame, idle: str | None = None) -> DataFrame:
     """(conv_id, text) when a conversation's `done` piece comes: its pieces (conv_id, seq, piece, done) in order.
 
-    Pieces of the conversations that are open are state; a conversation that is done leaves none.
+    Pieces of the conversations that are open are state; a conversation that is done leaves none. In a query that runs on
+    and on, `idle` (such as "30 minutes") ends conversations to which nothing is added, without a result; a query that
+    is to end by itself (availableNow) must do without, for Spark goes on as long as a timeout may come.
     """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = dict(zip(*state.get, strict=True)) if state.exists else {}
         done = False
         for f in frames:
@@ -56,5 +91,7 @@ def replies(pieces: DataFrame) -> DataFrame:
             yield pd.DataFrame({"conv_id": [key[0]], "text": ["".join(kept[k] for k in sorted(kept))]})
         else:
             state.update((list(kept), list(kept.values())))
+            if wait:
+                state.setTimeoutDuration(wait)
 
-    return pieces.groupBy("conv_id").applyInPandasWithState(gather, "conv_id long, text string", "seqs array<long>, pieces array<string>", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("conv_id").applyInPandasWithState(gather, "conv_id long, text string", "seqs array<long>, pieces array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from fabula.plans.queries import ORACLES, QUERIES
+from fabula.plans.story import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 

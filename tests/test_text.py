@@ -44,7 +44,7 @@ def test_trimming_and_names(spark):
     assert one(spark, T.clean_title(F.col("t"), F.col("n")), t=" \n", n=3) == "第3章"
     assert one(spark, T.occurrences(F.col("t"), F.lit("aa")), t="aaaaa") == 2
     assert one(spark, T.token_estimate(F.col("t")), t="abc") == 1
-    assert one(spark, T.cut_at_sentence(F.col("t"), 10), t="abcdef. ghijkl") == "abcdef."
+    assert one(spark, T.cut_at_sentence(F.col("t"), 10), t="abcdef. ghijkl") == "abcdef. "
     assert one(spark, T.bigram_jaccard(F.col("t"), F.lit("abcd")), t="abcd") == 1.0
 
 
