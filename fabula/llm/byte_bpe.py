@@ -2,13 +2,15 @@
 
 Texts are split by the tokenizer's pattern. The distinct pieces that a task has not met are grouped by length
 into padded matrices; each round merges, in every row, the leftmost pair of least rank, found in a hash table of
-pairs, and closes the gap. Long pieces are merged one row at a time, with gaps closed when half of a row is dead.
+pairs, and closes the gap. A piece too long for a matrix takes its leftmost pair of least rank from a heap instead, so
+its time grows with its length and not with the square of it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +77,7 @@ class ByteBpe:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
+        self.pair_ranks: dict[int, int] = {}
         self.pairs = PairTable({(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks})
 
     def merge_matrix(self, rows: list[bytes]) -> list[list[int]]:
@@ -113,30 +116,30 @@ class ByteBpe:
         return [r[r >= 0].tolist() for r in out]
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """Ids of one long piece; dead places are closed up when they are half of the row."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].copy()
-        while True:
-            n = len(ids)
-            rank = np.append(self.pairs.lookup(ids[:-1], ids[1:]), NONE)
-            nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
-            dead = 0
-            alive = np.ones(n, bool)
-            while dead <= n // 2:
-                j = int(rank.argmin())
-                if rank[j] == NONE:
-                    return ids[alive].tolist()
-                k = int(nxt[j])
-                ids[j], rank[k], alive[k] = rank[j], NONE, False
-                dead += 1
-                nxt[j] = after = int(nxt[k])
-                if after < n:
-                    prv[after] = j
-                before = int(prv[j])
-                one = lambda a, b: self.pairs.lookup(ids[a : a + 1], ids[b : b + 1])[0]
-                rank[j] = one(j, after) if after < n else NONE
-                if before >= 0:
-                    rank[before] = one(before, j)
-            ids = ids[alive]
+        """Ids of one long piece: a heap holds (rank, place) of its pairs; one that has changed since is passed over."""
+        if not self.pair_ranks:
+            taken = self.pairs.keys >= 0
+            self.pair_ranks = dict(zip(self.pairs.keys[taken].tolist(), self.pairs.ranks[taken].tolist(), strict=True))
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        n, rank_of = len(ids), self.pair_ranks.get
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(self.pairs.lookup(np.array(ids[:-1]), np.array(ids[1:])).tolist()) if r != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = nxt[i] if ids[i] >= 0 else n
+            if j >= n or rank_of(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = r, -1
+            nxt[i] = after = nxt[j]
+            if after < n:
+                prv[after] = i
+                if (new := rank_of(r << 32 | ids[after])) is not None:
+                    heapq.heappush(heap, (new, i))
+            before = prv[i]
+            if before >= 0 and (new := rank_of(ids[before] << 32 | r)) is not None:
+                heapq.heappush(heap, (new, before))
+        return [x for x in ids if x >= 0]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece: its own id where the whole piece is a token, else by merges."""

@@ -7,6 +7,7 @@ neighbouring pair of words occurs in some item enter the automaton; a window can
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,15 @@ class ItemAutomaton:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        # most states have one way on: its word and its end lie in arrays, the others' further ways in dictionaries
+        self.word, self.to, self.link, self.length = (array("q", [x]) for x in (-1, -1, -1, 0))
+        self.more: dict[int, dict[int, int]] = {}
         column = pa.array([t for _, t in items], pa.string())
         raw, off = text_bytes(column)
         words = Words(LOWER[raw], off, ALNUM_WORDS)
         hashes = words.hashes()
-        self.vocabulary = np.unique(hashes)
+        self.vocabulary, at = np.unique(hashes, return_index=True)
+        self.spelled = [words.joined(i, i + 1) for i in at.tolist()]
         ids = find_sorted(hashes, self.vocabulary)
         sequences = [(item, ids[i:j].tolist()) for (item, _), i, j in zip(items, words.row_at[:-1], words.row_at[1:], strict=True) if j > i]
         rows = words.rows()
@@ -63,33 +66,47 @@ class ItemAutomaton:
         for w in words:
             last = self._extend(last, w)
 
-    def _clone(self, of: int, length: int) -> int:
-        self.next.append(dict(self.next[of]))
-        self.link.append(self.link[of])
+    def way(self, state: int, w: int) -> int:
+        """Where word `w` leads from a state, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        return self.more[state].get(w, -1) if state in self.more else -1
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
+    def _new(self, length: int, link: int, like: int = -1) -> int:
+        """A state without ways on, or with those of `like`."""
+        new = len(self.word)
+        self.word.append(self.word[like] if like >= 0 else -1)
+        self.to.append(self.to[like] if like >= 0 else -1)
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
+        self.link.append(link)
         self.length.append(length)
-        return len(self.next) - 1
+        return new
 
     def _split(self, p: int, w: int) -> int:
         """The state that `p` reaches by `w` with length exactly one more, split off if need be."""
-        q = self.next[p][w]
+        q = self.way(p, w)
         if self.length[q] == self.length[p] + 1:
             return q
-        c = self._clone(q, self.length[p] + 1)
+        c = self._new(self.length[p] + 1, self.link[q], q)
         self.link[q] = c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p >= 0 and self.way(p, w) == q:
+            self._set(p, w, c)
             p = self.link[p]
         return c
 
     def _extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:
+        if self.way(last, w) >= 0:
             return self._split(last, w)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        new, p = len(self.next) - 1, last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
+        new, p = self._new(self.length[last] + 1, 0), last
+        while p >= 0 and self.way(p, w) < 0:
+            self._set(p, w, new)
             p = self.link[p]
         if p >= 0:
             self.link[new] = self._split(p, w)
@@ -97,12 +114,10 @@ class ItemAutomaton:
 
     def step(self, state: int, length: int, w: int) -> tuple[int, int]:
         """The longest suffix, after `w`, that occurs in an item."""
-        while state and w not in self.next[state]:
+        while (to := self.way(state, w)) < 0 and state:
             state = self.link[state]
             length = self.length[state]
-        if w in self.next[state]:
-            return self.next[state][w], length + 1
-        return 0, 0
+        return (to, length + 1) if to >= 0 else (0, 0)
 
     def _holder(self, state: int, n: int) -> int:
         """The suffix state that represents the last n words."""
@@ -165,7 +180,10 @@ def find_hits(docs: DataFrame, items: list[tuple[int, str]], window: int) -> Dat
                     ids = find_sorted(hashes, auto.vocabulary)
                     stretches += [(i, i + 1) for i in np.flatnonzero(single[ids] & (ids >= 0)).tolist()]
                 for i, j in stretches:
-                    ranges, here = auto.scan(find_sorted(hashes[i:j], auto.vocabulary).tolist())
+                    own = find_sorted(hashes[i:j], auto.vocabulary).tolist()
+                    # a word counts only if it is spelled as the item's word of the same hash
+                    own = [w if w >= 0 and words.joined(k, k + 1) == auto.spelled[w] else -2 for k, w in enumerate(own, i)]
+                    ranges, here = auto.scan(own)
                     for x, y in ranges:
                         hit[i + x : i + y] = True
                     if here:
@@ -204,7 +222,10 @@ def contamination(base: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of `docs`. Null text has no words."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of `docs`. Null text has no words.
+
+    A null doc_id stays null; repeated rows give repeated rows; other columns are never looked at; texts are read whole.
+    """
     found = contamination(texts(docs), benchmark, window)
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -21,7 +21,11 @@ DIMENSIONS = 4096
 GRAMS = (1, 2, 3)
 #: Labelled texts of each language to fit on, as expected by a hash threshold.
 SAMPLE_PER_LANGUAGE = 400
+#: The languages that are learned: the most frequent ones of the labelled rows, so that the sample is bounded.
+MOST_LANGUAGES = 256
 CENTROIDS = 4
+#: Texts whose vectors a task holds at once.
+ROWS_AT_ONCE = 256
 
 
 def counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -77,18 +81,18 @@ def clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def sampled(rows: DataFrame, key: str, group: str, size: int) -> DataFrame:
-    """Rows whose id's hash is below a threshold that leaves about `size` of each group (all of a smaller one)."""
-    totals = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+def sampled(rows: DataFrame, key: str, group: str, size: int, groups: int = MOST_LANGUAGES) -> DataFrame:
+    """Rows whose id's hash is below a threshold that leaves about `size` of each group (all of a smaller one), of the `groups` largest groups."""
+    totals = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
     if not totals:
         return rows.where(F.lit(False))
-    share = F.create_map(*[F.lit(x) for g, n in totals.items() for x in (g, size / n)])
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share[F.col(group)] * (1 << 30))
+    share = F.create_map(*[F.lit(x) for g, n in totals for x in (g, size / n)])
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col(group)), F.lit(0.0)) * (1 << 30))
 
 
 def sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in parts(batches):
-        tf = np.minimum(counts(*text_bytes(b.column("text"))), 65535).astype(np.uint16)
+    for b in parts(batches, rows=ROWS_AT_ONCE):
+        tf = counts(*text_bytes(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tobytes() for x in tf], pa.binary())], names=["lang", "tf"])
 
 
@@ -99,7 +103,7 @@ def fit(docs: DataFrame, train: Column, size: int = SAMPLE_PER_LANGUAGE, k: int
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.tf)))
-    tf = np.stack([np.frombuffer(r.tf, np.uint16) for r in got]).astype(np.float32)
+    tf = np.stack([np.frombuffer(r.tf, np.float32) for r in got])
     lang = np.array([r.lang for r in got])
     names = sorted(set(lang.tolist()))
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
@@ -117,14 +121,15 @@ def fit(docs: DataFrame, train: Column, size: int = SAMPLE_PER_LANGUAGE, k: int
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (the cosine, 0 to 1), rejected. Null texts and texts without a letter are `und`, score 0.
 
-    Repeated rows give repeated rows; a null doc_id stays null. Without a model all rows are `und`.
+    Of centroids that are equally near the first counts, in the order of their languages' names. Whole texts are read,
+    however long. Repeated rows give repeated rows; a null doc_id stays null. Without a model all rows are `und`.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in parts(batches):
+        for b in parts(batches, rows=ROWS_AT_ONCE):
             lettered = b.column("lettered").to_numpy(zero_copy_only=False)
             if m is None:
                 names, score, rejected = ["und"] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)

@@ -26,7 +26,7 @@ PAIR_ROUNDS = 2
 
 def word_units(raw: np.ndarray, off: np.ndarray) -> Units:
     words = Words(raw, off, SPACE_WORDS)
-    return Units(words.hashes(), words.row_at)
+    return Units(words.hashes(), words.row_at, words.hashes(1))
 
 
 class Symbols:

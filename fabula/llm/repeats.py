@@ -29,10 +29,14 @@ RUNS = {"docs": np.int64, "starts": np.uint32, "sizes": np.uint32}
 
 @dataclass
 class Units:
-    """Codes of a batch's units and where each row's units begin; row r has at[r] : at[r + 1]."""
+    """Two independent codes of a batch's units, and where each row's units begin; row r has at[r] : at[r + 1]."""
 
     codes: np.ndarray
     at: np.ndarray
+    others: np.ndarray
+
+    def plane(self, which: int) -> np.ndarray:
+        return self.others if which else self.codes
 
 
 @dataclass
@@ -60,7 +64,7 @@ def families(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.n
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(row)))
-    span = slices(prefix(units.codes, 1), starts[first], starts[first] + size - 1 + scheme.width, 1)
+    span = slices(prefix(units.others, 1), starts[first], starts[first] + size - 1 + scheme.width, 1)
     return row[first], starts[first] - units.at[row[first]], size, key[first], span
 
 
@@ -176,7 +180,7 @@ def send_windows(scheme: Scheme, slot_ids: list[int]):
                 at.append(own + units.at[r])
                 row.append(np.full(len(own), r))
             x, row_of = np.concatenate(at), np.concatenate(row)
-            high, low = (slices(prefix(units.codes, i), x, x + scheme.width, i) for i in (0, 1))
+            high, low = (slices(prefix(units.plane(i), i), x, x + scheme.width, i) for i in (0, 1))
             yield packed.deal(slot_ids, high, {"high": high, "low": (low >> np.uint64(32)).astype(np.uint32), "docs": b.column("doc_id").to_numpy()[row_of], "starts": (x - units.at[row_of]).astype(np.uint32)})
 
     return run

@@ -30,7 +30,7 @@ BATCHES = 2
 
 
 def byte_units(raw: np.ndarray, off: np.ndarray) -> Units:
-    return Units(CODES[0][raw], off)
+    return Units(CODES[0][raw], off, CODES[1][raw])
 
 
 def byte_seeds(units: Units, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

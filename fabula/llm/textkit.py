@@ -134,8 +134,8 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about `limit` bytes of text (one row at least)."""
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about `limit` bytes of text, and of at most `rows` rows (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -143,6 +143,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+            j = j if rows is None else min(j, i + rows)
             yield batch.slice(i, j - i)
             i = j
 

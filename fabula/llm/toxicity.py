@@ -23,8 +23,8 @@ from fabula.llm.textkit import LOWER, Lookup, Words, hash_of, parts, range_hashe
 
 #: Labelled rows of each class to learn from, as expected by a hash threshold.
 SAMPLE_PER_CLASS = 3000
-#: Candidates for the lexicon, most frequent first, and least toxic rows that one must be in.
-CANDIDATES, LEAST_ROWS = 3000, 4
+#: Least toxic rows that an entry of the lexicon must be in.
+LEAST_ROWS = 4
 #: Lengths in bytes of the word beginnings that may enter the lexicon.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -208,7 +208,7 @@ def choose(rows: list[set[int]], names: list[bytes], broad: int) -> list[int]:
 def learn(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE_PER_CLASS) -> Grammar:
     """A grammar from labelled rows that `train` (a condition on doc_id) picks; without any, the function words alone.
 
-    Labels that are null are left out. The sample is bounded by `size` for each class, the lexicon by CANDIDATES.
+    Labels that are null are left out. The sample is bounded by `size` for each class, and so the lexicon is too.
     """
     picked = labels.where(train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marked = F.broadcast(sampled(picked, "doc_id", "toxic", size))
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE_
         return Grammar({})
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     counted = rows.mapInArrow(count_features, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    got = counted.where((F.col("toxic") >= LEAST_ROWS) & (F.col("clean") <= 0.01 * F.col("toxic"))).withColumn("odds", odds).orderBy(F.desc("toxic"), "feature").limit(CANDIDATES).collect()
+    got = counted.where((F.col("toxic") >= LEAST_ROWS) & (F.col("clean") <= 0.01 * F.col("toxic"))).withColumn("odds", odds).orderBy(F.desc("toxic"), "feature").collect()
     names, weight = [bytes(r.feature) for r in got], [r.odds for r in got]
     place = {w: i for i, w in enumerate(names)}
 
