@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols: insults (a lexicon of words and word beginnings, learned with weights from labelled rows),
-threats, targets, negations and verbs of reported speech. Small transducers, composed to one machine for each
-reading direction, tag every insult or threat of a clause as aimed at someone, negated, or reported. A clause's
-weight goes to the tag's sum, and a logistic function of the sums, fitted on the same labelled rows, is the score.
+threats, words of intent, targets, negations and verbs of reported speech. Five small transducers, for insults, threats,
+targets, negation and reported speech, are composed to one machine for each reading direction, which tags every insult
+or threat of a clause: an insult said of someone, a threat that is meant, aimed at someone, negated, or reported. A clause's
+weight goes to the tags' sum, and a logistic function of the sums, fitted on the same labelled rows, is the score.
 """
 
 from __future__ import annotations
@@ -35,17 +36,20 @@ LETTERS[0x80:] = True
 CLAUSE_ENDS = np.zeros(256, bool)
 CLAUSE_ENDS[[ord(c) for c in ".,;:!?\n"]] = True
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = range(7)
 #: Function words of the grammar.
 FUNCTION_WORDS = {
     THREAT: "kill hurt destroy murder shoot stab burn beat strangle smash töten umbringen verletzen tuer frapper brûler matar golpear quemar",
     TARGET: "you your yours yourself u ur he she him her they them du dich dir dein deine ihr euch tu toi te vous votre ton tú usted ustedes vosotros",
     NEGATION: "not no never none nobody cannot nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás ningún",
     REPORT: "said says say told wrote claimed claims called reported quoted sagte sagt schrieb behauptet dit disait écrit dijo dice escribió",
+    INTENT: "will shall gonna going wanna want should must let werde werden will soll vais va veux voy va quiero",
 }
 #: How far, in words, a negation reaches.
 REACH = 3
-TAG_TARGET, TAG_NEGATED, TAG_REPORTED = 1, 2, 4
+#: And how far someone's insult, and a threat's intent, may lie before it.
+NEAR = 4
+TAG_TARGET, TAG_NEGATED, TAG_REPORTED, TAG_SAID, TAG_MEANT = 1, 2, 4, 8, 16
 
 
 @dataclass
@@ -80,20 +84,37 @@ class Transducer:
         return out
 
 
-def after(symbol: int, tag: int) -> Transducer:
-    """Tags insults and threats that follow `symbol` in the clause."""
-    hit = [0, tag, tag, 0, 0, 0]
-    return Transducer([[int(s == symbol) for s in range(6)], [1] * 6], [[0] * 6, hit])
+def after(symbol: int, tag: int, of: tuple[int, ...] = (INSULT, THREAT)) -> Transducer:
+    """Tags insults and threats (or one kind of them) that follow `symbol` in the clause."""
+    hit = [tag if s in of else 0 for s in SYMBOLS]
+    return Transducer([[int(s == symbol) for s in SYMBOLS], [1] * len(SYMBOLS)], [[0] * len(SYMBOLS), hit])
 
 
-def within(symbol: int, tag: int, reach: int) -> Transducer:
-    """Tags insults and threats at most `reach` words behind `symbol`."""
-    hit = [0, tag, tag, 0, 0, 0]
-    return Transducer([[reach if s == symbol else max(0, i - 1) for s in range(6)] for i in range(reach + 1)], [[0] * 6, *[hit] * reach])
+def within(symbol: int, tag: int, reach: int, of: tuple[int, ...] = (INSULT, THREAT)) -> Transducer:
+    """Tags insults and threats (or one kind of them) at most `reach` words behind `symbol`."""
+    hit = [tag if s in of else 0 for s in SYMBOLS]
+    return Transducer([[reach if s == symbol else max(0, i - 1) for s in SYMBOLS] for i in range(reach + 1)], [[0] * len(SYMBOLS), *[hit] * reach])
 
 
-FORWARD = after(TARGET, TAG_TARGET) @ within(NEGATION, TAG_NEGATED, REACH) @ after(REPORT, TAG_REPORTED)
+INSULTS = within(TARGET, TAG_SAID, NEAR, (INSULT,))
+THREATS = within(INTENT, TAG_MEANT, NEAR, (THREAT,))
+FORWARD = INSULTS @ THREATS @ after(TARGET, TAG_TARGET) @ within(NEGATION, TAG_NEGATED, REACH) @ after(REPORT, TAG_REPORTED)
 BACKWARD = after(TARGET, TAG_TARGET) @ after(REPORT, TAG_REPORTED)
+#: Sums of a text: plain, aimed, negated, reported, and said of someone or meant.
+PLAIN, AIMED, NEGATED, REPORTED, DIRECT = range(5)
+
+
+def sum_of(symbol: int, tags: int) -> int | None:
+    """The sum that a tagged symbol's weight goes to; a threat that is aimed at nobody counts nowhere."""
+    if symbol == THREAT and not tags & TAG_TARGET:
+        return None
+    if tags & TAG_REPORTED:
+        return REPORTED
+    if tags & TAG_NEGATED:
+        return NEGATED
+    if tags & (TAG_SAID | TAG_MEANT):
+        return DIRECT
+    return AIMED if tags & TAG_TARGET else PLAIN
 
 
 @dataclass
@@ -102,7 +123,7 @@ class Grammar:
 
     entries: dict[bytes, float]
     bias: float = -3.0
-    weights: np.ndarray = field(default_factory=lambda: np.array([4.0, 5.0, 3.0, 2.0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([4.0, 5.0, 3.0, 2.0, 5.0]))
 
     def __post_init__(self) -> None:
         words = [(w, INSULT, x) for w, x in self.entries.items() if not w.endswith(b"*")]
@@ -116,7 +137,7 @@ class Grammar:
             self.stems[n] = (Lookup(hash_of([w for w, _ in own])), np.array([x for _, x in own]))
 
     def sums(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By row: weights summed by tag (plain, aimed, negated, reported), and the number of matched clauses."""
+        """By row: weights summed by tag (five sums), and the number of matched clauses."""
         low = LOWER[raw]
         words = Words(low, off, LETTERS)
         symbol, weight = np.zeros(len(words), np.int8), np.zeros(len(words))
@@ -128,7 +149,7 @@ class Grammar:
             weight[long[at]] = np.maximum(weight[long[at]], own[key])
         at, key = self.words.find(words.hashes())
         symbol[at], weight[at] = self.symbol[key], self.weight[key]
-        out, clauses = np.zeros((len(off) - 1, 4)), np.zeros(len(off) - 1, np.int64)
+        out, clauses = np.zeros((len(off) - 1, 5)), np.zeros(len(off) - 1, np.int64)
         hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
         if len(hits):
             row = words.rows()
@@ -139,8 +160,8 @@ class Grammar:
                 tags = [a | b for a, b in zip(FORWARD.read(s), BACKWARD.read(s[::-1])[::-1], strict=True)]
                 clauses[row[i]] += 1
                 for k, x in enumerate(s):
-                    if x == INSULT or x == THREAT and tags[k] & TAG_TARGET:
-                        out[row[i], 3 if tags[k] & TAG_REPORTED else 2 if tags[k] & TAG_NEGATED else tags[k] & TAG_TARGET] += weight[i + k]
+                    if x in (INSULT, THREAT) and (to := sum_of(x, tags[k])) is not None:
+                        out[row[i], to] += weight[i + k]
         return out, clauses
 
     def score(self, sums: np.ndarray) -> np.ndarray:
@@ -244,7 +265,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE_
 def scores(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, n_clauses of each row. A map over partitions.
 
-    Null text scores as empty text: the logistic function's value without any match. Repeated rows give repeated rows.
+    Null text scores as empty text: the logistic function's value without any match. Repeated rows give repeated rows; a
+    null doc_id stays null (and in `score_documents` is not held out); texts are read whole, however long.
     """
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 

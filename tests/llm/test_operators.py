@@ -3,6 +3,7 @@ import math
 import random
 
 import brute
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -234,11 +235,44 @@ def test_toxicity(spark, docs, nothing):
 
 def test_toxicity_grammar_tags():
     read = lambda s: [a | b for a, b in zip(toxicity.FORWARD.read(s), toxicity.BACKWARD.read(s[::-1])[::-1])]
-    o, i, t, target, no, said = range(6)
-    assert read([target, o, i]) == [0, 0, toxicity.TAG_TARGET]
+    o, i, t, target, no, said, intent = toxicity.SYMBOLS
+    aimed, said_of, meant = toxicity.TAG_TARGET, toxicity.TAG_SAID, toxicity.TAG_MEANT
+    assert read([target, o, i]) == [0, 0, aimed | said_of] and read([target, o, o, o, o, i])[-1] == aimed
     assert read([no, o, i]) == [0, 0, toxicity.TAG_NEGATED] and read([no, o, o, o, i])[-1] == 0
     assert read([i, o, said]) == [toxicity.TAG_REPORTED, 0, 0]
-    assert read([said, no, t, target])[2] == toxicity.TAG_TARGET | toxicity.TAG_NEGATED | toxicity.TAG_REPORTED
+    assert read([intent, t, target])[1] == aimed | meant and read([intent, i])[1] == 0 and read([target, t])[1] == aimed
+    assert read([said, no, t, target])[2] == aimed | toxicity.TAG_NEGATED | toxicity.TAG_REPORTED
+    to = [toxicity.sum_of(x, tag) for x, tag in ((t, 0), (t, meant), (t, aimed), (t, aimed | meant), (i, 0), (i, said_of | aimed), (i, 2 | aimed), (i, 4 | 2))]
+    assert to == [None, None, toxicity.AIMED, toxicity.DIRECT, toxicity.PLAIN, toxicity.DIRECT, toxicity.NEGATED, toxicity.REPORTED]
+
+
+def test_toxicity_sums_equal_a_plain_reading():
+    import re
+
+    import pyarrow as pa
+
+    from fabula.llm.textkit import text_bytes
+
+    rng = random.Random(12)
+    g = toxicity.Grammar({b"dolt": 0.5, b"blaz*": 0.25})
+    functions = {w: s for s, ws in toxicity.FUNCTION_WORDS.items() for w in ws.split()}
+    vocabulary = [*rng.sample(sorted(functions), 12), "kill", "you", "not", "said", "dolt", "blazzo", "blaz", "river", "stone", "green"]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", ". ", ", ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + [None, ""]
+    want = np.zeros((len(texts), 5))
+    for r, text in enumerate(texts):
+        for clause in re.split(r"[.,;:!?\n]", (text or "").lower()):
+            words = clause.split()
+            kind = [toxicity.INSULT if w == "dolt" or w.startswith("blaz") and len(w) > 4 else functions.get(w, 0) for w in words]
+            near = lambda k, s, n: s in kind[max(0, k - n) : k]
+            for k, x in enumerate(kind):
+                if x in (toxicity.INSULT, toxicity.THREAT):
+                    rest = kind[:k] + kind[k + 1 :]
+                    tags = (toxicity.TARGET in rest) + 2 * near(k, toxicity.NEGATION, 3) + 4 * (toxicity.REPORT in rest)
+                    tags |= 8 * (x == toxicity.INSULT and near(k, toxicity.TARGET, 4)) | 16 * (x == toxicity.THREAT and near(k, toxicity.INTENT, 4))
+                    if (to := toxicity.sum_of(x, tags)) is not None:
+                        want[r, to] += 0.8 if x == toxicity.THREAT else 0.5 if words[k] == "dolt" else 0.25
+    got, _ = g.sums(*text_bytes(pa.array(texts, pa.string())))
+    assert np.allclose(got, want) and got.sum() > 50
 
 
 def test_language_id(spark, docs, nothing):
