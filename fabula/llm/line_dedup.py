@@ -147,7 +147,7 @@ def repeated_chunks(base: DataFrame) -> DataFrame:
     found = stored(dealt(named, match_chunks(slot_ids), REPEATS).mapInArrow(by_source, "doc_id long, start long, size long, of long, at long"), "line-repeats")
     # the bytes of each repeated place, once
     firsts = found.groupBy("of", "at").agg(F.max("size").alias("size")).groupBy("of").agg(F.collect_list(F.struct("at", "size")).alias("places"))
-    read = base.join(firsts.withColumnRenamed("of", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("of"), F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
+    read = base.join(firsts.withColumnRenamed("of", "doc_id"), "doc_id").select(F.col("doc_id").alias("of"), F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
     first = stored(read.select("of", F.col("p.at").alias("at"), F.substring("raw", (F.col("p.at") + 1).cast("int"), F.col("p.size").cast("int")).alias("first")).dropDuplicates(["of", "at"]), "line-firsts")
     return found.join(first, ["of", "at"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "first")).alias("rows"))
 
@@ -160,7 +160,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     document); `chunks_removed` counts the runs of lines that went. Null text is empty. Rows that share a doc_id are copies of one document; with a null doc_id nothing is compared.
     """
     base = bucketed(texts(docs), "doc_id", "line_texts")
-    work = base.join(repeated_chunks(base).hint("shuffle_hash"), "doc_id", "left").select(F.struct("doc_id", (F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))).cast("long").alias("n_lines")).alias("row_key"), "text", "rows")
+    work = base.join(repeated_chunks(base), "doc_id", "left").select(F.struct("doc_id", (F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))).cast("long").alias("n_lines")).alias("row_key"), "text", "rows")
     out = work.mapInArrow(cut_chunks, "row_key struct<doc_id:long,n_lines:long>, kept string, chunks_removed long, lines_removed long")
     return out.select("row_key.doc_id", "row_key.n_lines", "chunks_removed", "lines_removed", "kept", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -170,7 +170,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     fields = docs.schema.fields
     row = F.struct(*[(F.col(f.name).isNull() if f.name == "text" else F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)])
     base = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row_key")), "doc_id", "line_texts")
-    work = base.join(repeated_chunks(base.select("doc_id", "text")).hint("shuffle_hash"), "doc_id", "left").select("row_key", "text", "rows")
+    work = base.join(repeated_chunks(base.select("doc_id", "text")), "doc_id", "left").select("row_key", "text", "rows")
     kind = work.schema["row_key"].dataType.simpleString()
     out = work.mapInArrow(cut_chunks, f"row_key {kind}, kept string, chunks_removed long, lines_removed long")
     return out.select(*[(F.when(~F.col(f"row_key.c{i}"), F.col("kept")) if f.name == "text" else F.col(f"row_key.c{i}")).alias(f.name) for i, f in enumerate(fields)])

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, Scheme, Units, by_document, dealt, match_families, merged_runs, removals, send_families
-from fabula.llm.shared import bucketed, slots, stored, texts
+from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, Scheme, Units, by_document, dealt, match_families, merged_runs, repeated_runs, send_families, with_runs
+from fabula.llm.shared import bucketed, passing, slots, stored, texts
 from fabula.llm.textkit import SPACE_WORDS, Words, mix, parts, prefix, slices, text_bytes
 
 WINDOW = 13
@@ -140,8 +140,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id nothing is compared, and all words stay.
     """
     spark = docs.sparkSession
-    base = bucketed(texts(docs), "doc_id", "recompression_texts")
-    slot_ids = slots(spark)
-    named = dealt(base.where("doc_id is not null"), send_families(SCHEME, slot_ids), FAMILIES)
-    found = dealt(named, match_families(SCHEME.same_doc, slot_ids), FOUND).mapInArrow(by_document(FOUND), PER_DOC)
-    return removals(base, stored(found, "recompression-found"), SCHEME).mapInArrow(kept_words, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    with passing() as kept:
+        base = bucketed(texts(docs), "doc_id", "recompression_texts")
+        slot_ids = slots(spark)
+        named = dealt(base.where("doc_id is not null"), send_families(SCHEME, slot_ids), FAMILIES)
+        found = stored(dealt(named, match_families(SCHEME.same_doc, slot_ids), FOUND).mapInArrow(by_document(FOUND), PER_DOC), "recompression-found")
+        repeats = repeated_runs(base, found, SCHEME)
+        kept += [base, repeats]
+    return with_runs(base, repeats).mapInArrow(kept_words, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

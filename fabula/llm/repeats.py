@@ -217,16 +217,16 @@ def merged_runs(starts: list[bytes] | None, sizes: list[bytes] | None, width: in
     return s[first], e[np.append(first[1:], len(s)) - 1]
 
 
-def removals(base: DataFrame, found: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, text, starts, sizes (arrays of packed runs of repeated windows, null where none) of each row of `base`.
-
-    `base` is the bucketed table of texts, `found` (PER_DOC) what matching seeds said of its families.
-    """
-    spark = base.sparkSession
-    slot_ids = slots(spark)
+def repeated_runs(base: DataFrame, found: DataFrame, scheme: Scheme) -> DataFrame:
+    """(doc_id, starts, sizes), stored: packed runs of repeated windows. `found` (PER_DOC) is what matching seeds said of the families of `base`."""
+    slot_ids = slots(base.sparkSession)
     look = found.where("open").select("doc_id", "starts", "sizes")
-    windows = dealt(base.join(look.hint("shuffle_hash"), "doc_id"), send_windows(scheme, slot_ids), WINDOWS)
+    windows = dealt(base.join(look, "doc_id"), send_windows(scheme, slot_ids), WINDOWS)
     gone = dealt(windows, match_windows(scheme.same_doc, slot_ids), RUNS).mapInArrow(by_document(RUNS), PER_DOC)
-    both = stored(found.where("not open").unionByName(gone).select("doc_id", "starts", "sizes"), "repeats")
-    runs = both.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "sizes")).alias("runs")).select("doc_id", F.col("runs.starts").alias("starts"), F.col("runs.sizes").alias("sizes"))
-    return base.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "sizes")
+    return stored(found.where("not open").unionByName(gone).select("doc_id", "starts", "sizes"), "repeats")
+
+
+def with_runs(base: DataFrame, repeats: DataFrame) -> DataFrame:
+    """doc_id, text, starts, sizes (arrays of packed runs, null where none) of each row of `base`, the bucketed table of texts."""
+    runs = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "sizes")).alias("runs")).select("doc_id", F.col("runs.starts").alias("starts"), F.col("runs.sizes").alias("sizes"))
+    return base.join(runs, "doc_id", "left").select("doc_id", "text", "starts", "sizes")

@@ -1,10 +1,10 @@
 """Substring dedup by a logarithmic family of suffix arrays.
 
 A batch's array holds suffixes sampled by content (minimizers: of the places where a 100-byte window's least-hashed
-GRAM-byte string begins), in the order of the hash of their first GRAM bytes, then of what their family of windows
-covers; equal beginnings stand side by side. A new batch is scanned together with each level of the index, in the
-order of both, for suffixes that agree; the agreeing ones are extended to whole windows. Levels of equal size merge,
-so n batches lie in about log2(n) levels. Arrays are dealt to slots by hash and stored in buckets of the slot.
+GRAM-byte string begins), in the order of the hash of their first GRAM bytes, so equal beginnings stand side by side. A
+new batch is scanned against each level of the index, both in their order, for suffixes that agree; the agreeing ones
+are extended to whole windows. Levels of equal size merge, as sorted runs, so n batches lie in about log2(n) levels.
+Arrays are dealt to slots by hash and stored in buckets of the slot.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm import packed
-from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, Scheme, Units, by_document, found_rows, merged_runs, removals, send_families, shared_only, sorted_families
-from fabula.llm.shared import bucketed, slots, stored, tasks, texts
+from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, Scheme, Units, by_document, found_rows, merged_runs, repeated_runs, send_families, shared_only, sorted_families, with_runs
+from fabula.llm.shared import bucketed, passing, slots, stored, tasks, texts
 from fabula.llm.textkit import CODES, parts, prefix, slices, text_bytes
 
 WIDTH, GRAM = 100, 24
 #: Parts, by ranges of doc_id, in which a table goes into the index.
-BATCHES = 2
+BATCHES = 4
 
 
 def byte_units(raw: np.ndarray, off: np.ndarray) -> Units:
@@ -57,18 +57,43 @@ def gathered(table: pa.Table) -> dict[str, np.ndarray]:
     return packed.gather(iter(table.to_batches()), FAMILIES)
 
 
+Entries = dict[str, np.ndarray]
+
+
 def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The sorted array of one slot."""
-    return one_array(sorted_families(gathered(table)), key[0].as_py())
+    got = gathered(table)
+    order = np.argsort(got["seeds"], kind="stable")
+    return one_array({n: x[order] for n, x in got.items()}, key[0].as_py())
+
+
+def merged_arrays(a: Entries, b: Entries) -> Entries:
+    """Two sorted arrays as one: each entry's place is its own and the number of the other array's entries before it."""
+    at_a = np.arange(len(a["seeds"])) + np.searchsorted(b["seeds"], a["seeds"], side="left")
+    at_b = np.arange(len(b["seeds"])) + np.searchsorted(a["seeds"], b["seeds"], side="right")
+    out = {}
+    for n in a:
+        x = np.empty(len(at_a) + len(at_b), a[n].dtype)
+        x[at_a], x[at_b] = a[n], b[n]
+        out[n] = x
+    return out
 
 
 def merge(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-    a, b = gathered(left), gathered(right)
-    return one_array(sorted_families({n: np.concatenate([a[n], b[n]]) for n in a}), key[0].as_py())
+    return one_array(merged_arrays(gathered(left), gathered(right)), key[0].as_py())
 
 
-def agreeing(by_doc: list[int], got: dict[str, np.ndarray]) -> pa.Table:
-    rows = list(found_rows(sorted_families(shared_only(got, "seeds")), SCHEME.same_doc, by_doc))
+def scanned(new: Entries, old: Entries) -> Entries:
+    """The entries of two sorted arrays that begin like one of the other's."""
+    found = []
+    for x, y in ((new, old), (old, new)):
+        at = np.flatnonzero(np.searchsorted(y["seeds"], x["seeds"], side="left") < np.searchsorted(y["seeds"], x["seeds"], side="right"))
+        found.append({n: c[at] for n, c in x.items()})
+    return {n: np.concatenate([found[0][n], found[1][n]]) for n in new}
+
+
+def agreeing(by_doc: list[int], got: Entries) -> pa.Table:
+    rows = list(found_rows(sorted_families(got), SCHEME.same_doc, by_doc))
     empty = pa.schema([("slot", pa.int32()), *[(n, pa.binary()) for n in FOUND]])
     return pa.Table.from_batches([b.cast(empty) for b in rows], empty)
 
@@ -98,31 +123,35 @@ class SuffixIndex:
         The last batch of a family that is not used again need not be kept.
         """
         by_doc = self.slots
-        arrays = base.mapInArrow(send_families(SCHEME, self.slots), packed.schema(FAMILIES))
-        if keep:
-            name = self._store(arrays.groupBy("slot").applyInArrow(build, packed.schema(FAMILIES)))
-            arrays = self.spark.table(name)
-        out = []
-        if not self.levels:
-            out.append(arrays.groupBy("slot").applyInArrow(lambda table: agreeing(by_doc, gathered(table)), packed.schema(FOUND)))
+        arrays = base.mapInArrow(send_families(SCHEME, self.slots), packed.schema(FAMILIES)).groupBy("slot").applyInArrow(build, packed.schema(FAMILIES))
+        name = self._store(arrays)
+        arrays = self.spark.table(name)
+        out = [arrays.groupBy("slot").applyInArrow(lambda table: agreeing(by_doc, shared_only(gathered(table), "seeds")), packed.schema(FOUND))]
 
         def scan(new: pa.Table, old: pa.Table) -> pa.Table:
-            a, b = gathered(new), gathered(old)
-            return agreeing(by_doc, {n: np.concatenate([a[n], b[n]]) for n in a})
+            return agreeing(by_doc, scanned(gathered(new), gathered(old)))
 
         for level in self.levels:
             out.append(arrays.groupBy("slot").cogroup(self.spark.table(level.table).groupBy("slot")).applyInArrow(scan, packed.schema(FOUND)))
         out = [stored(x, "suffix-agreements") for x in out]  # before levels merge
-        if keep:
-            self.levels.append(Level(1, name))
-            while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
-                a, b = self.levels[-2:]
-                both = self.spark.table(a.table).groupBy("slot").cogroup(self.spark.table(b.table).groupBy("slot")).applyInArrow(merge, packed.schema(FAMILIES))
-                self.levels[-2:] = [Level(a.batches + b.batches, self._store(both))]
-                for x in (a, b):
-                    self.spark.sql(f"drop table {x.table}")
+        if not keep:
+            self.spark.sql(f"drop table {name}")
+            return out
+        self.levels.append(Level(1, name))
+        while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
+            a, b = self.levels[-2:]
+            both = self.spark.table(a.table).groupBy("slot").cogroup(self.spark.table(b.table).groupBy("slot")).applyInArrow(merge, packed.schema(FAMILIES))
+            self.levels[-2:] = [Level(a.batches + b.batches, self._store(both))]
+            for x in (a, b):
+                self.spark.sql(f"drop table {x.table}")
         return out
 
+    def drop(self) -> None:
+        """Removes all levels."""
+        for level in self.levels:
+            self.spark.sql(f"drop table {level.table}")
+        self.levels = []
+
 
 def kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts(batches):
@@ -150,16 +179,20 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     other; with a null doc_id nothing is compared, and all bytes stay.
     """
     spark = docs.sparkSession
-    base = bucketed(texts(docs), "doc_id", "suffix_texts")
-    real = base.where("doc_id is not null")
-    cuts = real.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    bounds = [-(2**63), *[int(c) for c in cuts], 2**63 - 1] if len(cuts) == batches - 1 else [-(2**63), 2**63 - 1]
-    index, agreements = SuffixIndex(spark), []
-    for i in range(len(bounds) - 1):
-        above = F.col("doc_id") > bounds[i] if i else F.lit(True)
-        agreements += index.add(real.where(above & (F.col("doc_id") <= bounds[i + 1])), keep=i < len(bounds) - 2)
-    found = agreements[0]
-    for x in agreements[1:]:
-        found = found.unionByName(x)
-    found = found.repartition(tasks(spark), "slot").mapInArrow(by_document(FOUND), PER_DOC)
-    return removals(base, stored(found, "suffix-found"), SCHEME).mapInArrow(kept_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    with passing() as kept:
+        base = bucketed(texts(docs), "doc_id", "suffix_texts")
+        real = base.where("doc_id is not null")
+        cuts = real.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+        bounds = [-(2**63), *[int(c) for c in cuts], 2**63 - 1] if len(cuts) == batches - 1 else [-(2**63), 2**63 - 1]
+        index, agreements = SuffixIndex(spark), []
+        for i in range(len(bounds) - 1):
+            above = F.col("doc_id") > bounds[i] if i else F.lit(True)
+            agreements += index.add(real.where(above & (F.col("doc_id") <= bounds[i + 1])), keep=i < len(bounds) - 2)
+        index.drop()
+        found = agreements[0]
+        for x in agreements[1:]:
+            found = found.unionByName(x)
+        found = stored(found.repartition(tasks(spark), "slot").mapInArrow(by_document(FOUND), PER_DOC), "suffix-found")
+        repeats = repeated_runs(base, found, SCHEME)
+        kept += [base, repeats]
+    return with_runs(base, repeats).mapInArrow(kept_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

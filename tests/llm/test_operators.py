@@ -125,14 +125,22 @@ def test_repeated_bytes(spark, docs, rows, nothing):
     assert suffix_index.remove_repeats(nothing).count() == 0
 
 
-def test_levels_merge(spark, docs):
+def test_levels_merge(spark, docs, monkeypatch):
     index = suffix_index.SuffixIndex(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = []
     for i in range(5):
         index.add(base.where(F.col("doc_id") % 5 == i))
         sizes.append([l.batches for l in index.levels])
+        for level in index.levels:  # a merged level is sorted, too
+            for r in spark.table(level.table).collect():
+                assert (np.diff(np.frombuffer(r.seeds, np.uint64).astype(object)) >= 0).all()
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+    index.drop()
+    merges, store = [], suffix_index.SuffixIndex._store
+    monkeypatch.setattr(suffix_index.SuffixIndex, "_store", lambda self, arrays: merges.append(1) or store(self, arrays))
+    suffix_index.remove_repeats(docs)  # with the query's own number of batches: four arrays, and one merge of two
+    assert len(merges) == suffix_index.BATCHES + 1
 
 
 def test_repeated_words(spark, docs, rows, nothing):
