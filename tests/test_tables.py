@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula.operators import conversation, graph, model_calls, profiles, tables
@@ -71,3 +72,47 @@ def test_summaries_and_retries(spark, tmp_path):
     memo = spark.createDataFrame([("x", "r")], "text string, reply string").select(F.sha2("text", 256).alias("digest"), "reply")
     hits, misses = model_calls.memoised(spark.createDataFrame([("x",), ("y",)], "text string"), memo)
     assert [r.text for r in hits.collect()] == ["x"] and [r.text for r in misses.collect()] == ["y"]
+
+
+def test_numbers_do_not_depend_on_spans(spark):
+    df = spark.createDataFrame([(i % 3, i * 7) for i in range(200)], "k long, id long")
+    want = {(r.k, r.id): r.no for r in df.withColumn("no", F.row_number().over(Window.partitionBy("k").orderBy("id"))).collect()}
+    for span in (1, 50, 10_000):
+        assert {(r.k, r.id): r.no for r in tables.numbered(df, ["k"], "id", "no", span).collect()} == want
+
+
+def test_pages_know_their_total(spark):
+    df = spark.range(23)
+    assert {(r.total, r.pages) for r in tables.page_with_total(df, 4, 7, F.col("id")).collect()} == {(23, 4)}
+    assert [r.id for r in tables.page_with_total(df, 4, 7, F.col("id")).collect()] == [21, 22] and not tables.page_with_total(df, 5, 7, F.col("id")).collect()
+    assert not tables.page_with_total(df.limit(0), 1, 7, F.col("id")).collect()
+
+
+def test_lines_that_are_left_out_are_counted(spark):
+    df = spark.createDataFrame([(k, i, f"t{i}") for k, n in ((1, 5), (2, 3)) for i in range(1, n + 1)], "k long, no long, t string")
+    got = rows(tables.head_tail(df, "k", "no", "t", 2, 1))
+    assert got == [(1, 1, "t1"), (1, 2, "t2"), (1, 3, "...（中间省略 2 章）..."), (1, 5, "t5"), (2, 1, "t1"), (2, 2, "t2"), (2, 3, "t3")]
+
+
+def test_scopes_fields_and_chains(spark):
+    base = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "s long, v long")
+    none = base.limit(0)
+    assert rows(tables.replace_all(base, none, ["s"], base.where("s = 1"))) == [(2, 3)] and tables.replace_all(base, none, ["s"]).count() == 3
+    changes = spark.createDataFrame([(2, None, ["s"]), (3, 7, [])], "v long, s long, fields array<string>")
+    assert rows(tables.patch(base, changes, "v", "fields")) == rows(spark.createDataFrame([(1, 1), (None, 2), (2, 3)], "s long, v long"))
+    parts = spark.createDataFrame([(1, "a"), (3, "b"), (9, "orphan")], "v long, p string")
+    left = tables.delete_cascade({"base": base, "parts": parts}, base.where("s = 1"), "s", {"base": "s"}, {"parts": ("base", "v")})
+    assert rows(left["parts"]) == [(3, "b"), (9, "orphan")]
+    delta = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, " ", 3)], "k long, t string, n long")
+    assert rows(tables.upsert_documents(delta.limit(0), delta, ["k"], "t", F.desc("n"))) == [(1, "new", 2)]
+    layer = lambda *kv: spark.createDataFrame(kv, "key string, value string")
+    assert rows(tables.layered(layer(("a", "env"), ("b", None)), layer(("b", "file"), ("a", "file")), layer(("c", "own")))) == [("a", "env", 0), ("b", "file", 1), ("c", "own", 2)]
+
+
+def test_dictionaries_stay_within_their_novel(spark):
+    words = spark.createDataFrame([(1, 0, "ann"), (2, 0, "ann"), (1, 1, "sea")], "novel_id long, pos long, token string")
+    own = spark.createDataFrame([(1, "ann", "nr"), (1, "ann", "nz")], "novel_id long, word string, flag string")
+    assert rows(graph.tagged(words, own, ["novel_id"]).select("novel_id", "token", "flag")) == [(1, "ann", "nr"), (1, "sea", "x"), (2, "ann", "x")]
+    entities = spark.createDataFrame([(1, "ann", "item", 1), (1, "ann", "character", 5), (1, "sea", "place", 2)], "novel_id long, name string, type string, id long")
+    links = spark.createDataFrame([(1, "ann", "sea", "near"), (1, "ann", "sea", "near"), (1, "ann", "bob", "near")], "novel_id long, source string, target string, type string")
+    assert rows(graph.connect(links, entities, ("character", "place", "item"))) == [(1, 5, 2, "near")]

@@ -61,3 +61,22 @@ def test_json_rescue(spark):
     assert one(spark, J.outermost(F.col("t")), t="nothing") is None
     assert one(spark, J.rescued_array(F.col("t"), "k"), t='{"k": ["a", "b\\"c"], "z": [') == ["a", 'b\\"c']
     assert one(spark, J.clean_list(F.split("t", ",")), t="a, ,b") == ["a", "b"]
+
+
+def test_marks_times_and_cuts(spark):
+    marks = lambda t: [tuple(c) for c in one(spark, T.mark_chapters(F.col("t")), t=t)]
+    assert marks("前言第一章 甲第2回乙") == [("第一章", " 甲"), ("第2回", "乙")] and marks("无题") == [("", "无题")]
+    assert one(spark, T.time_expressions(F.col("t")), t="公元前221年7月1日，上古时期，永乐年间，19世纪") == ["公元前221年7月1日", "上古", "永乐年间", "19世纪"]
+    assert one(spark, T.sentence_lengths(F.col("t")), t="a b。 　 。cd\n!") == [2, 2]
+    assert one(spark, T.dialogue_density(F.col("t")), t="“ab」cd") == 4 / 6
+    for text, limit in (("一二。三四五六", 5), ("一二三四。五六", 6), ("一二三，四五六七", 6), ("一二三\n\n五六七", 7), ("abcdefgh", 5), ("ab", 5)):
+        head = text[:limit]
+        want = text if len(text) <= limit else next((text[: c + 1] for m in T.CUT_AFTER if (c := text.rfind(m, 0, limit)) > limit * 0.5), head)
+        assert one(spark, T.cut_at_sentence(F.col("t"), limit), t=text) == want
+
+
+def test_many_chapters_in_one_text(spark):
+    body = "\n".join(f"Chapter {i}\nline {i}\n" for i in range(1500))
+    got = one(spark, T.split_chapters(F.col("t")), t="before\n" + body)
+    text = "before\n" + body
+    assert len(got) == 1500 and all(c.content == f"line {i}" and text[c.char_start : c.char_end].strip() == c.content for i, c in enumerate(got))
