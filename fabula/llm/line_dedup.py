@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import packed
+from fabula.llm.firsts import Firsts
 from fabula.llm.repeats import shared_only
 from fabula.llm.shared import bucketed, slots, stored, tasks, texts
 from fabula.llm.textkit import Words, mix, parts, range_hashes, text_bytes
@@ -26,6 +27,7 @@ LEAST_LINES, LEAST_BYTES = 2, 40
 
 CHUNKS = {"high": np.uint64, "low": np.uint64, "docs": np.int64, "starts": np.uint32, "sizes": np.uint32}
 REPEATS = {"docs": np.int64, "starts": np.uint32, "sizes": np.uint32, "of": np.int64, "at": np.uint32}
+SENT = CHUNKS | REPEATS
 
 NOT_BREAK = np.ones(256, bool)
 NOT_BREAK[10] = False
@@ -58,22 +60,34 @@ def chunks(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def send_chunks(slot_ids: list[int]):
+    """Chunks dealt by their hash; those that repeat one of the same task are dealt by document, with that one's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = Firsts(same_doc=True)
         for b in parts(batches):
             raw, off = text_bytes(b.column("text"))
             row, s, e, _ = chunks(raw, off)
-            if len(row):
-                high, low = (range_hashes(raw, s, e, i) for i in (0, 1))
-                yield packed.deal(slot_ids, high, {"high": high, "low": low, "docs": b.column("doc_id").to_numpy()[row], "starts": (s - off[row]).astype(np.uint32), "sizes": (e - s).astype(np.uint32)})
+            if not len(row):
+                continue
+            high, low = (range_hashes(raw, s, e, i) for i in (0, 1))
+            f = {"high": high, "low": low, "docs": b.column("doc_id").to_numpy()[row], "starts": (s - off[row]).astype(np.uint32), "sizes": (e - s).astype(np.uint32)}
+            again, of, at = firsts.judge(high, low, f["docs"], f["starts"])
+            if not again.all():
+                yield packed.deal(slot_ids, high[~again], {n: x[~again] for n, x in f.items()}, SENT)
+            if again.any():
+                docs = f["docs"][again]
+                yield packed.deal(slot_ids, mix(docs.view(np.uint64)), {"docs": docs, "starts": f["starts"][again], "sizes": f["sizes"][again], "of": of[again], "at": at[again]}, SENT)
 
     return run
 
 
 def match_chunks(by_doc: list[int]):
-    """Chunks that repeat the first of their hash (smallest doc_id, then start), with the first's place; dealt by document."""
+    """Chunks that repeat the first of their hash (smallest doc_id, then start), with its place, or an earlier one of their own task; dealt by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared_only(packed.gather(batches, CHUNKS), "high")
+        sent: list[pa.RecordBatch] = []
+        yield from packed.settled(batches, "high", REPEATS, sent)
+        f = shared_only(packed.gather(iter(sent), CHUNKS), "high")
         order = np.lexsort((f["starts"], f["docs"], f["low"], f["high"]))
         f = {n: x[order] for n, x in f.items()}
         if not len(order):
@@ -143,7 +157,7 @@ def repeated_chunks(base: DataFrame) -> DataFrame:
     def dealt(df: DataFrame, run, planes: dict[str, type]) -> DataFrame:
         return df.mapInArrow(run, packed.schema(planes)).repartition(tasks(spark), "slot")
 
-    named = dealt(base.where("doc_id is not null"), send_chunks(slot_ids), CHUNKS)
+    named = dealt(base.where("doc_id is not null"), send_chunks(slot_ids), SENT)
     found = stored(dealt(named, match_chunks(slot_ids), REPEATS).mapInArrow(by_source, "doc_id long, start long, size long, of long, at long"), "line-repeats")
     # the bytes of each repeated place, once
     firsts = found.groupBy("of", "at").agg(F.max("size").alias("size")).groupBy("of").agg(F.collect_list(F.struct("at", "size")).alias("places"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, Scheme, Units, by_document, dealt, match_families, merged_runs, repeated_runs, send_families, with_runs
+from fabula.llm.repeats import FOUND, PER_DOC, SENT_FAMILIES, Scheme, Units, by_document, dealt, match_families, merged_runs, repeated_runs, send_families, with_runs
 from fabula.llm.shared import bucketed, passing, slots, stored, texts
 from fabula.llm.textkit import SPACE_WORDS, Words, mix, parts, prefix, slices, text_bytes
 
@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with passing() as kept:
         base = bucketed(texts(docs), "doc_id", "recompression_texts")
         slot_ids = slots(spark)
-        named = dealt(base.where("doc_id is not null"), send_families(SCHEME, slot_ids), FAMILIES)
+        named = dealt(base.where("doc_id is not null"), send_families(SCHEME, slot_ids), SENT_FAMILIES)
         found = stored(dealt(named, match_families(SCHEME.same_doc, slot_ids), FOUND).mapInArrow(by_document(FOUND), PER_DOC), "recompression-found")
         repeats = repeated_runs(base, found, SCHEME)
         kept += [base, repeats]

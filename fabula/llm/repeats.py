@@ -2,7 +2,8 @@
 
 A text is a sequence of units (bytes or words). Every window of `width` units has a seed, a piece inside it that
 the window's content alone decides; neighbouring windows with one seed are a family, and what a family covers is
-its span. Families meet by their seeds' hashes. Of families with equal spans all but the first repeat as wholes.
+its span. Families meet by their seeds' hashes. Of families with equal spans all but the first repeat as wholes; a
+task settles those it has seen before itself, and sends no more of a seed when its slot must know of several spans.
 Where a seed has several spans, their windows are hashed one by one and meet by those hashes. So only seeds and
 few windows are moved, and texts not at all: they are stored once in buckets of doc_id.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import packed
+from fabula.llm.firsts import Firsts, Wide
 from fabula.llm.shared import slots, stored, tasks
 from fabula.llm.textkit import mix, parts, prefix, slices, text_bytes
 
@@ -25,6 +27,8 @@ FAMILIES = {"seeds": np.uint64, "spans": np.uint64, "docs": np.int64, "starts":
 FOUND = {"docs": np.int64, "starts": np.uint32, "sizes": np.uint32, "open": np.uint8}
 WINDOWS = {"high": np.uint64, "low": np.uint32, "docs": np.int64, "starts": np.uint32}
 RUNS = {"docs": np.int64, "starts": np.uint32, "sizes": np.uint32}
+#: What is sent: entries to be matched, dealt by their key, and settled ones, dealt by document, without a key.
+SENT_FAMILIES, SENT_WINDOWS = FAMILIES | FOUND, WINDOWS | RUNS
 
 
 @dataclass
@@ -70,10 +74,21 @@ def families(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.n
 
 def send_families(scheme: Scheme, slot_ids: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, wide = Firsts(scheme.same_doc), Wide()
         for b in parts(batches):
             row, start, size, seed, span = families(scheme, scheme.units(*text_bytes(b.column("text"))))
-            if len(row):
-                yield packed.deal(slot_ids, seed, {"seeds": seed, "spans": span, "docs": b.column("doc_id").to_numpy()[row], "starts": start.astype(np.uint32), "sizes": size.astype(np.uint32)})
+            if not len(row):
+                continue
+            f = {"seeds": seed, "spans": span, "docs": b.column("doc_id").to_numpy()[row], "starts": start.astype(np.uint32), "sizes": size.astype(np.uint32)}
+            again, _, _ = firsts.judge(seed, span, f["docs"], f["starts"])
+            look = np.zeros(len(row), bool)
+            look[~again] = wide.beyond(seed[~again], span[~again])
+            done = again | look
+            if not done.all():
+                yield packed.deal(slot_ids, seed[~done], {n: x[~done] for n, x in f.items()}, SENT_FAMILIES)
+            if done.any():
+                docs = f["docs"][done]
+                yield packed.deal(slot_ids, mix(docs.view(np.uint64)), {"docs": docs, "starts": f["starts"][done], "sizes": f["sizes"][done], "open": look[done].astype(np.uint8)}, SENT_FAMILIES)
 
     return run
 
@@ -119,7 +134,9 @@ def found_rows(f: dict[str, np.ndarray], same_doc: bool, by_doc: list[int]) -> I
 
 def match_families(same_doc: bool, by_doc: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from found_rows(sorted_families(shared_only(packed.gather(batches, FAMILIES), "seeds")), same_doc, by_doc)
+        sent: list[pa.RecordBatch] = []
+        yield from packed.settled(batches, "seeds", FOUND, sent)
+        yield from found_rows(sorted_families(shared_only(packed.gather(iter(sent), FAMILIES), "seeds")), same_doc, by_doc)
 
     return run
 
@@ -170,6 +187,7 @@ def send_windows(scheme: Scheme, slot_ids: list[int]):
     """Hashes of the windows of open families."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = Firsts(scheme.same_doc)
         for b in parts(batches):
             units = scheme.units(*text_bytes(b.column("text")))
             at = []
@@ -181,14 +199,22 @@ def send_windows(scheme: Scheme, slot_ids: list[int]):
                 row.append(np.full(len(own), r))
             x, row_of = np.concatenate(at), np.concatenate(row)
             high, low = (slices(prefix(units.plane(i), i), x, x + scheme.width, i) for i in (0, 1))
-            yield packed.deal(slot_ids, high, {"high": high, "low": (low >> np.uint64(32)).astype(np.uint32), "docs": b.column("doc_id").to_numpy()[row_of], "starts": (x - units.at[row_of]).astype(np.uint32)})
+            f = {"high": high, "low": (low >> np.uint64(32)).astype(np.uint32), "docs": b.column("doc_id").to_numpy()[row_of], "starts": (x - units.at[row_of]).astype(np.uint32)}
+            again, _, _ = firsts.judge(high, f["low"].astype(np.uint64), f["docs"], f["starts"])
+            if not again.all():
+                yield packed.deal(slot_ids, high[~again], {n: p[~again] for n, p in f.items()}, SENT_WINDOWS)
+            if again.any():
+                docs = f["docs"][again]
+                yield packed.deal(slot_ids, mix(docs.view(np.uint64)), {"docs": docs, "starts": f["starts"][again], "sizes": np.ones(len(docs), np.uint32)}, SENT_WINDOWS)
 
     return run
 
 
 def match_windows(same_doc: bool, by_doc: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared_only(packed.gather(batches, WINDOWS), "high")
+        sent: list[pa.RecordBatch] = []
+        yield from packed.settled(batches, "high", RUNS, sent)
+        f = shared_only(packed.gather(iter(sent), WINDOWS), "high")
         order = np.lexsort((f["starts"], f["docs"], f["low"], f["high"]))
         f = {n: x[order] for n, x in f.items()}
         if not len(order):
@@ -221,7 +247,7 @@ def repeated_runs(base: DataFrame, found: DataFrame, scheme: Scheme) -> DataFram
     """(doc_id, starts, sizes), stored: packed runs of repeated windows. `found` (PER_DOC) is what matching seeds said of the families of `base`."""
     slot_ids = slots(base.sparkSession)
     look = found.where("open").select("doc_id", "starts", "sizes")
-    windows = dealt(base.join(look, "doc_id"), send_windows(scheme, slot_ids), WINDOWS)
+    windows = dealt(base.join(look, "doc_id"), send_windows(scheme, slot_ids), SENT_WINDOWS)
     gone = dealt(windows, match_windows(scheme.same_doc, slot_ids), RUNS).mapInArrow(by_document(RUNS), PER_DOC)
     return stored(found.where("not open").unionByName(gone).select("doc_id", "starts", "sizes"), "repeats")
 

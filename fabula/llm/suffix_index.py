@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm import packed
-from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, Scheme, Units, by_document, found_rows, merged_runs, repeated_runs, send_families, shared_only, sorted_families, with_runs
+from fabula.llm.repeats import FAMILIES, FOUND, PER_DOC, SENT_FAMILIES, Scheme, Units, by_document, found_rows, merged_runs, repeated_runs, send_families, shared_only, sorted_families, with_runs
 from fabula.llm.shared import bucketed, passing, slots, stored, tasks, texts
 from fabula.llm.textkit import CODES, parts, prefix, slices, text_bytes
 
@@ -49,22 +49,30 @@ def byte_seeds(units: Units, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 SCHEME = Scheme(WIDTH, byte_units, byte_seeds, same_doc=True)
 
 
-def one_array(got: dict[str, np.ndarray], slot: int) -> pa.Table:
-    return pa.table({"slot": pa.array([slot], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in got.items()}})
+Entries = dict[str, np.ndarray]
 
 
-def gathered(table: pa.Table) -> dict[str, np.ndarray]:
-    return packed.gather(iter(table.to_batches()), FAMILIES)
+def one_array(got: Entries, slot: int) -> pa.Table:
+    return pa.table({"slot": pa.array([slot], pa.int32()), **{n: pa.array([got[n].tobytes() if n in got else b""], pa.binary()) for n in SENT_FAMILIES}})
 
 
-Entries = dict[str, np.ndarray]
+def split(table: pa.Table, planes: dict[str, type]) -> tuple[Entries, pa.Table]:
+    """The entries of an array, and the given planes of the rows that were settled before they came to it."""
+    sent: list[pa.RecordBatch] = []
+    kind = pa.schema([("slot", pa.int32()), *[(n, pa.binary()) for n in planes]])
+    rows = pa.Table.from_batches([b.cast(kind) for b in packed.settled(table.to_batches(), "seeds", planes, sent)], kind)
+    return packed.gather(iter(sent), FAMILIES), rows
+
+
+def gathered(table: pa.Table) -> Entries:
+    return split(table, FOUND)[0]
 
 
 def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The sorted array of one slot."""
-    got = gathered(table)
+    """The sorted array of one slot, and what was settled before."""
+    got, rows = split(table, SENT_FAMILIES)
     order = np.argsort(got["seeds"], kind="stable")
-    return one_array({n: x[order] for n, x in got.items()}, key[0].as_py())
+    return pa.concat_tables([one_array({n: x[order] for n, x in got.items()}, key[0].as_py()), rows])
 
 
 def merged_arrays(a: Entries, b: Entries) -> Entries:
@@ -98,6 +106,12 @@ def agreeing(by_doc: list[int], got: Entries) -> pa.Table:
     return pa.Table.from_batches([b.cast(empty) for b in rows], empty)
 
 
+def agreeing_within(by_doc: list[int], table: pa.Table) -> pa.Table:
+    """What the entries of one array have in common, and what was settled before."""
+    got, rows = split(table, FOUND)
+    return pa.concat_tables([rows, agreeing(by_doc, shared_only(got, "seeds"))])
+
+
 @dataclass
 class Level:
     batches: int
@@ -123,10 +137,10 @@ class SuffixIndex:
         The last batch of a family that is not used again need not be kept.
         """
         by_doc = self.slots
-        arrays = base.mapInArrow(send_families(SCHEME, self.slots), packed.schema(FAMILIES)).groupBy("slot").applyInArrow(build, packed.schema(FAMILIES))
+        arrays = base.mapInArrow(send_families(SCHEME, self.slots), packed.schema(SENT_FAMILIES)).groupBy("slot").applyInArrow(build, packed.schema(SENT_FAMILIES))
         name = self._store(arrays)
         arrays = self.spark.table(name)
-        out = [arrays.groupBy("slot").applyInArrow(lambda table: agreeing(by_doc, shared_only(gathered(table), "seeds")), packed.schema(FOUND))]
+        out = [arrays.groupBy("slot").applyInArrow(lambda table: agreeing_within(by_doc, table), packed.schema(FOUND))]
 
         def scan(new: pa.Table, old: pa.Table) -> pa.Table:
             return agreeing(by_doc, scanned(gathered(new), gathered(old)))
@@ -140,7 +154,7 @@ class SuffixIndex:
         self.levels.append(Level(1, name))
         while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
             a, b = self.levels[-2:]
-            both = self.spark.table(a.table).groupBy("slot").cogroup(self.spark.table(b.table).groupBy("slot")).applyInArrow(merge, packed.schema(FAMILIES))
+            both = self.spark.table(a.table).groupBy("slot").cogroup(self.spark.table(b.table).groupBy("slot")).applyInArrow(merge, packed.schema(SENT_FAMILIES))
             self.levels[-2:] = [Level(a.batches + b.batches, self._store(both))]
             for x in (a, b):
                 self.spark.sql(f"drop table {x.table}")
