@@ -43,3 +43,7 @@ g as (select distinct doc_id, unnest(range(i, i + 13)) p from win join f using (
 x as (select doc_id, unnest(range(1, len(ws) + 1)) p, unnest(ws) word from w),
 k as (select x.doc_id, count(g.p) n_removed, string_agg(word, ' ' order by x.p) filter (where g.p is null) kept from x left join g on g.doc_id = x.doc_id and g.p = x.p group by 1)
 select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join k using (doc_id)"""
+
+OP11 = r"""with t as (select doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) text_sha256 from documents)
+select doc_id, first_value(doc_id) over w keep_id, count(*) over w group_size, doc_id = first_value(doc_id) over w kept, text_sha256 from t
+window w as (partition by text_sha256 order by n desc, doc_id rows between unbounded preceding and unbounded following)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, oracles, recompression, suffix_index, token_count, topk, toxicity
+from fabula.llm import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dup, oracles, recompression, suffix_index, token_count, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_decontamination, op4_token_counts, op5_line_dedup, op6_suffix_array_dedup, op7_top_k, op8_language_id, op9_minhash_near_dup, op10_recompression)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_decontamination, op4_token_counts, op5_line_dedup, op6_suffix_array_dedup, op7_top_k, op8_language_id, op9_minhash_near_dup, op10_recompression, op11_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": oracles.OP3, "op6_suffix_array_dedup": oracles.OP6, "op7_top_k": oracles.OP7, "op9_minhash_near_dup": oracles.OP9, "op10_recompression": oracles.OP10}
+    return {"op3_decontamination": oracles.OP3, "op6_suffix_array_dedup": oracles.OP6, "op7_top_k": oracles.OP7, "op9_minhash_near_dup": oracles.OP9, "op10_recompression": oracles.OP10, "op11_exact_dedup": oracles.OP11}
