@@ -34,7 +34,8 @@ def without_space(text: Column) -> Column:
 def candidates(rows: DataFrame, tracked: int = TRACKED, most: int = CANDIDATES) -> DataFrame:
     """(digest) the values of the long column `digest` with the largest estimates, `most` at most, each once."""
     parts = rows.select("digest", (F.spark_partition_id() % MERGES).alias("part")).groupBy("part").agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch"))
-    merged = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {most})").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    # grouped by one constant: a task without rows then has no sketch, as an empty one cannot be merged
+    merged = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {most})").alias("top"))
     return merged.select(F.explode("top").alias("top")).select("top.item").withColumnRenamed("item", "digest")
 
 

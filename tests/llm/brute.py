@@ -113,3 +113,55 @@ def top_k(vectors, asked, k=5):
         scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return out
+
+
+def equal_texts(docs):
+    """docs: (doc_id, text), in the order in which they are read; the result is in that order."""
+    same = {}
+    for row, (d, text) in enumerate(docs):
+        same.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), d is None, d or 0, row))
+    out = [None] * len(docs)
+    for text, rows in same.items():
+        keep = min(rows)
+        for _, _, _, row in rows:
+            out[row] = (docs[row][0], docs[keep[3]][0], len(rows), row == keep[3], sha(text.encode()))
+    return out
+
+
+def numbers(vector, scale):
+    """Whole components, or None where a vector takes no part."""
+    import math
+
+    sound = vector is not None and all(x is not None and math.isfinite(x) for x in vector)
+    return [math.floor(scale * x) for x in vector] if sound else None
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=3, low=50, high=95, scale=256):
+    """rows: (vec_id, label, vector); of one id only the least (label, components) counts."""
+    own = {}
+    for i, label, v in rows:
+        if i is not None and label is not None and (w := numbers(v, scale)) is not None:
+            own[i] = min(own.get(i, (label, w)), (label, w))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for a in filter(anchor, own):
+        scored = sorted((-dot(own[a][1], v), i) for i, (_, v) in own.items() if i != a)
+        for p, i in [x for x in scored if own[x[1]][0] == own[a][0]][:positives]:
+            found = [(s, j) for s, j in scored if own[j][0] != own[a][0] and low * -p <= 100 * -s <= high * -p]
+            out += [(a, i, n + 1, j, -p, -s) for n, (s, j) in enumerate(found[:negatives])]
+    return sorted(out)
+
+
+def clusters(rows, k=16, width=64, scale=64, rounds=3):
+    """rows: (vec_id, vector)."""
+    kept = [(i, w) for i, v in rows if (w := numbers(v, scale)) is not None and len(w) == width]
+    first = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest() if i is not None else "~", w) for i, w in kept)
+    centroids = [w for _, w in first[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for n in range(rounds + 1):
+        near = [min((far(w, c), j) for j, c in enumerate(centroids)) for _, w in kept]
+        for j in range(len(centroids) if n < rounds else 0):
+            own = [w for (_, w), (_, c) in zip(kept, near) if c == j]
+            centroids[j] = [sum(x) // len(own) for x in zip(*own)] if own else centroids[j]
+    sums = {j: sum(d for d, c in near if c == j) for j in range(len(centroids))}
+    return [(i, c, d, sums[c], sum(sums.values()), sha(",".join(map(str, centroids[c])).encode())) for (i, _), (d, c) in zip(kept, near)]
