@@ -47,3 +47,28 @@ select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_removed, 0) n_removed
 OP11 = r"""with t as (select doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) text_sha256 from documents)
 select doc_id, first_value(doc_id) over w keep_id, count(*) over w group_size, doc_id = first_value(doc_id) over w kept, text_sha256 from t
 window w as (partition by text_sha256 order by n desc, doc_id rows between unbounded preceding and unbounded following)"""
+
+OP12 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+ where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id a, b.vec_id b, a.l = b.l same, cast(list_inner_product(a.v, b.v) as bigint) score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, score from (select *, row_number() over (partition by a order by score desc, b) place from s where same) where place <= 5),
+n as (select p.a, p.b, s.b c, p.score ps, s.score ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) place from p join s on p.a = s.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a anchor_id, b positive_id, cast(place as int) as rank, c negative_id, ps positive_score, ns negative_score from n where place <= 3"""
+
+
+def _op13(rounds: int = 3) -> str:
+    """Rounds of assignment (r) and of new centroids (c), one after the other."""
+    steps = [
+        "v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        "c0 as (select cast(row_number() over (order by sha256('1:' || vec_id)) - 1 as int) c, v from v qualify c < 16)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"r{i} as (select vec_id, arg_min(c, (d, c)) c, min(d) d from (select vec_id, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from v, c{i}) group by 1)")
+        means = f"select c, list(m order by i) v from (select c, i, floor(sum(x) / count(*)) m from (select c, unnest(v) x, unnest(range(64)) i from r{i} join v using (vec_id)) group by 1, 2) group by 1"
+        steps.append(f"c{i + 1} as (select c, coalesce(n.v, c{i}.v) v from c{i} left join ({means}) n using (c))")
+    last = f"r{rounds} join c{rounds} using (c)"
+    out = "select vec_id, c as cluster, cast(d as bigint) distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(list_transform(v, lambda x: cast(x as bigint)), ',')) centroid_sha256"
+    return f"with {', '.join(steps)} {out} from {last}"
+
+
+OP13 = _op13()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dup, oracles, recompression, suffix_index, token_count, topk, toxicity
+from fabula.llm import byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, near_dup, oracles, recompression, sort_means, suffix_index, token_count, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,18 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_decontamination, op4_token_counts, op5_line_dedup, op6_suffix_array_dedup, op7_top_k, op8_language_id, op9_minhash_near_dup, op10_recompression, op11_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_decontamination, op4_token_counts, op5_line_dedup, op6_suffix_array_dedup, op7_top_k, op8_language_id, op9_minhash_near_dup, op10_recompression, op11_exact_dedup, op12_hard_negatives, op13_sort_means)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": oracles.OP3, "op6_suffix_array_dedup": oracles.OP6, "op7_top_k": oracles.OP7, "op9_minhash_near_dup": oracles.OP9, "op10_recompression": oracles.OP10, "op11_exact_dedup": oracles.OP11}
+    return {"op3_decontamination": oracles.OP3, "op6_suffix_array_dedup": oracles.OP6, "op7_top_k": oracles.OP7, "op9_minhash_near_dup": oracles.OP9, "op10_recompression": oracles.OP10, "op11_exact_dedup": oracles.OP11, "op12_hard_negatives": oracles.OP12, "op13_sort_means": oracles.OP13}

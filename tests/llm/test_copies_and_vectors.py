@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.llm import exact_dedup
+from fabula.llm import ball_tree, exact_dedup, hard_negatives, sort_means
 
 SAME = ["a b", "ab", " ab\n", "a\tb  ", "", None, " \r\n\x0b\x0c", " ab", "A b", "é日本", "é 日本\n", "x" * 200_000, "x " * 200_000]
 
@@ -28,3 +28,71 @@ def test_copies_equal_a_plain_grouping(spark):
 def test_every_heavy_digest_is_a_candidate(spark):
     rows = spark.range(0, 40_000, 1, 16).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.col("id") + 100).alias("digest"))
     assert {r.digest for r in exact_dedup.candidates(rows, 512, 64).collect()} >= set(range(7))
+
+
+def odd_vectors(n, width, rng, spread=1.0):
+    """Vectors with ties, copies of one that a third of the rows hold, equal ids, and rows that take no part."""
+    hot = [rng.uniform(-spread, spread) for _ in range(width)]
+    rows = [(i, rng.randint(0, 4), hot if i % 3 == 0 else [rng.choice([-spread, 0.0, 0.3, spread]) for _ in range(width)]) for i in range(n)]
+    rows += [(5, 1, rows[5][2]), (5, 1, rows[5][2]), (50, 9, hot), (None, 1, hot), (900, None, hot), (901, 1, None), (902, 1, []), (903, 2, [None] * width), (904, 2, [float("nan")] * width), (905, 0, [float("inf")] * width), (906, 3, [1.0])]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumns({c: F.lit(1) for c in ("vec", "slot", "tree", "cluster", "distance", "rank", "score", "block")})
+
+
+@pytest.mark.parametrize("tree_rows, block", [(8192, 1024), (16, 3)])
+def test_hard_negatives_equal_a_plain_search(spark, tree_rows, block):
+    rng = random.Random(4)
+    rows = odd_vectors(400, 6, rng)
+    got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0, F.col("label"), tree_rows=tree_rows, block=block)
+    assert sorted(map(tuple, got.collect())) == brute.hard_negatives(rows, lambda i: i % 10 == 0)
+    few = frame(spark, rows[:4])
+    assert sorted(map(tuple, hard_negatives.mine(few, F.col("vec_id") < 9, F.col("label")).collect())) == brute.hard_negatives(rows[:4], lambda i: i < 9)
+    assert hard_negatives.mine(few.limit(0), F.col("vec_id") < 9, F.col("label")).count() == 0
+    assert hard_negatives.mine(few, F.col("vec_id") > 9, F.col("label")).count() == 0
+
+
+@pytest.mark.parametrize("n, width, spread, labels", [(500, 8, 20, 3), (900, 3, 5, 1), (600, 4, 2, 50), (100, 4, 2**26, 2), (60, 4, 2**29, 2), (1, 3, 4, 1), (70, 2, 0, 2)])
+def test_a_tree_finds_what_a_scan_finds(n, width, spread, labels):
+    rng = np.random.default_rng(n)
+    x = rng.integers(-spread, spread + 1, (n, width))
+    x[n // 3 : 2 * n // 3] = x[0]
+    label, ids, asked = rng.integers(0, labels, n), rng.permutation(n), rng.integers(0, n, 40)
+    tree = ball_tree.Tree.unpacked(ball_tree.build(ids, label, x, 8).packed())
+    scores = x[asked].astype(object) @ x.T.astype(object)
+    for same in (True, False):
+        low, high = np.array([[int(s.max()) // 4, int(s.max()) // 2] for s in scores], np.int64).T
+        if same:
+            low, high = np.full(40, ball_tree.LEAST), np.full(40, ball_tree.MOST)
+        own = ball_tree.Asked.of(ids[asked], label[asked], low, high, x[asked], 4)
+        computed = ball_tree.search(tree, own, same)
+        assert computed <= n * len(asked)
+        for q in range(len(asked)):
+            fit = [(-int(s), int(i)) for s, i, t in zip(scores[q], ids, label) if i != ids[asked[q]] and (t == label[asked[q]]) == same and low[q] <= s <= high[q]]
+            assert [(-int(s), int(i)) for s, i in zip(own.scores[q], own.ids[q]) if s > ball_tree.LEAST] == sorted(fit)[:4]
+    if n == 900:
+        assert computed == 0  # one label: no node holds a negative
+
+
+@pytest.mark.parametrize("k, width", [(16, 4), (3, 2), (1000, 3)])
+def test_clusters_equal_plain_rounds(spark, k, width):
+    rng = random.Random(6)
+    rows = odd_vectors(300, width, rng)
+    want = brute.clusters([(i, v) for i, _, v in rows], k, width)
+    assert sorted(map(tuple, sort_means.clusters(frame(spark, rows), k, width).collect()), key=repr) == sorted(want, key=repr)
+    assert sort_means.clusters(frame(spark, rows).limit(0), k, width).count() == 0
+
+
+def test_far_components_stay_exact_and_scans_stop_early():
+    rng = np.random.default_rng(1)
+    for spread in (3, 2**20, 2**29):
+        x, c = rng.integers(-spread, spread, (200, 3)), rng.integers(-spread, spread, (9, 3))
+        c[5] = c[2]
+        far = ((x.astype(object)[:, None] - c.astype(object)[None]) ** 2).sum(-1)
+        near, least, _ = sort_means.assign(x, rng.integers(0, 9, 200), c)
+        assert near.tolist() == [min((d, j) for j, d in enumerate(r))[1] for r in far] and least.tolist() == far.min(1).tolist()
+    middle = rng.integers(-(10**6), 10**6, (40, 5))
+    x = np.repeat(middle, 10, 0) + rng.integers(-9, 9, (400, 5))
+    assert sort_means.assign(x, np.repeat(np.arange(40), 10), middle)[2] == 400  # no other centroid is looked at

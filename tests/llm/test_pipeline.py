@@ -19,4 +19,4 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_all_operators_are_registered():
     names = {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
