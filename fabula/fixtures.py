@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fabula.operators.graph import cooccurrence, tokens
+from fabula.functions.segment import Words
+from fabula.operators import graph, tables, words
 from fabula.operators.tables import numbered
 
-#: A token: letters of any language.
-LETTERS = r"\p{L}+"
+#: A token: letters of any language; runs of ideographs are cut by DICTIONARY.
+LETTERS = words.LETTERS
+
+#: Words of the Chinese rows, with frequencies and flags, and those that the novels with even numbers have besides.
+DICTIONARY = [
+    ("沈砚", 90, "nr"), ("陆青", 80, "nr"), ("安静", 100, "nr"), ("苏晚", 60, "nr"), ("落霞镇", 40, "ns"), ("青石城", 40, "ns"), ("石城", 20, "ns"), ("天剑宗", 30, "nt"),
+    ("请安静", 30, "v"), ("来了", 90, "v"), ("看见", 90, "v"), ("走进", 70, "v"), ("走", 70, "v"), ("吹过", 30, "v"), ("长风", 50, "n"), ("他", 300, "r"), ("说", 300, "v"), ("在", 300, "p"),
+]
+OWN_WORDS = [("顾长风", None, "nr")]
+SCENE_NAMES, SCENE_PLACES = ("沈砚", "顾长风", "陆青", "安静", "苏晚"), ("落霞镇", "青石城", "石城")
 
 
 class Views:
@@ -33,6 +44,10 @@ class Views:
             (F.col("doc_id") % 29 == 0).alias("deleted"),
         )
 
+    def prose(self) -> DataFrame:
+        """The documents for work on their texts: on all cores, however the table was written."""
+        return tables.spread(self.document(), "doc_id")
+
     def link(self) -> DataFrame:
         return self.document().where("doc_id % 5 <> 0").select("doc_id", F.col("novel_id").alias("kb_id"))
 
@@ -46,8 +61,9 @@ class Views:
     def chapter(self) -> DataFrame:
         """A novel's documents, numbered. Only ids are numbered, in spans; texts are joined to them."""
         d = self.document()
+        texts = self.prose()
         no = numbered(d.select("novel_id", "doc_id"), ["novel_id"], "doc_id", "chapter_no").select("doc_id", "chapter_no")
-        return no.join(d, "doc_id").select("novel_id", "owner_id", "doc_id", "chapter_no", F.col("text").alias("content"), "word_count").withColumn("title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
+        return no.join(texts, "doc_id").select("novel_id", "owner_id", "doc_id", "chapter_no", F.col("text").alias("content"), "word_count").withColumn("title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
 
     def usage(self) -> DataFrame:
         return self.table("events").select(
@@ -67,24 +83,63 @@ class Views:
         task = F.col("event_id") % 500
         return self.table("events").select(task.alias("task_id"), F.col("event_id").alias("seq"), status.alias("status"), (F.col("user_id") % 3).alias("owner_id"), F.when(task % 9 != 0, task % 50).alias("novel_id"), (task % 4 == 0).alias("is_long"), F.col("ts"))
 
+    @cached_property
+    def dictionary(self) -> Words:
+        return words.load(self.spark.createDataFrame(DICTIONARY, "word string, freq long, flag string"))
+
     def token(self) -> DataFrame:
-        return tokens(self.document(), ["novel_id", "doc_id"], "text", LETTERS)
+        return words.tokens(self.prose(), ["novel_id", "doc_id"], "text", self.dictionary)
+
+    def scene(self) -> DataFrame:
+        """Chinese chapters of about a thousand characters, with a line for each of 64 events that follow one another."""
+        pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+        who, whom = pick(SCENE_NAMES, F.col("user_id")), pick(SCENE_NAMES, F.col("event_id"))
+        where = pick(SCENE_PLACES, F.col("event_id"))
+        line = (
+            F.when(F.col("event_type") == "view", F.concat(who, F.lit("说"), whom, F.lit("来了。")))
+            .when(F.col("event_type") == "click", F.concat(F.lit("他在"), where, F.lit("看见"), who, F.lit("！")))
+            .when(F.col("event_type") == "purchase", F.concat(who, F.lit("走进天剑宗，“请安静”。\n")))
+            .when(F.col("event_type") == "signup", F.concat(F.lit("Anna met "), who, F.lit("?")))
+            .otherwise(F.concat(F.lit("长风吹过"), where, F.lit("，")))
+        )
+        lines = self.table("events").select(F.floor(F.col("event_id") / 64).alias("doc_id"), F.struct("event_id", line.alias("line")).alias("l"))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "")
+        return lines.groupBy("doc_id").agg(text.alias("text")).select((F.col("doc_id") % 5).alias("novel_id"), "doc_id", "text")
+
+    def scene_words(self) -> DataFrame:
+        """(novel_id, word, freq, flag) what the novels of the scenes have in their own dictionaries."""
+        own = self.spark.createDataFrame(OWN_WORDS, "word string, freq long, flag string")
+        return own.withColumn("novel_id", F.explode(F.array(*[F.lit(n).cast("long") for n in (0, 2, 4)]))).select("novel_id", "word", "freq", "flag")
+
+    def scene_token(self) -> DataFrame:
+        """(novel_id, doc_id, pos, token, flag)"""
+        cut = words.tokens(self.scene(), ["novel_id", "doc_id"], "text", self.dictionary, "novel_id", self.scene_words())
+        general = self.spark.createDataFrame(DICTIONARY, "token string, freq long, general string").drop("freq")
+        flagged = graph.tagged(cut, self.scene_words().drop("freq"), ["novel_id"], default="")
+        return flagged.join(F.broadcast(general), "token", "left").withColumn("flag", F.coalesce(F.nullif("flag", F.lit("")), "general", F.lit("x"))).drop("general")
+
+    @cached_property
+    def _entities(self) -> DataFrame:
+        return tables.known(self._entity(), graph.MOST_ENTITIES)[0]
 
     def entity(self) -> DataFrame:
-        """The 100 most frequent tokens of four to six letters of each novel, with a type and an id."""
+        """The 100 most frequent tokens of four to six letters of each novel, with a type and an id; they are counted once for a query."""
+        return self._entities
+
+    def cast(self) -> DataFrame:
+        """(novel_id, name) of the entities that are characters."""
+        return self.entity().where("type = 'character'").select("novel_id", "name")
+
+    def _entity(self) -> DataFrame:
         n = self.token().where("length(token) between 4 and 6").groupBy("novel_id", "token").agg(F.count("*").alias("freq"))
         place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("freq"), "token"))
         types = F.element_at(F.array(*map(F.lit, ("character", "place", "org", "item"))), (F.col("place") % 4 + 1).cast("int"))
         return n.withColumn("place", place).where("place <= 100").select("novel_id", F.col("token").alias("name"), "freq", F.col("place").cast("long").alias("entity_no"), types.alias("type"))
 
     def edge(self) -> DataFrame:
-        """Co-occurrences of each novel's entities, counted by their numbers; names are joined to the sums."""
-        named = self.entity().select("novel_id", F.col("name").alias("token"), "entity_no")
-        mentions = self.token().join(named, ["novel_id", "token"]).select("novel_id", "doc_id", "pos", F.col("entity_no").cast("int").alias("entity_no"))
-        edges = cooccurrence(mentions, ["novel_id"], "doc_id", "pos", "entity_no")
-        for end in ("source", "target"):
-            edges = edges.join(named.select("novel_id", F.col("entity_no").cast("int").alias(end), F.col("token").alias(f"{end}_name")), ["novel_id", end])
-        return edges.select("novel_id", F.least("source_name", "target_name").alias("source"), F.greatest("source_name", "target_name").alias("target"), "weight")
+        """Co-occurrences of each novel's entities, counted in the documents."""
+        docs = words.token_lists(self.prose(), ["novel_id", "doc_id"], "text", self.dictionary)
+        return graph.entity_pairs(docs, "novel_id", "doc_id", "tokens", self.entity())
 
     def relation(self) -> DataFrame:
         """The 60 heaviest co-occurrences of each novel's entities."""
@@ -97,6 +152,17 @@ class Views:
         return self.table("documents").select((F.col("doc_id") % 40).cast("string").alias("name"), F.col("doc_id").alias("seq"), F.when(blank, "").otherwise(F.col("lang")).alias("role"), F.when(blank, "").otherwise(F.expr("substring(text, 1, cast(60 + doc_id % 90 as int))")).alias("description"))
 
 
+def _scene_sql() -> str:
+    """The words of each line of a scene, as whoever wrote the line means them."""
+    lists = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    name = lambda by: f"(case when {lists(SCENE_NAMES)}[cast({by} % 5 as int) + 1] <> '顾长风' then [{lists(SCENE_NAMES)}[cast({by} % 5 as int) + 1]] when event_id // 64 % 5 % 2 = 0 then ['顾长风'] else ['顾', '长风'] end)"
+    where = f"[{lists(SCENE_PLACES)}[cast(event_id % 3 as int) + 1]]"
+    flags = " ".join(f"when '{w}' then '{f}'" for w, _, f in DICTIONARY + OWN_WORDS)
+    return f"""scene_line as (select event_id, event_id // 64 doc_id, case event_type when 'view' then {name("user_id")} || ['说'] || {name("event_id")} || ['来了'] when 'click' then ['他', '在'] || {where} || ['看见'] || {name("user_id")}
+ when 'purchase' then {name("user_id")} || ['走进', '天剑宗', '请安静'] when 'signup' then ['anna', 'met'] || {name("user_id")} else ['长风', '吹过'] || {where} end ws from events),
+scene_token as (select doc_id % 5 novel_id, doc_id, row_number() over (partition by doc_id order by event_id, i) - 1 pos, token, case token {flags} else 'x' end flag from (select event_id, doc_id, unnest(range(0, len(ws))) i, unnest(ws) token from scene_line))"""
+
+
 #: The same views in SQL, for the oracle.
 SQL = """with document as (select doc_id, cast(substr(source, 4) as bigint) novel_id, cast(substr(source, 4) as bigint) % 3 owner_id, source, lang, text, n_chars word_count,
  case when doc_id % 11 = 0 then 'failed' else 'done' end status, doc_id % 29 = 0 deleted from documents),
@@ -116,3 +182,5 @@ edge as (select a.novel_id, least(a.token, b.token) source, greatest(a.token, b.
 relation as (select novel_id, source, target, weight from (select *, row_number() over (partition by novel_id order by weight desc, source, target) place from edge) where place <= 60),
 fragment as (select cast(doc_id % 40 as varchar) as name, doc_id seq, case when doc_id % 3 = 0 then '' else lang end role_, case when doc_id % 3 = 0 then '' else substr(text, 1, cast(60 + doc_id % 90 as int)) end description from documents)
 """
+#: The Chinese rows, for the queries that read them.
+SCENE_SQL = "with " + _scene_sql() + " "

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.operators import tables
 
-def tokens(docs: DataFrame, keys: list[str], text: str, pattern: str = r"\p{L}+") -> DataFrame:
-    """(keys, pos, token): runs of the pattern in the lower-cased text."""
-    return docs.select(*keys, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("pos", "token"))
+#: Entities of all scopes together that are broadcast; see `entity_pairs`.
+MOST_ENTITIES = 200_000
+#: Cells of running counts that are held at once.
+AT_ONCE = 1 << 21
 
 
 def tagged(words: DataFrame, dictionary: DataFrame, scope: list[str], word: str = "token", default: str = "x") -> DataFrame:
@@ -20,15 +27,104 @@ def tagged(words: DataFrame, dictionary: DataFrame, scope: list[str], word: str
     return words.join(named, [*scope, word], "left").withColumn("flag", F.coalesce("flag", F.lit(default)))
 
 
+def frame_counts(numbers: np.ndarray, starts: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each part (numbers from one of `starts` to the next) its distinct numbers and, of each two, how often one has the other among the `reach` before it.
+
+    The counts in the frame are differences of running counts: what has come so far less what had come `reach` earlier.
+    """
+    for i, (s, e) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        if e - s < 2:
+            continue
+        own, at = np.unique(numbers[s:e], return_inverse=True)
+        total, n, k = np.zeros((len(own), len(own)), np.int64), e - s, len(own)
+        block = max(reach, AT_ONCE // k)
+        for low in range(0, n, block):
+            first, high = max(0, low - reach), min(n, low + block)
+            come = np.zeros((high - first + 1, k), np.int32)
+            come[np.arange(1, high - first + 1), at[first:high]] = 1
+            np.cumsum(come, axis=0, out=come)
+            here = np.arange(low, high)
+            inside = come[here - first] - come[np.maximum(here - reach, 0) - first]
+            order = np.argsort(at[low:high], kind="stable")
+            mine, begin = np.unique(at[low:high][order], return_index=True)
+            total[mine] += np.add.reduceat(inside[order], begin, axis=0)
+        yield i, np.stack([np.repeat(own, k), np.tile(own, k), total.ravel()])
+
+
+def summed(scopes: list, starts: np.ndarray, numbers: np.ndarray, kinds: int, reach: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(scopes, smaller number, larger number, weight) of all parts of a batch together, summed by scope."""
+    of: dict[object, int] = {}
+    code = np.array([of.setdefault(s, len(of)) for s in scopes], np.int64)
+    keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, (a, b, w) in frame_counts(numbers, starts, reach):
+        met = (w > 0) & (a != b)
+        keys.append((code[i] * kinds + np.minimum(a, b)[met]) * kinds + np.maximum(a, b)[met])
+        weights.append(w[met])
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    weight = np.bincount(at, np.concatenate(weights), len(found)).astype(np.int64)
+    named = list(of)
+    return [named[i] for i in (found // (kinds * kinds)).tolist()], found // kinds % kinds, found % kinds, weight
+
+
 def cooccurrence(mentions: DataFrame, scope: list[str], part: str, pos: str, name: str, reach: int = 80) -> DataFrame:
-    """(scope, source, target, weight): unordered pairs of different names (or numbers of names, which are cheaper) at most `reach` mentions apart in a part.
+    """(scope, source, target, weight): unordered pairs of different names (or numbers of names) at most `reach` mentions apart in a part.
 
-    Mentions are candidates only, so that a frame holds few; no self-join is needed.
+    A part's mentions are brought together; its pairs are summed by running counts before they are sent anywhere.
+    """
+    parts = mentions.groupBy(*scope, part).agg(F.sort_array(F.collect_list(F.struct(pos, name))).alias("m")).select(*scope, F.transform("m", lambda m: m[name]).alias("m"))
+    ends = parts.select(F.col("m").alias("x")).schema["x"].dataType.elementType
+    schema = parts.select(*scope).schema.add("source", ends).add("target", ends).add("weight", "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("m")
+            named = lists.flatten().dictionary_encode()
+            # numbered in the names' order, so that the smaller name is the source
+            rank = pc.rank(named.dictionary, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+            words = named.dictionary.take(pc.array_sort_indices(named.dictionary))
+            numbers = rank[named.indices.to_numpy(zero_copy_only=False)] if len(named) else np.zeros(0, np.int64)
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            own = list(zip(*[b.column(s).to_pylist() for s in scope], strict=True))
+            scopes, low, high, weight = summed(own, starts, numbers, max(len(words), 1), reach)
+            by = [pa.array([x[i] for x in scopes], b.column(s).type) for i, s in enumerate(scope)]
+            yield pa.RecordBatch.from_arrays([*by, words.take(pa.array(low)), words.take(pa.array(high)), pa.array(weight)], names=[*scope, "source", "target", "weight"])
+
+    return parts.mapInArrow(count, schema).groupBy(*scope, "source", "target").agg(F.sum("weight").alias("weight"))
+
+
+def entity_pairs(docs: DataFrame, scope: str, doc: str, token_list: str, entities: DataFrame, reach: int = 80, most: int = MOST_ENTITIES) -> DataFrame:
+    """(scope, source, target, weight) of the entities (scope, name) of each scope: `cooccurrence` of their mentions in documents that are arrays of tokens.
+
+    A null scope has none. Up to `most` entities go to every task, which finds them among a document's tokens and sums its pairs by scope,
+    so that nothing but sums is shuffled. More are joined to the tokens.
     """
-    frame = Window.partitionBy(*scope, part).orderBy(pos).rowsBetween(-reach, -1)
-    seen = mentions.withColumn("before", F.collect_list(name).over(frame))
-    pairs = seen.select(*scope, F.col(name).alias("a"), F.explode("before").alias("b")).where("a <> b")
-    return pairs.groupBy(*scope, F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(F.count("*").alias("weight"))
+    named, rows = tables.known(entities.select(scope, "name").dropna().distinct(), most)
+    if rows is None:
+        tokens = docs.select(scope, doc, F.posexplode(token_list).alias("pos", "name"))
+        return cooccurrence(tokens.join(named, [scope, "name"]), [scope], doc, "pos", "name", reach)
+    names = sorted({r.name for r in rows})
+    number = {n: i for i, n in enumerate(names)}
+    of = {s: i for i, s in enumerate(sorted({r[scope] for r in rows}))}
+    sent = docs.sparkSession.sparkContext.broadcast((names, of, np.sort(np.array([of[r[scope]] * len(names) + number[r.name] for r in rows], np.int64))))
+    schema = docs.select(scope).schema.add("source", "string").add("target", "string").add("weight", "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, of, known = sent.value
+        listed = pa.array(names, pa.string())
+        for b in batches:
+            lists = b.column(token_list)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            scopes = b.column(scope).to_pylist()
+            key = np.array([of.get(s, -1) for s in scopes], np.int64)[row] * len(names) + code
+            place = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            met = (code >= 0) & (known[place] == key) if len(known) else np.zeros(len(code), bool)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(row[met], minlength=len(size)))])
+            found, low, high, weight = summed(scopes, starts, code[met], max(len(names), 1), reach)
+            yield pa.RecordBatch.from_arrays([pa.array(found, b.column(scope).type), listed.take(pa.array(low)), listed.take(pa.array(high)), pa.array(weight)], names=[scope, "source", "target", "weight"])
+
+    return docs.select(scope, token_list).mapInArrow(count, schema).groupBy(scope, "source", "target").agg(F.sum("weight").alias("weight"))
 
 
 def degrees(links: DataFrame, scope: list[str]) -> DataFrame:

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def known(df: DataFrame, most: int) -> tuple[DataFrame, list | None]:
+    """`df` computed once, and its rows, if there are at most `most`; else `df` as it is, and None."""
+    rows = df.limit(most + 1).collect()
+    return (df, None) if len(rows) > most else (df.sparkSession.createDataFrame(rows, df.schema), rows)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by a key, if it is read in fewer parts than there are cores, as one file of one row group is; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in `order`."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")

@@ -12,7 +12,7 @@ from fabula.fixtures import Views
 from fabula.functions import json as J
 from fabula.functions import text as T
 from fabula.functions import folds
-from fabula.operators import conversation, dashboard, graph, knn, model_calls, profiles, rules, tables
+from fabula.operators import conversation, dashboard, graph, knn, model_calls, profiles, rules, tables, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,11 +21,11 @@ ORACLES: dict[str, str] = {}
 TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, views: str = fixtures.SQL):
     def register(f: Callable[[Views], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = fixtures.SQL + sql
+            ORACLES[f.__name__] = views + sql
         return f
 
     return register
@@ -39,7 +39,7 @@ def _chunk_sql(size: int, overlap: int) -> str:
 
 
 def _chunks(v: Views, size: int, overlap: int) -> DataFrame:
-    pieces = v.document().select("doc_id", F.posexplode(T.windows(F.col("text"), size, overlap)).alias("i", "piece"))
+    pieces = v.prose().select("doc_id", F.posexplode(T.windows(F.col("text"), size, overlap)).alias("i", "piece"))
     return pieces.select("doc_id", (F.col("i") + 1).cast("long").alias("piece_no"), "piece.content")
 
 
@@ -266,14 +266,15 @@ def graph_exists(v):
 
 @query("""select c.doc_id, e.name from chapter c join entity e on c.novel_id = e.novel_id and e.type = 'character' and contains(c.content, e.name)""")
 def drama_cast(v):
-    cast = v.entity().where("type = 'character'").select("novel_id", "name")
-    return v.chapter().join(cast, "novel_id").where(F.contains("content", "name")).select("doc_id", "name")
+    """Which characters of its novel a chapter names; it is read once for all of them."""
+    return words.mentions(v.chapter(), ["doc_id"], "content", v.cast(), "novel_id").select("doc_id", "name")
 
 
 @query("""select novel_id, name, cast(sum((length(content) - length(replace(content, name, ''))) / length(name)) as bigint) appearances from (select e.novel_id, e.name, c.content from entity e join chapter c on c.novel_id = e.novel_id where e.type = 'character') group by all""")
 def appearance_count(v):
-    cast = v.entity().where("type = 'character'").select("novel_id", "name")
-    return v.chapter().join(cast, "novel_id").groupBy("novel_id", "name").agg(F.sum(T.occurrences(F.col("content"), F.col("name"))).alias("appearances"))
+    """How often a novel's chapters name each of its characters; 0 for those that they never do."""
+    n = words.mentions(v.chapter(), ["novel_id"], "content", v.cast(), "novel_id").groupBy("novel_id", "name").agg(F.sum("n").alias("n"))
+    return v.cast().join(n, ["novel_id", "name"], "left").select("novel_id", "name", F.coalesce("n", F.lit(0)).alias("appearances"))
 
 
 @query("""select 'novels' as name, count(distinct novel_id) n from document union all select 'documents', count(*) from document union all select 'turns', count(*) from conversations union all select 'vectors', count(*) from embeddings""")
@@ -585,17 +586,16 @@ def embed_batches(v):
 @query()
 def name_contexts(v):
     """What each chapter says around each character of its novel that it names."""
-    cast = v.entity().where("type = 'character'").select("novel_id", "name")
-    met = v.chapter().join(cast, "novel_id").where(F.contains(F.lower("content"), F.col("name")))
-    return met.select("doc_id", "name", F.sha2(folds.name_context(F.lower("content"), F.col("name")), 256).alias("context_sha"))
+    found = words.contexts(v.chapter().withColumn("content", F.lower("content")), ["doc_id"], "content", v.cast(), "novel_id", v.dictionary)
+    return found.select("doc_id", "name", F.sha2("context", 256).alias("context_sha"))
 
 
 @query()
 def pair_contexts(v):
     """What a chapter says where the two ends of a relation stand close together."""
     pairs = v.relation().where("weight > 60").select("novel_id", "source", "target")
-    met = v.chapter().join(pairs, "novel_id").where(F.contains(F.lower("content"), F.col("source")) & F.contains(F.lower("content"), F.col("target")))
-    return met.select("doc_id", "source", "target", F.sha2(folds.pair_context(F.lower("content"), F.col("source"), F.col("target")), 256).alias("context_sha"))
+    found = words.pair_contexts(v.chapter().withColumn("content", F.lower("content")), ["doc_id"], "content", pairs, "novel_id")
+    return found.select("doc_id", "source", "target", F.sha2("context", 256).alias("context_sha"))
 
 
 @query()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fabula.functions import json as J
 from fabula.functions import text as T
-from fabula.operators import dashboard, graph, knn, model_calls, rules, sinks, tables, writing
+from fabula.operators import dashboard, graph, knn, model_calls, rules, sinks, tables, words, writing
+from fabula.plans import reading  # noqa: F401  registers its queries
 from fabula.plans.queries import _TASKS, ORACLES, QUERIES, TRIMMED, _chunk_sql, _chunks, _knn_sql, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -110,8 +111,9 @@ _HITS = "(select c.doc_id, e.name, e.entity_no from chapter c join entity e on c
 def _dramas(v):
     """A drama for each single chapter, and the characters that it names."""
     dramas = v.chapter().select(F.col("doc_id").alias("drama_id"), "novel_id", "chapter_no", "content")
-    cast = v.entity().where("type = 'character'").select("novel_id", "name", "entity_no")
-    return dramas, dramas.join(cast, "novel_id").where(F.contains(F.lower("content"), F.col("name")))
+    numbers = v.entity().select("novel_id", "name", "entity_no")
+    hits = words.mentions(dramas.withColumn("content", F.lower("content")), ["drama_id", "novel_id"], "content", v.cast(), "novel_id")
+    return dramas, hits.join(numbers, ["novel_id", "name"])
 
 
 @query(f"""select c.doc_id drama_id, '第' || chapter_no || '-' || chapter_no || '章' title, coalesce(names, '') as names, '第 ' || chapter_no || ' 章（单章漫剧片段）' || case when n > 0 then '，出场角色 ' || n || ' 名，详见角色列表。' else '，暂未匹配到已有人物档案中的出场角色。' end summary, chapter_no = 1 has_scene
@@ -134,9 +136,9 @@ def drama_cast_ranked(v):
     """Names that the text contains, and then those that are among its tokens; each once, by its first rank."""
     dramas, _ = _dramas(v)
     cast = v.entity().where("type = 'character'").select("novel_id", "name")
-    contained = dramas.join(cast, "novel_id").where(F.contains("content", "name")).select("drama_id", "name", F.lit(1).alias("rank"))
-    words = v.token().select("novel_id", F.col("doc_id").alias("drama_id"), F.col("token").alias("name"))
-    told = words.join(cast, ["novel_id", "name"], "left_semi").select("drama_id", "name", F.lit(2).alias("rank"))
+    contained = words.mentions(dramas, ["drama_id"], "content", cast, "novel_id").select("drama_id", "name", F.lit(1).alias("rank"))
+    tokens = v.token().select("novel_id", F.col("doc_id").alias("drama_id"), F.col("token").alias("name"))
+    told = tokens.join(cast, ["novel_id", "name"], "left_semi").select("drama_id", "name", F.lit(2).alias("rank"))
     return contained.unionByName(told).groupBy("drama_id", "name").agg(F.min("rank").alias("rank"))
 
 
@@ -144,7 +146,7 @@ def drama_cast_ranked(v):
 def drama_cast_block(v):
     """What the director is told of a chapter's characters."""
     _, hits = _dramas(v)
-    line = F.concat("name", F.lit("（角色，本章出场 "), T.occurrences(F.lower("content"), F.col("name")).cast("string"), F.lit(" 次）"))
+    line = F.concat("name", F.lit("（角色，本章出场 "), F.col("n").cast("string"), F.lit(" 次）"))
     rows = hits.groupBy("drama_id").agg(F.sort_array(F.collect_list(F.struct("entity_no", line.alias("line")))).alias("ls"))
     return rows.select("drama_id", F.array_join(F.transform("ls", lambda x: x["line"]), "、").alias("cast_block"))
 
