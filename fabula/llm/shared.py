@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Where the tables of this package lie, by the DataFrame that reads them; and those that nobody has dropped yet.
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _LEFT: dict[str, SparkSession] = {}
+#: The tables that the innermost `passing` of this call has made; other threads' calls have lists of their own.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,8 @@ def stored_with_sum(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
 def _placed(df: DataFrame, place: str) -> DataFrame:
     _PLACES[df] = place
     _LEFT[place] = df.sparkSession
+    if (made := _MADE.get()) is not None:
+        made.append(place)
     return df
 
 
@@ -71,14 +76,23 @@ def _drop_place(place: str) -> None:
 
 @contextlib.contextmanager
 def passing() -> Iterator[list[DataFrame]]:
-    """Tables made inside go at the end, but for those that are put on the list: what a lazy result still reads."""
-    before, kept = set(_LEFT), []
+    """Tables made inside go at the end, but for those that are put on the list: what a lazy result still reads.
+
+    Those are the surrounding `passing`'s then, if there is one.
+    """
+    kept: list[DataFrame] = []
+    made: list[str] = []
+    before = _MADE.set(made)
     try:
         yield kept
     finally:
+        _MADE.reset(before)
         named = {_PLACES[df] for df in kept if df in _PLACES}
-        for place in set(_LEFT) - before - named:
-            _drop_place(place)
+        for place in made:
+            if place in named and (around := _MADE.get()) is not None:
+                around.append(place)
+            elif place not in named and place in _LEFT:
+                _drop_place(place)
 
 
 @atexit.register

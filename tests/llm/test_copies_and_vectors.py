@@ -96,3 +96,37 @@ def test_far_components_stay_exact_and_scans_stop_early():
     middle = rng.integers(-(10**6), 10**6, (40, 5))
     x = np.repeat(middle, 10, 0) + rng.integers(-9, 9, (400, 5))
     assert sort_means.assign(x, np.repeat(np.arange(40), 10), middle)[2] == 400  # no other centroid is looked at
+
+
+def test_a_call_drops_its_own_tables_only(spark):
+    """Also those that a nested call has kept, but none of another thread's that is still at work."""
+    import threading
+
+    from fabula.llm.shared import passing, stored
+
+    held, go, done = [], threading.Event(), threading.Event()
+
+    def other():
+        with passing() as kept:
+            held.append(stored(spark.range(3), "other"))
+            kept.append(held[0])
+            go.set()
+            done.wait(60)
+
+    with passing() as kept:
+        thread = threading.Thread(target=other)
+        thread.start()
+        go.wait(60)
+        with passing() as inner:
+            first, second, third = (stored(spark.range(n), "own") for n in (1, 2, 3))
+            inner += [second, third]
+        kept.append(third)
+    gone = []
+    for df in (first, second, third, held[0]):
+        try:
+            gone.append(df.count() < 0)
+        except Exception:
+            gone.append(True)
+    done.set()
+    thread.join()
+    assert gone == [True, True, False, False] and held[0].count() == 3
