@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fabula.functions import json as J
 from fabula.functions import text as T
 from fabula.operators import dashboard, graph, knn, model_calls, rules, sinks, tables, words, writing
-from fabula.plans import reading, search  # noqa: F401  they register their queries
+from fabula.plans import kept, reading, search  # noqa: F401  they register their queries
 from fabula.plans.queries import _TASKS, ORACLES, QUERIES, TRIMMED, _chunk_sql, _chunks, _knn_sql, query
 
 __all__ = ["ORACLES", "QUERIES"]
