@@ -149,7 +149,7 @@ class Views:
 
     def fragment(self) -> DataFrame:
         blank = F.col("doc_id") % 3 == 0
-        return self.table("documents").select((F.col("doc_id") % 40).cast("string").alias("name"), F.col("doc_id").alias("seq"), F.when(blank, "").otherwise(F.col("lang")).alias("role"), F.when(blank, "").otherwise(F.expr("substring(text, 1, cast(60 + doc_id % 90 as int))")).alias("description"))
+        return self.table("documents").select((F.col("doc_id") % 40).cast("string").alias("name"), F.col("doc_id").alias("seq"), F.when(blank, "").otherwise(F.col("lang")).alias("role"), F.when(blank, "").otherwise(F.col("text")).alias("description"))
 
 
 def _scene_sql() -> str:
@@ -180,7 +180,7 @@ entity as (select novel_id, token as name, freq, place entity_no, ['character',
 mention as (select t.*, row_number() over (partition by t.novel_id, t.doc_id order by t.pos) nth from token t join entity e on t.novel_id = e.novel_id and t.token = e.name),
 edge as (select a.novel_id, least(a.token, b.token) source, greatest(a.token, b.token) target, count(*) weight from mention a join mention b on a.novel_id = b.novel_id and a.doc_id = b.doc_id and b.nth between a.nth - 80 and a.nth - 1 and a.token <> b.token group by all),
 relation as (select novel_id, source, target, weight from (select *, row_number() over (partition by novel_id order by weight desc, source, target) place from edge) where place <= 60),
-fragment as (select cast(doc_id % 40 as varchar) as name, doc_id seq, case when doc_id % 3 = 0 then '' else lang end role_, case when doc_id % 3 = 0 then '' else substr(text, 1, cast(60 + doc_id % 90 as int)) end description from documents)
+fragment as (select cast(doc_id % 40 as varchar) as name, doc_id seq, case when doc_id % 3 = 0 then '' else lang end role_, case when doc_id % 3 = 0 then '' else text end description from documents)
 """
 #: The Chinese rows, for the queries that read them.
 SCENE_SQL = "with " + _scene_sql() + " "

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabula.streaming.keyed import KeyedTable
+
 
 def cost() -> Column:
     """The sum of costs: of decimals, so that the order of rows does not matter."""
@@ -33,6 +37,37 @@ def by_group(usage: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return usage.groupBy(*keys).agg(*aggs)
 
 
+@dataclass
+class UsageRollup:
+    """Usage summed by day, owner, configuration, kind and model, kept up to date by deltas.
+
+    A delta is a batch of usage rows, new ones, late ones, or rows that take others back (`sign` -1); it is added once,
+    however often it is sent. All figures that need sums by those columns, or by weeks, come from the rollup and read no
+    usage row. Costs are kept in millionths, as whole numbers.
+    """
+
+    spark: SparkSession
+    root: str
+
+    KEYS = ("day", "owner_id", "config_id", "task_type", "model")
+
+    @property
+    def table(self) -> KeyedTable:
+        return KeyedTable(self.spark, self.root, list(self.KEYS), "created_at", [], ["tokens_in", "tokens_out", "calls", "cost_millionths"])
+
+    def add(self, usage: DataFrame, batch: int, sign: int = 1) -> None:
+        rows = usage.withColumns({"day": F.to_date("created_at"), "calls": F.lit(sign), "cost_millionths": F.round(F.col("cost") * 1_000_000).cast("long") * sign, "tokens_in": F.col("tokens_in") * sign, "tokens_out": F.col("tokens_out") * sign})
+        self.table.write(rows, batch)
+
+    def totals(self, *keys: str | Column) -> DataFrame:
+        """(keys, tokens_in, tokens_out, calls, cost); groups of which all rows were taken back are left out."""
+        rows = self.table.read()
+        if rows is None:
+            raise ValueError("there is no batch yet")
+        sums = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tokens_in", "tokens_out", "calls", "cost_millionths")])
+        return sums.where("calls <> 0").withColumn("cost", (F.col("cost_millionths") / 1_000_000).cast("double")).drop("cost_millionths")
+
+
 def estimate(words: Column, rate: int, forced_long: Column | None = None, long_minutes: int = 10) -> tuple[Column, Column]:
     """Minutes at `rate` words a minute, at least one, and whether that is long.
 

@@ -136,6 +136,22 @@ def nodes(entities: DataFrame, links: DataFrame, scope: list[str]) -> DataFrame:
     return entities.join(degrees(links, scope), [*scope, "name"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
+def delete_entities(entities: DataFrame, relations: DataFrame, gone: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) without the entities (scope, name) that go, and without the relations that have one of them at either end."""
+    names = gone.select(scope, "name").distinct()
+    left = relations
+    for end in ("source", "target"):
+        left = left.join(names.withColumnRenamed("name", end), [scope, end], "left_anti")
+    return entities.join(names, [scope, "name"], "left_anti"), left
+
+
+def ranked(candidates: DataFrame, scope: str, most: int | None = None) -> DataFrame:
+    """Candidates (scope, name, freq, first) with `rank` from 1 in each scope: the frequent ones first, of equal ones what came first, then by name."""
+    place = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("freq"), "first", "name"))
+    out = candidates.withColumn("rank", place.cast("long"))
+    return out if most is None else out.where(F.col("rank") <= most)
+
+
 def resolve(names: DataFrame, entities: DataFrame, priority: dict[str, int]) -> DataFrame:
     """Of the entities that bear a name, the one of the hinted type, else the first type by priority, then the least id."""
     rank = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])

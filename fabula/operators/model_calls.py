@@ -7,9 +7,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.operators import tables
+
 Model = Callable[[list[str]], list[str]]
 
 
@@ -51,6 +53,32 @@ def summarise(chunks: DataFrame, key: str, order: str, text: str, model: Model =
     return alone.unionByName(call_model(several, model, "joined", "summary", [key, "parts"]))
 
 
+def reduce_by_budget(parts: DataFrame, key: str, order: str, text: str, stored: Callable[[DataFrame, str], DataFrame], model: Model = stub_summary, budget: int = 4000, size: Callable[[Column], Column] = F.length) -> DataFrame:
+    """(key, parts, rounds, summary): each part summarised, then neighbours together, as many as `budget` holds, until a key has one.
+
+    `order` is a whole number that is unique in its key. In each round running sizes are cut at multiples of the budget
+    less the largest part, so that what begins within one stretch fits one prompt; a line end between two parts counts.
+    Parts keep their order. `stored` writes each round, so that no model is asked twice. A part that takes more than half
+    of the budget, or rounds that no longer make fewer parts, raise an error: no prompt exceeds the budget.
+    """
+    total = parts.groupBy(key).agg(F.count(F.lit(1)).alias("parts"))
+    left, done, number = stored(call_model(parts, model, text, "summary", [key, order]).select(key, F.col(order).cast("long").alias("at"), "summary"), "map"), None, 0
+    while True:
+        several = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        one = left.join(several.where("n = 1").select(key), key).select(key, "summary", F.lit(number).alias("rounds"))
+        done = one if done is None else done.unionByName(one)
+        rest = left.join(several.where("n > 1").select(key), key).withColumn("size", size(F.col("summary")) + 1)
+        now = rest.agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("most")).first()
+        if not now.n:
+            return done.join(total, key).select(key, "parts", "rounds", "summary")
+        if number and now.n >= before or 2 * now.most > budget:
+            raise ValueError(f"summaries of up to {now.most} do not fit a budget of {budget} in twos")
+        before, number = now.n, number + 1
+        packed = tables.running(rest, [key], "at", F.col("size"), "begin").withColumn("at", F.floor(F.col("begin") / (budget - now.most)))
+        prompts = packed.groupBy(key, "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "summary"))), lambda x: x["summary"]), "\n").alias("prompt"))
+        left = stored(call_model(prompts, model, "prompt", "summary", [key, "at"]), f"reduce-{number}")
+
+
 def retry_loop(items: DataFrame, key: str, prompt: str, model: Callable[[int], Model], valid: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, int], DataFrame], rounds: int = 3) -> DataFrame:
     """Calls the model until `valid` (adds a boolean `ok`) passes, `rounds` times at most.
 

@@ -30,6 +30,8 @@ ERROR_CLASSES = {
 UNKNOWN_ERROR, ERROR_PREFIX = "未知错误，请稍后重试", "系统错误："
 
 #: The roles that a profile may name, and the bounds of this library's own rules.
+#: Keywords of errors that are broadcast at most; a longer list is refused.
+MOST_KEYWORDS = 10_000
 ROLES = ("主角", "配角", "反派")
 DESCRIPTION_LIMIT, SAME_DESCRIPTION = 150, 0.9
 
@@ -52,8 +54,10 @@ def user_error(errors: DataFrame, keywords: DataFrame, text: str = "error", kind
     In this order: the text of an error whose class (`kind`) is BizError; what ERROR_CLASSES says of the class; that of
     the keyword (keyword, message, priority) found in the text with least priority, or the text where that message is
     null; the text on one line, cut to `limit`, behind a prefix. All keywords go along as one broadcast list in the
-    order of priority, then of keyword; none is left out.
+    order of priority, then of keyword; none is left out, and more than MOST_KEYWORDS are refused.
     """
+    if keywords.limit(MOST_KEYWORDS + 1).count() > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords are too many to be broadcast")
     one = keywords.select(F.struct("priority", F.lower("keyword").alias("keyword"), "message").alias("k")).where("k.keyword is not null")
     known = one.agg(F.array_sort(F.collect_list("k")).alias("known_keywords"))
     found = F.get(F.filter("known_keywords", lambda k: F.contains(F.lower(text), k["keyword"])), 0)

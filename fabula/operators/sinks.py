@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions.text import safe_name
@@ -28,9 +28,22 @@ def drop_collection(spark: SparkSession, path: str, kb_id: int) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def export_csv(chunks: DataFrame, path: str) -> None:
-    """Six columns in (doc_id, idx) order, with a header."""
-    csv_rows(chunks).orderBy("doc_id", "idx").write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+#: How exports are written as CSV and read: quotes are doubled, and line ends and blanks inside fields kept.
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+
+
+def export_csv(chunks: DataFrame, path: str, by: str | None = None) -> None:
+    """Six columns in (doc_id, idx) order, with a header; of several bases (`by`) a folder each."""
+    keys = [by] if by else []
+    dealt = chunks.repartitionByRange(*keys, "doc_id", "idx").sortWithinPartitions(*keys, "doc_id", "idx")
+    out = dealt.select(*keys, *csv_rows(chunks).columns).write.mode("overwrite").options(**CSV)
+    (out.partitionBy(by) if by else out).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """What `export_csv` has written; `by` is the column of the folders, with its type."""
+    schema = "chunk_id long, doc_id long, chapter_id long, idx long, word_count long, content string" + (f", {by}" if by else "")
+    return spark.read.schema(schema).options(**CSV, multiLine="true", normalizeLineEndings="false").csv(path)
 
 
 def csv_rows(chunks: DataFrame) -> DataFrame:
@@ -45,9 +58,10 @@ def json_lines(kb: DataFrame, chunks: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     fields = F.to_json(F.struct(*kb.columns))
     opens = kb.select("kb_id", F.lit(0).alias("part"), none.alias("doc_id"), none.alias("idx"), F.concat(F.lit('{"knowledge_base":'), fields, F.lit(',"chunks":[')).alias("line"))
-    first = F.lag("idx").over(Window.partitionBy("kb_id").orderBy("doc_id", "idx")).isNull()
+    least = chunks.groupBy("kb_id").agg(F.min(F.struct("doc_id", "idx")).alias("_first"))
+    first = F.struct("doc_id", "idx") == F.col("_first")
     chunk = F.to_json(F.struct(*[c for c in chunks.columns if c != "kb_id"]))
-    rows = chunks.select("kb_id", F.lit(1).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.concat(F.when(first, "").otherwise(","), chunk).alias("line"))
+    rows = chunks.join(least, "kb_id").select("kb_id", F.lit(1).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.concat(F.when(first, "").otherwise(","), chunk).alias("line"))
     return opens.unionByName(rows).unionByName(opens.select("kb_id", F.lit(2).alias("part"), "doc_id", "idx", F.lit("]}").alias("line")))
 
 
@@ -57,6 +71,12 @@ def export_json(kb: DataFrame, chunks: DataFrame, path: str) -> None:
     lines.repartitionByRange("kb_id", "part", "doc_id", "idx").sortWithinPartitions("kb_id", "part", "doc_id", "idx").select("kb_id", "line").write.mode("overwrite").partitionBy("kb_id").text(path)
 
 
+def read_json_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(kb_id, chunk fields) of what `export_json` has written: a chunk is a line, behind a comma but for the first one."""
+    lines = spark.read.schema("value string, kb_id long").text(path).where(F.col("value").rlike("^,?[{]") & ~F.startswith("value", F.lit('{"knowledge_base":')))
+    return lines.select("kb_id", F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("c")).select("kb_id", "c.*")
+
+
 def append_audit(changes: DataFrame, path: str, action: str) -> None:
     """Adds a row for each change (owner_id, target_id) to the log; rows are never changed."""
     audit_rows(changes, action).write.mode("append").parquet(path)

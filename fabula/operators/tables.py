@@ -37,6 +37,37 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, span: int =
     return cut.join(offsets, [*keys, "_span"]).withColumn(name, (F.col("_before") + within).cast("long")).drop("_span", "_before")
 
 
+def running(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int = 100_000) -> DataFrame:
+    """`df` with the sum of `value` over the rows of its key that come before, by a whole number that is unique in it; nulls add nothing.
+
+    As in `numbered`, sums of spans come first, so that no task gets a whole key.
+    """
+    cut = df.withColumns({"_span": F.floor(F.col(order) / span), "_value": F.coalesce(value, F.lit(0))})
+    earlier = lambda by: F.coalesce(F.sum("_value").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = cut.groupBy(*keys, "_span").agg(F.sum("_value").alias("_value"))
+    offsets = spans.withColumn("_before", earlier(Window.partitionBy(*keys).orderBy("_span"))).drop("_value")
+    within = cut.withColumn("_within", earlier(Window.partitionBy(*keys, "_span").orderBy(order)))
+    return within.join(offsets, [*keys, "_span"]).withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_span", "_value", "_before", "_within")
+
+
+def seek(df: DataFrame, number: int, size: int, order: str, span: int = 100_000, largest: int = 100) -> DataFrame:
+    """Page `number` by a whole number that is unique, with `seq`, the rows' places from the first page on.
+
+    Rows are counted in spans of the order; only the spans that the page lies in are read again and sorted, however far
+    the page is. They are as many as the page has rows at most, so their bounds go into the filter.
+    """
+    number, size = max(1, number), max(1, min(size, largest))
+    first, last = (number - 1) * size, number * size
+    counts = df.where(F.col(order).isNotNull()).groupBy(F.floor(F.col(order) / span).alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = counts.withColumn("_before", before).where((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first)).orderBy("_span").collect()
+    if not met:
+        return df.limit(0).withColumn("seq", F.lit(0).cast("long"))
+    low, high = met[0]._span * span, (met[-1]._span + 1) * span
+    rows = df.where((F.col(order) >= low) & (F.col(order) < high)).orderBy(order).limit(last - met[0]._before)
+    return rows.withColumn("seq", (F.row_number().over(Window.orderBy(order)) + met[0]._before).cast("long")).where(F.col("seq") > first)
+
+
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """`delta`'s rows, and those of `base` whose keys it lacks. `delta` has one row for a key (see `latest`)."""
     return base.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
@@ -129,7 +160,12 @@ def head_tail(df: DataFrame, key: str, order: str, line: str, head: int, tail: i
     return rows.unionByName(left_out)
 
 
-def collect_capped(df: DataFrame, key: str, text: str, limit: int, *order: Column) -> DataFrame:
-    """Parts of each key until `limit` characters are reached, the last one cut; later ones are left out."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("before", before).where(F.col("before") < limit).withColumn("part", F.substring(F.col(text), F.lit(1), (F.lit(limit) - F.col("before")).cast("int")))
+def collect_capped(df: DataFrame, key: str, text: str, limit: int, order: str) -> DataFrame:
+    """Parts of each key until `limit` characters are reached, the last one cut; later ones are left out.
+
+    `order` is a whole number that is unique in its key. Only lengths are summed; the texts that are kept are joined to
+    them, at most `limit` of a key.
+    """
+    sizes = running(df.select(key, order, F.length(text).alias("_size")), [key], order, F.col("_size"), "before").where(F.col("before") < limit)
+    kept = df.join(sizes.select(key, order, "before"), [key, order])
+    return kept.withColumn("part", F.substring(F.col(text), F.lit(1), (F.lit(limit) - F.col("before")).cast("int")))

@@ -102,8 +102,11 @@ def chapter_split_synthetic(v):
 
 @query("""select novel_id, chapter_no, coalesce(lag(title) over w, '(none)') prev_title, coalesce(lead(title) over w, '(none)') next_title from chapter window w as (partition by novel_id order by chapter_no)""")
 def chapter_neighbors(v):
-    w = Window.partitionBy("novel_id").orderBy("chapter_no")
-    return v.chapter().select("novel_id", "chapter_no", F.coalesce(F.lag("title").over(w), F.lit("(none)")).alias("prev_title"), F.coalesce(F.lead("title").over(w), F.lit("(none)")).alias("next_title"))
+    """Chapters are numbered without gaps, so a neighbour is looked up by its number; no task gets a whole novel."""
+    c = v.chapter().select("novel_id", "chapter_no", "title")
+    beside = lambda step, name: c.select("novel_id", (F.col("chapter_no") - step).alias("chapter_no"), F.col("title").alias(name))
+    out = c.join(beside(-1, "prev_title"), ["novel_id", "chapter_no"], "left").join(beside(1, "next_title"), ["novel_id", "chapter_no"], "left")
+    return out.select("novel_id", "chapter_no", F.coalesce("prev_title", F.lit("(none)")).alias("prev_title"), F.coalesce("next_title", F.lit("(none)")).alias("next_title"))
 
 
 @query("""select novel_id, cast(floor((chapter_no - 1) / 3) as bigint) batch, count(*) chapters, cast(sum(word_count) as bigint) chars from chapter group by all""")
@@ -173,13 +176,13 @@ def novel_detail(v):
 
 @query("""select novel_id, doc_id, cast(least(length(content), 6000 - before_) as bigint) taken from (select *, coalesce(sum(length(content)) over (partition by novel_id order by chapter_no rows between unbounded preceding and 1 preceding), 0) before_ from chapter) where before_ < 6000""")
 def capped_collect(v):
-    return tables.collect_capped(v.chapter(), "novel_id", "content", 6000, F.col("chapter_no")).select("novel_id", "doc_id", F.length("part").cast("long").alias("taken"))
+    return tables.collect_capped(v.chapter(), "novel_id", "content", 6000, "chapter_no").select("novel_id", "doc_id", F.length("part").cast("long").alias("taken"))
 
 
 @query("""select novel_id, chapter_no, cast(coalesce(sum(word_count) over (partition by novel_id order by chapter_no rows between unbounded preceding and 1 preceding), 0) as bigint) char_start from chapter""")
 def running_offsets(v):
-    before = F.sum("word_count").over(Window.partitionBy("novel_id").orderBy("chapter_no").rowsBetween(Window.unboundedPreceding, -1))
-    return v.chapter().select("novel_id", "chapter_no", F.coalesce(before, F.lit(0)).alias("char_start"))
+    sizes = v.chapter().select("novel_id", "chapter_no", "word_count")
+    return tables.running(sizes, ["novel_id"], "chapter_no", F.col("word_count"), "char_start").drop("word_count")
 
 
 @query("""select novel_id, chapter_no place, title line from (select *, count(*) over (partition by novel_id) n from chapter) where n <= 6 or chapter_no <= 4 or chapter_no > n - 2

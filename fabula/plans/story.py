@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fabula import storage
 from fabula.functions import json as J
 from fabula.functions import text as T
 from fabula.operators import dashboard, graph, knn, model_calls, rules, sinks, tables, words, writing
@@ -197,7 +198,7 @@ def version_adopt(v):
 def novel_summary(v):
     """The model's summary of the first 6000 characters of each novel, at most 200 characters of it."""
     c = v.chapter().select("novel_id", "chapter_no", writing.marked(F.col("title"), F.col("chapter_no"), F.col("content")).alias("seg"))
-    parts = tables.collect_capped(c, "novel_id", "seg", 6000, F.col("chapter_no")).groupBy("novel_id").agg(F.sort_array(F.collect_list(F.struct("chapter_no", "part"))).alias("ps"))
+    parts = tables.collect_capped(c, "novel_id", "seg", 6000, "chapter_no").groupBy("novel_id").agg(F.sort_array(F.collect_list(F.struct("chapter_no", "part"))).alias("ps"))
     asked = parts.select("novel_id", F.array_join(F.transform("ps", lambda p: p["part"]), "\n\n").alias("text"))
     return model_calls.call_model(asked, model_calls.stub_summary, "text", "summary", ["novel_id"]).select("novel_id", F.substring("summary", 1, 200).alias("summary"))
 
@@ -259,10 +260,10 @@ def graph_extract(v):
     return graph.connect(rules.directed(raw), entities, rules.ENTITY_TYPES)
 
 
-@query("""select vec_id chunk_id, sha256(case when vec_id % 10 = 0 then 'edited ' || vec_id else substr(text, 1, 200) end) content_sha, vec_id % 10 = 0 edited, vec_id % 15 = 0 disabled from embeddings e join documents d on d.doc_id = e.vec_id""")
+@query("""select vec_id chunk_id, sha256(case when vec_id % 10 = 0 then 'edited ' || vec_id else text end) content_sha, vec_id % 10 = 0 edited, vec_id % 15 = 0 disabled from embeddings e join documents d on d.doc_id = e.vec_id""")
 def chunk_edit(v):
     """Chunks with edits applied; an edited one is embedded anew and replaces its vector."""
-    docs = v.document().select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("content"))
+    docs = v.document().select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
     e = v.table("embeddings")
     chunks = e.select("vec_id", (F.col("vec_id") % 15 == 0).alias("disabled")).join(docs, "vec_id")
     edits = chunks.where("vec_id % 10 = 0").select("vec_id", F.concat(F.lit("edited "), F.col("vec_id").cast("string")).alias("content"))
@@ -292,20 +293,13 @@ def step_sums(v):
 @query("""select id, attempts, needs_review from (select event_id id, case when event_id % 5 = 0 then 3 when event_id % 3 = 0 then 1 when event_id % 3 = 2 then 2 else 3 end attempts, event_id % 5 = 0 needs_review from events)""")
 def char_retry_loop(v):
     """Analyse, validate, and try again up to twice; what still fails is kept for review. Each round's replies are stored."""
-    import uuid
-
-    top = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.conf.get("spark.sql.warehouse.dir")
-    run = f"{top.rstrip('/')}/char-retry-{uuid.uuid4().hex}"
+    rounds = storage.Rounds(v.spark, storage.scratch(v.spark, "char-retry"))
     items = v.table("events").select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("prompt"))
 
     def model(r):
         return lambda prompts: ["bad" if int(p) % 5 == 0 or (int(p) + r) % 3 else "good" for p in prompts]
 
-    def store(df, r):
-        df.write.parquet(f"{run}/{r}")
-        return v.spark.read.schema(df.schema).parquet(f"{run}/{r}")
-
-    out = model_calls.retry_loop(items, "id", "prompt", model, lambda df: df.withColumn("ok", F.col("reply") == "good"), store)
+    out = model_calls.retry_loop(items, "id", "prompt", model, lambda df: df.withColumn("ok", F.col("reply") == "good"), rounds.stored)
     return out.select("id", "attempts", "needs_review")
 
 
@@ -452,9 +446,11 @@ def _export(v):
 
 @query(f"""select kb_id, c.doc_id * 1000 + piece_no chunk_id, c.doc_id, piece_no idx, n word_count, content_sha from ({_chunk_sql(800, 0)}) c join linked l on l.doc_id = c.doc_id""")
 def export_csv(v):
-    """The rows of a base's export as CSV."""
+    """The bases' exports as CSV files, read back."""
     _, chunks = _export(v)
-    return chunks.join(sinks.csv_rows(chunks).select("chunk_id"), "chunk_id", "left_semi").select("kb_id", "chunk_id", "doc_id", "idx", "word_count", F.sha2("content", 256).alias("content_sha"))
+    path = storage.scratch(v.spark, "export-csv")
+    sinks.export_csv(chunks, path, "kb_id")
+    return sinks.read_csv(v.spark, path, "kb_id long").select("kb_id", "chunk_id", "doc_id", "idx", "word_count", F.sha2("content", 256).alias("content_sha"))
 
 
 @query(f""", c as (select kb_id, c.doc_id, piece_no, n, row_number() over (partition by kb_id order by c.doc_id, piece_no) place from ({_chunk_sql(800, 0)}) c join linked l on l.doc_id = c.doc_id)
@@ -464,3 +460,35 @@ def export_json(v):
     """The lines of each base's export, which together are one object."""
     kb, chunks = _export(v)
     return sinks.json_lines(kb, chunks.select("kb_id", "doc_id", "idx", "word_count"))
+
+
+@query(f"""select kb_id, c.doc_id, piece_no idx, n word_count, content_sha from ({_chunk_sql(800, 0)}) c join linked l on l.doc_id = c.doc_id""")
+def export_json_files(v):
+    """The bases' exports as JSON files with the contents, read back chunk by chunk."""
+    kb, chunks = _export(v)
+    path = storage.scratch(v.spark, "export-json")
+    sinks.export_json(kb, chunks.select("kb_id", "doc_id", "idx", "word_count", "content"), path)
+    return sinks.read_json_chunks(v.spark, path, "doc_id long, idx long, word_count long, content string").select("kb_id", "doc_id", "idx", "word_count", F.sha2("content", 256).alias("content_sha"))
+
+
+_PROFILES = """(select s_name as name, ['主角', '配角', '反派', '路人'][cast(s_suppkey % 4 as int) + 1] as role_, case when s_suppkey % 9 = 0 then ' ' else 'merchant' end identity_,
+ case when s_suppkey % 11 = 0 then repeat('x', 151) when s_suppkey % 13 = 0 then '' else 'a merchant of nation ' || s_nationkey || ' who deals in goods of kind ' || (s_suppkey % 7) || ' and is not known to anybody beyond the harbour' end description from supplier)"""
+
+
+@query(f"""select a.name, case when role_ = '路人' then 'role' when trim(identity_) = '' then 'identity' when length(description) not between 1 and 150 then 'description' when d.name is not null then 'duplicate' else '' end reason from {_PROFILES} a left join
+ (with fit as (select name, role_, description, list_distinct(list_transform(range(1, length(description)), lambda i: substr(description, i, 2))) g from {_PROFILES} where role_ <> '路人' and length(description) between 1 and 150)
+ select distinct x.name from fit x join fit y on x.role_ = y.role_ and (length(y.description), y.name, y.description) < (length(x.description), x.name, x.description) and len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)) > 0.9) d on d.name = a.name""")
+def profiles_judged(v):
+    """Profiles of characters with the first rule that they break; descriptions alike count once."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("a merchant of nation "), F.col("s_nationkey").cast("string"), F.lit(" who deals in goods of kind "), (k % 7).cast("string"), F.lit(" and is not known to anybody beyond the harbour"))
+    role = F.element_at(F.array(*map(F.lit, ("主角", "配角", "反派", "路人"))), (k % 4 + 1).cast("int"))
+    p = v.table("supplier").select(F.col("s_name").alias("name"), role.alias("role"), F.when(k % 9 == 0, " ").otherwise("merchant").alias("identity"), F.when(k % 11 == 0, F.repeat(F.lit("x"), F.lit(151))).when(k % 13 == 0, "").otherwise(text).alias("description"))
+    return rules.judge_profiles(p).select("name", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("""select doc_id, seq from (select doc_id, row_number() over (order by doc_id) seq from document where owner_id = 1 and not deleted) where seq > 100 and seq <= 120""")
+def document_seek(v):
+    """The sixth page of an owner's documents, sought by counts of ranges of the id."""
+    own = tables.filtered(v.document(), owner_id=1, deleted=False).select("doc_id")
+    return tables.seek(own, 6, 20, "doc_id", span=50)

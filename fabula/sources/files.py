@@ -68,6 +68,18 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.col("word").rlike("^[\\x00-\\x7F]+$"))
 
 
+def find_dictionary(spark: SparkSession, configured: str | None, folders: list[str], name: str = "novel_dict.txt") -> str | None:
+    """Where a word list lies: the path that is configured, if there is a file, or else the first of the folders that has one."""
+    places = ([configured] if configured else []) + [f"{f.rstrip('/')}/{name}" for f in folders]
+    return next((p for p in places if table_exists(spark, p)), None)
+
+
+def found_dictionary(spark: SparkSession, configured: str | None, folders: list[str], name: str = "novel_dict.txt") -> DataFrame:
+    """`dictionary` of the list that `find_dictionary` finds; without any, no words."""
+    path = find_dictionary(spark, configured, folders, name)
+    return dictionary(spark, path) if path else spark.createDataFrame([], "word string, freq long, tag string")
+
+
 def seeded(existing: DataFrame, rows: list[tuple], keys: list[str]) -> DataFrame:
     """`existing` and those fixed rows whose keys it lacks."""
     spark = existing.sparkSession

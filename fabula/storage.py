@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LEFT: dict[str, SparkSession] = {}
 
@@ -57,6 +57,28 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+class Rounds:
+    """What the rounds of a computation have written below `root`: a run that is started again reads what is complete, and computes the rest."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def done(self) -> list[str]:
+        return names(self.spark, f"{self.root}/done")
+
+    def stored(self, df: DataFrame, name: object) -> DataFrame:
+        """`df` as it was written under that name, or as it is written now. A write that was interrupted is begun anew."""
+        path = f"{self.root}/round/{name}"
+        if str(name) not in self.done():
+            df.write.mode("overwrite").parquet(path)
+            mark(self.spark, f"{self.root}/done/{name}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self) -> None:
+        """Removes the rounds; nothing lazy may read from them any more."""
+        remove(self.spark, self.root)
+
+
 @atexit.register
 def _remove_all() -> None:
     for path, spark in _LEFT.items():

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 TERMINAL = ("success", "failed", "cancelled")
 
@@ -67,31 +68,52 @@ def retries(latest: DataFrame, asked: DataFrame) -> DataFrame:
     return latest.where("status = 'failed'").join(asked.select("task_id"), "task_id", "left_semi").select("task_id", (F.col("seq") + 1).alias("seq"), F.lit("running").alias("status"), "ts")
 
 
-def replies(pieces: DataFrame, idle: str | None = None) -> DataFrame:
-    """(conv_id, text) when a conversation's `done` piece comes: its pieces (conv_id, seq, piece, done) in order.
+class Gather(StatefulProcessor):
+    """Pieces of open conversations as a list: a batch adds what it brings, and what is there is not written again."""
 
-    Pieces of the conversations that are open are state; a conversation that is done leaves none. In a query that runs on
-    and on, `idle` (such as "30 minutes") ends conversations to which nothing is added, without a result; a query that
-    is to end by itself (availableNow) must do without, for Spark goes on as long as a timeout may come.
-    """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    def __init__(self, wait: int | None):
+        self.wait = wait
 
-    def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = dict(zip(*state.get, strict=True)) if state.exists else {}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getListState("pieces", "seq long, piece string")
+
+    def _forget(self) -> None:
+        self.pieces.clear()
+        if self.wait:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done = False
-        for f in frames:
-            kept.update(zip(f["seq"].tolist(), f["piece"].tolist(), strict=True))
+        for f in rows:
+            self.pieces.appendList(list(zip(f["seq"].tolist(), f["piece"].tolist(), strict=True)))
             done = done or bool(f["done"].any())
         if done:
-            if state.exists:
-                state.remove()
+            kept = dict(tuple(p) for p in self.pieces.get())  # of a number that comes twice the later piece counts
+            self._forget()
             yield pd.DataFrame({"conv_id": [key[0]], "text": ["".join(kept[k] for k in sorted(kept))]})
-        else:
-            state.update((list(kept), list(kept.values())))
-            if wait:
-                state.setTimeoutDuration(wait)
+        elif self.wait:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
 
-    return pieces.groupBy("conv_id").applyInPandasWithState(gather, "conv_id long, text string", "seqs array<long>, pieces array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def replies(pieces: DataFrame, idle: str | None = None) -> DataFrame:
+    """(conv_id, text) when a conversation's `done` piece comes: its pieces (conv_id, seq, piece, done) in order.
+
+    Pieces of the conversations that are open are a list in RocksDB, to which a batch only adds; a conversation that is
+    done leaves none. In a query that runs on and on, `idle` (such as "30 minutes") ends conversations to which nothing is
+    added, without a result; a query that is to end by itself (availableNow) must do without, for Spark goes on as long
+    as a timer may come. Sets the session's state store to RocksDB, which lists need.
+    """
+    pieces.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return pieces.groupBy("conv_id").transformWithStateInPandas(Gather(wait), "conv_id long, text string", "Append", "ProcessingTime" if wait else "None")

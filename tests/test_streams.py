@@ -35,6 +35,30 @@ def test_replies_come_when_done(spark, tmp_path):
     assert [tuple(r) for r in run(tasks.replies(source), "append", "replies", tmp_path).collect()] == [(1, "Hello")]
 
 
+def test_open_replies_are_kept_as_lists_over_many_batches(spark, tmp_path):
+    rng = __import__("random").Random(2)
+    sent = {c: [f"{c}-{i} " for i in range(n)] for c, n in ((1, 12), (2, 3), (3, 7))}
+    rows = [(c, i, p, c != 3 and i == len(ps) - 1) for c, ps in sent.items() for i, p in enumerate(ps)]
+    late = {c: rng.sample(range(len(ps) - 1), len(ps) - 1) for c, ps in sent.items()}  # the last piece comes last, the others in any order
+    rows = sorted(rows, key=lambda r: (late[r[0]] + [99])[r[1]] if r[1] < len(late[r[0]]) else 99)
+    for i in range(0, len(rows), 4):
+        spark.createDataFrame(rows[i : i + 4] + rows[i : i + 1][:1], "conv_id long, seq long, piece string, done boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "pieces"))
+        time.sleep(1.1)
+    source = spark.readStream.schema("conv_id long, seq long, piece string, done boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pieces"))
+    got = [tuple(r) for r in run(tasks.replies(source), "append", "many_replies", tmp_path).collect()]
+    assert sorted(got) == [(c, "".join(sent[c])) for c in (1, 2)]
+
+
+def test_the_first_dictionary_that_there_is_counts(spark, tmp_path):
+    for d, word in (("b", "乙词"), ("c", "丙词")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "novel_dict.txt").write_text(f"{word} 3 nr\n", encoding="utf-8")
+    (tmp_path / "own.txt").write_text("甲词 2 nr\n", encoding="utf-8")
+    folders = [str(tmp_path / d) for d in "abc"]
+    words = lambda configured, folders=folders: [r.word for r in files.found_dictionary(spark, configured, folders).collect()]
+    assert words(str(tmp_path / "own.txt")) == ["甲词"] and words(str(tmp_path / "none.txt")) == ["乙词"] and words(None, folders[2:]) == ["丙词"] and words(None, folders[:1]) == []
+
+
 def test_uploads_and_dictionary(spark, tmp_path):
     d = tmp_path / "up"
     d.mkdir()

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -116,3 +118,23 @@ def test_dictionaries_stay_within_their_novel(spark):
     entities = spark.createDataFrame([(1, "ann", "item", 1), (1, "ann", "character", 5), (1, "sea", "place", 2)], "novel_id long, name string, type string, id long")
     links = spark.createDataFrame([(1, "ann", "sea", "near"), (1, "ann", "sea", "near"), (1, "ann", "bob", "near")], "novel_id long, source string, target string, type string")
     assert rows(graph.connect(links, entities, ("character", "place", "item"))) == [(1, 5, 2, "near")]
+
+
+def test_running_sums_and_sought_pages_do_not_depend_on_spans(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i % 3 or None, i * 7 % 1999, rng.choice([None, 0, 5, 11])) for i in range(200)], "k long, id long, n long").withColumn("name", F.lit("x"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    want = {(r.k, r.id): r.b for r in df.where("k is not null").withColumn("b", before).collect()}
+    ids = sorted(r.id for r in df.collect())
+    for span in (1, 50, 10_000):
+        assert {(r.k, r.id): r.b for r in tables.running(df.where("k is not null"), ["k"], "id", F.col("n"), "b", span).collect()} == want
+        for page, size in ((1, 7), (5, 40), (6, 40), (29, 7), (2, 1)):
+            got = tables.seek(df, page, size, "id", span).orderBy("id").collect()
+            assert [(r.id, r.seq) for r in got] == [(x, i + 1) for i, x in enumerate(ids)][(page - 1) * size : page * size]
+    assert tables.seek(df.limit(0), 1, 5, "id").count() == 0
+
+
+def test_what_is_collected_stops_at_the_limit(spark):
+    df = spark.createDataFrame([(1, 1, "abcd"), (1, 2, None), (1, 3, "efgh"), (1, 4, "ij"), (2, 9, "xyz")], "k long, no long, t string")
+    got = {(r.k, r.no): r.part for r in tables.collect_capped(df, "k", "t", 6, "no").collect()}
+    assert got == {(1, 1): "abcd", (1, 2): None, (1, 3): "ef", (2, 9): "xyz"}
