@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.llm import ball_tree, exact_dedup, hard_negatives, sort_means
+from fabula.llm import ball_tree, exact_dedup, hard_negatives, language_id, sort_means, toxicity
 
 SAME = ["a b", "ab", " ab\n", "a\tb  ", "", None, " \r\n\x0b\x0c", " ab", "A b", "é日本", "é 日本\n", "x" * 200_000, "x " * 200_000]
 
@@ -130,3 +130,42 @@ def test_a_call_drops_its_own_tables_only(spark):
     done.set()
     thread.join()
     assert gone == [True, True, False, False] and held[0].count() == 3
+
+
+def test_every_language_of_many_is_learned(spark):
+    """More languages than a small sample gives one text each."""
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    rows = [(n * 40 + i, " ".join(rng.choice(letters[n * 9 : n * 9 + 9]) * rng.randint(1, 3) for _ in range(30)), f"l{n:03}", "s") for n in range(300) for i in range(12 if n else 400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = {r.lang: r["count"] for r in language_id.sampled(table, "doc_id", "lang", 400, 600).groupBy("lang").count().collect()}
+    assert len(counts) == 300 and min(counts.values()) >= 1 and sum(counts.values()) < 1200
+    model = language_id.fit(table, F.col("doc_id") % 3 != 1)
+    assert len(model.languages) == 300
+    got = language_id.predict(table, model).join(table.select("doc_id", "lang"), "doc_id").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert got > 0.9
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fitted_clauses_keep_their_order(spark, seed):
+    """Aimed above bare, bare above negated and reported, for every word of the lexicon; even where labelled rows hold bare words alone."""
+    rng = random.Random(seed)
+    mild = "the of and a stone river walks under green light with paper hill cloud tree path over again".split()
+    rows, labels = [], []
+    for i in range(300):
+        words = [rng.choice(mild) for _ in range(20)]
+        if i % 4 == 0:
+            words[rng.randrange(20)] = rng.choice(["dolt", "cretin", "blazzok"])
+        if seed == 2:  # every insult is reported, or may be negated
+            words.insert(0, rng.choice(["not", "said"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    grammar = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    words = [w.decode() for w in grammar.entries if not w.endswith(b"*")]
+    assert {"dolt", "cretin", "blazzok"} <= set(words)
+    for w in words:
+        texts = [f"you are such a {w}", f"the {w} was near them", f"stone and {w} and hill", f"this is not a {w}", f"someone said {w}"]
+        raw = [t.encode() for t in texts]
+        off = np.cumsum([0, *map(len, raw)])
+        direct, aimed, bare, negated, reported = grammar.score(grammar.sums(np.frombuffer(b"".join(raw), np.uint8), off)[0])
+        assert direct > aimed > bare > max(negated, reported)
