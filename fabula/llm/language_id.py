@@ -21,8 +21,8 @@ DIMENSIONS = 4096
 GRAMS = (1, 2, 3)
 #: Labelled texts of each language to fit on, as expected by a hash threshold.
 SAMPLE_PER_LANGUAGE = 400
-#: The languages that are learned: the most frequent ones of the labelled rows, so that the sample is bounded.
-MOST_LANGUAGES = 256
+#: And of all languages together, about, each 16 KB at the driver: with very many languages each gives fewer texts, and at least one.
+SAMPLE_ROWS = 16_000
 CENTROIDS = 4
 #: Texts whose vectors a task holds at once.
 ROWS_AT_ONCE = 256
@@ -81,13 +81,16 @@ def clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def sampled(rows: DataFrame, key: str, group: str, size: int, groups: int = MOST_LANGUAGES) -> DataFrame:
-    """Rows whose id's hash is below a threshold that leaves about `size` of each group (all of a smaller one), of the `groups` largest groups."""
-    totals = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
-    if not totals:
-        return rows.where(F.lit(False))
-    share = F.create_map(*[F.lit(x) for g, n in totals for x in (g, size / n)])
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col(group)), F.lit(0.0)) * (1 << 30))
+def sampled(rows: DataFrame, key: str, group: str, size: int, most: int = SAMPLE_ROWS) -> DataFrame:
+    """Rows whose id's hash is below a threshold that leaves about `size` of each group (all of a smaller one), or an equal share of `most`, if that is less.
+
+    Of every group at least the row of the least hash is in.
+    """
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(key), F.lit(1 << 30)))
+    groups = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_least"))
+    each = min(size, max(1, most // max(1, groups.count())))
+    met = hashed.join(groups, group).where((F.col("_hash") < F.lit(each / 1.0) / F.col("_n") * (1 << 30)) | (F.col("_hash") == F.col("_least")))
+    return met.select(*rows.columns)
 
 
 def sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
