@@ -163,7 +163,9 @@ def repeated_chunks(base: DataFrame) -> DataFrame:
     firsts = found.groupBy("of", "at").agg(F.max("size").alias("size")).groupBy("of").agg(F.collect_list(F.struct("at", "size")).alias("places"))
     read = base.join(firsts.withColumnRenamed("of", "doc_id"), "doc_id").select(F.col("doc_id").alias("of"), F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
     first = stored(read.select("of", F.col("p.at").alias("at"), F.substring("raw", (F.col("p.at") + 1).cast("int"), F.col("p.size").cast("int")).alias("first")).dropDuplicates(["of", "at"]), "line-firsts")
-    return found.join(first, ["of", "at"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "first")).alias("rows"))
+    # a repeat gets as many bytes as it has itself, not those of the longest one of its place
+    own = found.join(first, ["of", "at"]).select("doc_id", "start", "size", F.substring("first", F.lit(1), F.col("size").cast("int")).alias("first"))
+    return own.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "first")).alias("rows"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
