@@ -13,6 +13,18 @@ def outermost(raw: Column) -> Column:
     return F.when(F.length(found) > 0, found)
 
 
+def tolerant(raw: Column) -> Column:
+    """The JSON object or array that a reply holds, as text, and `{}` where it holds none that is whole.
+
+    Fences are left out. Looked at are all of the text, what lies between its outermost braces, and between its outermost
+    brackets; the longest of them that is JSON counts, so that neither an array of objects nor a bracket in the prose misleads.
+    """
+    bare = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), "```(?:json)?", ""))
+    found = [bare, F.regexp_extract(bare, "(?s)\\{.*\\}", 0), F.regexp_extract(bare, "(?s)\\[.*\\]", 0)]
+    whole = lambda c: F.when(c.rlike("^[{\\[]") & F.try_parse_json(c).isNotNull(), F.struct(F.length(c).alias("n"), c.alias("text")))
+    return F.coalesce(F.greatest(*map(whole, found))["text"], F.lit("{}"))
+
+
 def rescued_array(raw: Column, key: str) -> Column:
     """array<string> of the strings in `"key": [...]`, also where the object around it is broken."""
     inside = F.regexp_extract(raw, f'(?s)"{key}"\\s*:\\s*\\[(.*?)(?:\\]|$)', 1)

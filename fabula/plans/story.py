@@ -9,7 +9,7 @@ from fabula import storage
 from fabula.functions import json as J
 from fabula.functions import text as T
 from fabula.operators import dashboard, graph, knn, model_calls, rules, sinks, tables, words, writing
-from fabula.plans import kept, reading, search  # noqa: F401  they register their queries
+from fabula.plans import kept, reading, search, stores  # noqa: F401  they register their queries
 from fabula.plans.queries import _TASKS, ORACLES, QUERIES, TRIMMED, _chunk_sql, _chunks, _knn_sql, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -492,3 +492,14 @@ def document_seek(v):
     """The sixth page of an owner's documents, sought by counts of ranges of the id."""
     own = tables.filtered(v.document(), owner_id=1, deleted=False).select("doc_id")
     return tables.seek(own, 6, 20, "doc_id", span=50)
+
+
+@query("""select event_id, case event_id % 6 when 2 then 2 when 0 then 1 when 1 then 1 else 0 end n, case when event_id % 6 < 3 then cast(user_id as varchar) else '' end k from events""", "")
+def json_replies(v):
+    """What replies hold: fenced, behind prose with brackets, an array of objects, cut off, empty, and with braces in the prose."""
+    n = F.col("user_id").cast("string")
+    one = F.concat(F.lit('{"k": '), n, F.lit("}"))
+    replies = F.array(F.concat(F.lit("Here it is:\n```json\n"), one, F.lit("\n```\nDone.")), F.concat(F.lit("As in [1], the answer: "), one), F.concat(F.lit("["), one, F.lit(', {"k": 7}]')), F.concat(F.lit('{"k": '), n, F.lit(', "x": [1, 2')), F.lit(""), F.concat(F.lit("I {think} so: "), one))
+    text = J.tolerant(F.element_at(replies, (F.col("event_id") % 6 + 1).cast("int")))
+    items = v.table("events").select("event_id", J.as_list(text).alias("xs")).select("event_id", F.filter("xs", lambda x: x != "{}").alias("xs"))
+    return items.select("event_id", F.size("xs").alias("n"), F.coalesce(F.get_json_object(F.get("xs", 0), "$.k"), F.lit("")).alias("k"))

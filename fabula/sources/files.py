@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions.text import decoded
@@ -13,6 +13,15 @@ EXTENSIONS = {"txt": 50 << 20, "md": 200 << 20, "epub": 200 << 20, "pdf": 200 <<
 ATTACHMENTS = {e: 5 << 20 for e in EXTENSIONS}
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    """In lower case; empty without any."""
+    return F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is anything at a path of any store that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,7 +43,7 @@ def uploads(spark: SparkSession, path: str, limits: dict[str, int] = EXTENSIONS,
     Spark's reader passes over files of no bytes at all.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = raw.withColumns({"name": F.element_at(F.split("path", "/"), -1), "ext": F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))})
+    named = raw.withColumns({"name": base_name(F.col("path")), "ext": extension(F.col("path"))})
     most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     limit = F.try_element_at(most, F.col("ext"))
     error = F.when(limit.isNull(), "unsupported").when(F.col("length") > limit, "too large").when(F.trim(decoded(F.col("content"))) == "", "empty")
