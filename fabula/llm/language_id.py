@@ -23,6 +23,8 @@ GRAMS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 400
 #: And of all languages together, about, each 16 KB at the driver: with very many languages each gives fewer texts, and at least one.
 SAMPLE_ROWS = 16_000
+#: Groups whose sizes are broadcast; of more, rows are joined to them.
+BROADCAST_GROUPS = 100_000
 CENTROIDS = 4
 #: Texts whose vectors a task holds at once.
 ROWS_AT_ONCE = 256
@@ -88,8 +90,10 @@ def sampled(rows: DataFrame, key: str, group: str, size: int, most: int = SAMPLE
     """
     hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(key), F.lit(1 << 30)))
     groups = hashed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_least"))
-    each = min(size, max(1, most // max(1, groups.count())))
-    met = hashed.join(groups, group).where((F.col("_hash") < F.lit(each / 1.0) / F.col("_n") * (1 << 30)) | (F.col("_hash") == F.col("_least")))
+    n = groups.count()
+    each = min(size, max(1, most // max(1, n)))
+    # up to so many groups, rows are looked at where they are read
+    met = hashed.join(F.broadcast(groups) if n <= BROADCAST_GROUPS else groups, group).where((F.col("_hash") < F.lit(each / 1.0) / F.col("_n") * (1 << 30)) | (F.col("_hash") == F.col("_least")))
     return met.select(*rows.columns)
 
 
