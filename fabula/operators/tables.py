@@ -25,15 +25,15 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, name: str, span: int = 100_000) -> DataFrame:
-    """`df` with a number from 1 within each key, by a whole number that is unique in it.
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, span: int = 100_000, then: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with a number from 1 within each key, by a whole number that is unique in it, or is so with the columns `then`.
 
     A key's rows are counted in spans of the order first, so that a task sorts one span and not a whole key.
     """
     cut = df.withColumn("_span", F.floor(F.col(order) / span))
     before = F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cut.groupBy(*keys, "_span").count().withColumn("_before", before).drop("count")
-    within = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order))
+    within = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order, *then))
     return cut.join(offsets, [*keys, "_span"]).withColumn(name, (F.col("_before") + within).cast("long")).drop("_span", "_before")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.operators.tables import numbered
+
 #: Labels of styles, of a card's lines, and the defaults of a chapter's analysis.
 STYLES = {"original": "原风格", "tense": "悬疑", "warm": "温情"}
 CARD_LINES = {"gender": "性别", "identity": "身份", "personality": "性格", "appearance": "外貌", "catchphrase": "口头禅"}
@@ -34,9 +36,9 @@ def adopted(versions: DataFrame, chapters: DataFrame) -> DataFrame:
     """Versions (version_id, novel_id, title, style, content) as chapters behind the novel's last one, in the order of their ids."""
     labels = F.create_map(*[F.lit(x) for kv in STYLES.items() for x in kv])
     last = chapters.groupBy("novel_id").agg(F.max("chapter_no").alias("last"))
-    nth = F.row_number().over(Window.partitionBy("novel_id").orderBy("version_id"))
+    nth = numbered(versions.select("novel_id", "version_id"), ["novel_id"], "version_id", "nth").select("version_id", "nth")
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("续写·"), F.coalesce(F.try_element_at(labels, F.col("style")), F.col("style"))))
-    return versions.join(last, "novel_id", "left").select("version_id", "novel_id", (F.coalesce("last", F.lit(0)) + nth).cast("long").alias("chapter_no"), title.alias("title"), "content", F.length(F.trim("content")).cast("long").alias("word_count"))
+    return versions.join(nth, "version_id").join(last, "novel_id", "left").select("version_id", "novel_id", (F.coalesce("last", F.lit(0)) + F.col("nth")).cast("long").alias("chapter_no"), title.alias("title"), "content", F.length(F.trim("content")).cast("long").alias("word_count"))
 
 
 def card(fields: dict[str, Column]) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fabula import storage
@@ -254,8 +253,8 @@ def graph_extract(v):
     replies = model_calls.call_model(pieces, reads, "content", "reply", ["novel_id", "doc_id", "i"])
     items = replies.select("novel_id", "doc_id", "i", F.explode(F.from_json(J.outermost(F.col("reply")), "entities array<struct<name:string,type:string>>")["entities"]).alias("e"))
     found = items.select("novel_id", "doc_id", "i", F.trim("e.name").alias("name"), rules.entity_type(F.col("e.type")).alias("type")).where("name <> ''")
-    first = found.groupBy("novel_id", "name", "type").agg(F.min(F.struct("doc_id", "i")).alias("at"))
-    entities = first.withColumn("id", F.row_number().over(Window.partitionBy("novel_id").orderBy("at", "name")).cast("long"))
+    first = found.groupBy("novel_id", "name", "type").agg(F.min(F.struct("doc_id", "i")).alias("at")).select("novel_id", "name", "type", "at.doc_id", "at.i")
+    entities = tables.numbered(first, ["novel_id"], "doc_id", "id", then=("i", "name"))
     raw = v.relation().select("novel_id", "source", "target", F.when(F.col("weight") % 3 == 0, " ").otherwise("knows").alias("type"), F.when(F.col("weight") % 2 == 0, "B->A").otherwise("A->B").alias("direction"))
     return graph.connect(rules.directed(raw), entities, rules.ENTITY_TYPES)
 
