@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import numpy as np
-
 GAP = "\n……\n"
 #: Where a text that is too long is cut: before the last of the first of these that it holds.
 ENDS = "。！？"
@@ -54,19 +52,17 @@ def around_both(text: str, first: str, firsts: list[int], second: str, seconds:
 
     `firsts` and `seconds` are all places of the names, sorted; of the first name those count that do not overlap.
     """
-    own, free = [], 0
+    held, size, free, whole = [], 0, 0, None
     for at in firsts:
-        if at >= free:
-            own.append(at)
-            free = at + len(first)
-    start = np.maximum(np.array(own, np.int64) - before, 0)
-    stop = np.minimum(np.array(own, np.int64) + after, len(text))
-    others = np.array(seconds, np.int64)
-    nearest = np.searchsorted(others, start)
-    last = np.append(others + len(second), len(text) + 1)  # where the nearest place of the second ends; too far where there is none
-    holds = last[nearest] <= stop
-    if not holds.any():
-        return text[start[0] : stop[0]]
-    sizes = (stop - start)[holds]
-    enough = int(np.searchsorted(np.cumsum(sizes), limit)) + 1
-    return GAP.join(text[a:b] for a, b in list(zip(start[holds].tolist(), stop[holds].tolist()))[:enough])[:limit]
+        if at < free:
+            continue
+        free = at + len(first)
+        start, stop = max(0, at - before), min(len(text), at + after)
+        whole = whole or (start, stop)
+        nearest = bisect_left(seconds, start)
+        if nearest < len(seconds) and seconds[nearest] + len(second) <= stop:
+            held.append(text[start:stop])
+            size += stop - start
+            if size >= limit:
+                break
+    return GAP.join(held)[:limit] if held else text[whole[0] : whole[1]]
