@@ -1,29 +1,77 @@
-"""Nearest vectors, exactly: the queries are broadcast in blocks, and every row is read once for each block."""
+"""Nearest vectors, exactly: blocks of vectors meet blocks of queries, which are broadcast, and matrix products leave few pairs to be measured."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.vector import squared_l2
+from fabula.operators import tables
+from fabula.operators.vector_index import nearest_rows
 
-#: Queries of a block, about: so many are broadcast at once.
-QUERIES = 10_000
+#: Queries of a block, about: so many are broadcast at once. Vectors that are scored at once, and queries that they are scored for.
+QUERIES, BLOCK, ASKED = 10_000, 4096, 256
+#: Components beyond that are too large for matrix products of their squares.
+LARGE = 1e100
+
+
+def sound(v: Column) -> Column:
+    """Whether all components are numbers that matrix products are right for; null for a null vector."""
+    return (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > LARGE))
+
+
+def pack(rows: DataFrame, id_col: str, vector: str, n: int) -> DataFrame:
+    """(width, ids, vectors) of up to `n` neighbouring rows (id, array<double>) of one width."""
+
+    listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, n):
+                b = whole.slice(i, n)
+                sizes = b.column(vector).value_lengths().to_numpy(zero_copy_only=False)
+                for w in np.unique(sizes).tolist():
+                    own = b.take(pa.array(np.flatnonzero(sizes == w)))
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), listed(own.column(id_col)), listed(own.column(vector).flatten())], names=["width", "ids", "vectors"])
+
+    return rows.select(id_col, vector).mapInArrow(run, "width int, ids array<long>, vectors array<double>")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest by squared L2 of each query, itself left out; ties to the smaller id.
 
-    More than QUERIES queries are dealt by a hash of their id to blocks of about QUERIES, asked one after the other.
+    Ids are whole numbers. More than QUERIES queries are dealt by a hash of their id to blocks of about QUERIES, asked one
+    after the other. A block of vectors sends each query's k nearest of its own. Distances from or to a vector with a null or not finite
+    component are computed one by one.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q"))
+    columns = lambda df, i, v: df.select(F.col(id_col).cast("long").alias(i), F.col(vector).cast("array<double>").alias(v)).where(F.col(i).isNotNull() & F.col(v).isNotNull())
+    asked, rows = columns(queries, "query_id", "q"), columns(vectors, "vec_id", "v")
     blocks = -(-asked.count() // QUERIES) or 1
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("v"))
-    met = (F.col("vec_id") != F.col("query_id")) & (F.size("v") == F.size("q"))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    pairs = reduce(DataFrame.unionAll, [rows.join(F.broadcast(asked.where(block == i)), met) for i in range(blocks)])
-    scored = pairs.select("query_id", "vec_id", squared_l2(F.col("v"), F.col("q")).alias("distance"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                part = b.slice(i, 1)
+                ids, own = part.column("ids").flatten().to_numpy(), part.column("asked").flatten().to_numpy()
+                x, q = (part.column(c).flatten().to_numpy().reshape(len(n), -1) for c, n in (("vectors", ids), ("q", own)))
+                for j in range(0, len(own), ASKED):
+                    a, found, exact = nearest_rows(x, ids, q[j : j + ASKED], own[j : j + ASKED], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[j + a]), pa.array(found), pa.array(exact)], names=["query_id", "vec_id", "distance"])
+
+    packed = pack(tables.spread(rows.where(sound(F.col("v"))), "vec_id"), "vec_id", "v", BLOCK)
+    plain, met = asked.where(sound(F.col("q"))), (F.col("vec_id") != F.col("query_id")) & (F.size("v") == F.size("q"))
+    scored = []
+    for i in range(blocks):
+        sent = pack(plain.where(block == i), "query_id", "q", 4 * ASKED).select("width", F.col("ids").alias("asked"), F.col("vectors").alias("q"))
+        scored.append(packed.join(F.broadcast(sent), "width").select("ids", "vectors", "asked", "q").mapInArrow(score, "query_id long, vec_id long, distance double"))
+        # no pair is in both: of one, either the vector is not sound, or it is and the query is not
+        for v, q in ((rows.where(~sound(F.col("v"))), asked), (rows.where(sound(F.col("v"))), asked.where(~sound(F.col("q"))))):
+            scored.append(v.join(F.broadcast(q.where(block == i)), met).select("query_id", "vec_id", squared_l2(F.col("v"), F.col("q")).alias("distance")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionAll, scored).withColumn("rank", rank).where(F.col("rank") <= k)

@@ -40,6 +40,15 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """About `most` of `n` rows (id, ...) and no more, those of the least hashes of their ids.
+
+    Hashes too large for the sample are left out before any row is sent, and one task, not the driver, takes what is left.
+    """
+    few = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(min(1.0, 1.25 * most / max(n, 1)) * (1 << 32))
+    return rows.where(few).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 32)), "id").limit(most).repartition(1)
+
+
 def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> None:
     """Writes an index of the vectors of the most frequent length. Null vectors, null ids and those with a null component are left out.
 
@@ -52,7 +61,7 @@ def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector: str = "
         raise ValueError("there is no vector to index")
     rows = sound.where(F.size("v") == top.width)
     k = cells or max(1, min(MOST_CELLS, int(np.sqrt(top["count"]))))
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(k * SAMPLE).collect()])
+    sample = np.array([r.v for r in sampled(rows, top["count"], k * SAMPLE).collect()])
     centres = centres_of(sample, k)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +84,19 @@ def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector: str = "
     sizes.join(F.broadcast(named), "cell").coalesce(1).write.mode("overwrite").parquet(f"{root}/cells")
 
 
-def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, squared distance) of each query's k nearest, itself left out; a matrix product finds those that are then measured exactly."""
+def nearest_rows(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, squared distance) of each query's k nearest, itself left out; a matrix product finds those that are then measured exactly.
+
+    Squares are added in the components' order, as `functions.vector.squared_l2` does.
+    """
     sums = (x**2).sum(1)[None] + (q**2).sum(1)[:, None]
     near = sums - 2 * q @ x.T
     near[own[:, None] == ids[None]] = np.inf
     kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
     a, b = np.nonzero((near <= kth[:, None] + SLACK * sums) & np.isfinite(near))
-    exact = ((x[b] - q[a]) ** 2).sum(1)
+    exact = np.empty(len(a))
+    for i in range(0, len(a), BLOCK):
+        exact[i : i + BLOCK] = np.cumsum((x[b[i : i + BLOCK]] - q[a[i : i + BLOCK]]) ** 2, axis=1)[:, -1]
     order = np.lexsort((ids[b], exact, a))
     a, b, exact = a[order], b[order], exact[order]
     place = np.arange(len(a)) - np.repeat(np.append(0, np.flatnonzero(np.diff(a)) + 1), np.diff(np.append(np.append(0, np.flatnonzero(np.diff(a)) + 1), len(a)))) if len(a) else a
@@ -133,7 +147,7 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int, id_col: s
                 ids, rows = b.column("ids").slice(i, 1).flatten().to_numpy(), b.column("asked").slice(i, 1).flatten()
                 x = b.column("vectors").slice(i, 1).flatten().to_numpy().reshape(len(ids), -1)
                 own = rows.field("query_id").to_numpy()
-                a, found, exact = _nearest(x, ids, matrix(rows.field("q")), own, k)
+                a, found, exact = nearest_rows(x, ids, matrix(rows.field("q")), own, k)
                 yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(found), pa.array(exact)], names=["query_id", "vec_id", "distance"])
 
     def answers(pairs: DataFrame) -> DataFrame:

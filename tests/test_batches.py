@@ -6,7 +6,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
-from fabula.operators import words
+from fabula.operators import knn, words
 
 
 @pytest.fixture
@@ -49,3 +49,23 @@ def test_pairs_of_a_large_batch_are_sent_in_pieces(spark, held):
     pairs = spark.createDataFrame([(1, a, b) for a, b in zip(NAMES, NAMES[1:])], "novel long, source string, target string")
     mb, given = held(lambda: words.pair_contexts(stories(spark), ["doc"], "text", pairs, "novel"))
     assert sum(n for n, _ in given) == 400 * 19 and max(x for _, x in given) < 3e6 and mb < 20
+
+
+def test_nearest_meets_blocks_and_not_pairs(spark, monkeypatch, capsys):
+    rng = random.Random(8)
+    rows = [(i, [rng.randint(0, 5) / 4 for _ in range(4)]) for i in range(90)]
+    rows += [(90, None), (91, [0.5]), (92, [1.0]), (93, []), (94, []), (95, [float("nan"), 0.0, 0.0, 0.0]), (96, [float("inf"), 0.0, 0.0, 0.0]), (97, [None, 0.0, 0.0, 0.0]), (98, [1e200, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def far(x, y):  # nulls come first, nan last
+        if any(a is None or b is None for a, b in zip(x, y)):
+            return (0, 0.0)
+        d = sum((a - b) * (a - b) for a, b in zip(x, y))
+        return (1, d) if d == d else (2, 0.0)
+
+    want = [(q, n + 1, i) for q, x in rows if x is not None and (q < 40 or q > 90) for n, (_, i) in enumerate(sorted((far(x, y), i) for i, y in rows if i != q and y is not None and len(y) == len(x))[:3])]
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    got = knn.nearest(df, df.where("vec_id < 40 or vec_id >= 90"), 3)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == sorted(want)
+    got.explain()
+    assert "MapInArrow" in capsys.readouterr().out
