@@ -4,9 +4,11 @@ import random
 import tracemalloc
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from fabula.operators import knn, words
+from fabula.functions.segment import Words
+from fabula.operators import graph, knn, model_calls, text_index, vector_index, words
 
 
 @pytest.fixture
@@ -69,3 +71,56 @@ def test_nearest_meets_blocks_and_not_pairs(spark, monkeypatch, capsys):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == sorted(want)
     got.explain()
     assert "MapInArrow" in capsys.readouterr().out
+
+
+def test_a_sample_is_cut_before_it_is_sent(spark):
+    rows = spark.range(20_000).repartition(16)
+    taken = vector_index.sampled(rows, 20_000, 500)
+    assert 450 <= taken.count() <= 500 and taken.rdd.getNumPartitions() == 1
+    assert vector_index.sampled(rows, 20_000, 30_000).count() == 20_000
+    near = [r.id for r in taken.collect()]
+    assert sorted(near) == sorted(r.id for r in vector_index.sampled(rows.repartition(3), 20_000, 500).collect())
+
+
+def test_mentions_of_a_large_batch_take_no_texts_along(spark, held):
+    names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
+    mb, given = held(lambda: words.mentions(stories(spark), ["doc"], "text", names, "novel"))
+    assert sum(n for n, _ in given) == 400 * 20 and mb < 12
+
+
+def test_contexts_of_a_large_batch_are_sent_in_pieces(spark, held):
+    names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
+    mb, given = held(lambda: words.contexts(stories(spark), ["doc"], "text", names, "novel"))
+    assert sum(n for n, _ in given) == 400 * 20 and max(x for _, x in given) < 3e6 and mb < 20
+
+
+def test_words_of_a_large_batch_are_cut_in_slices(spark, held):
+    known = Words.of([("沈砚", 9.0), ("长风", 5.0), ("来了", 3.0)])
+    docs = spark.createDataFrame([(i, 1, "沈砚长风，来了。" * 400) for i in range(400)], "doc long, novel long, text string")
+    own = spark.createDataFrame([(1, "风来", None)], "novel long, word string, freq long")
+    mb, given = held(lambda: words.token_lists(docs, ["doc"], "text", known, "novel", own))
+    assert sum(n for n, _ in given) == 400 and len(given) > 2 and mb < 60
+
+
+def test_pairs_of_a_large_batch_are_summed_on_the_way(spark, held, monkeypatch):
+    monkeypatch.setattr(graph, "AT_ONCE", 1 << 13)
+    lists = words.token_lists(stories(spark), ["novel", "doc"], "text")
+    named = spark.createDataFrame([(1, n[:-1]) for n in NAMES] + [(1, w) for w in ("name", "x", "of", "the", "words", "sea")], "novel long, name string")
+    mb, given = held(lambda: graph.entity_pairs(lists, "novel", "doc", "tokens", named))
+    assert given and mb < 40
+
+
+def test_postings_of_a_large_batch_come_in_slices():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(20_000)) for _ in range(200)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["key", "text"])
+    tracemalloc.start()
+    n = sum(int(pc.sum(x.column("keys").value_lengths()).as_py()) for x in text_index._postings(iter([b])))
+    mb = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == sum(len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts) and mb < 25
+
+
+def test_a_model_gets_its_texts_in_batches_of_the_whole(spark, held):
+    mb, given = held(lambda: model_calls.embed(stories(spark), "doc", "text"))
+    assert sum(n for n, _ in given) == 400 and max(n for n, _ in given) == 32 and mb < 4
