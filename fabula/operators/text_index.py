@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fabula import storage
 from fabula.functions.segment import codes
+from fabula.functions.slices import lengths, slices
 
 PARTS = 64
 #: Grams of a pattern that are intersected: the rarest. What the others would exclude, the texts do.
@@ -50,7 +51,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, lengths(whole.column("text")))):
         found = [np.unique(grams(t)) for t in b.column("text").to_pylist()]
         gram = np.concatenate([np.zeros(0, np.int64), *found])
         key = np.repeat(b.column("key").to_numpy(), [len(g) for g in found])
