@@ -88,6 +88,12 @@ def test_mentions_of_a_large_batch_take_no_texts_along(spark, held):
     assert sum(n for n, _ in given) == 400 * 20 and mb < 12
 
 
+def test_what_mentions_hold_does_not_grow_with_the_batch(spark, held):
+    names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
+    (few, _), (many, given) = (held(lambda n=n: words.mentions(stories(spark, n), ["doc"], "text", names, "novel")) for n in (150, 600))
+    assert sum(n for n, _ in given) == 600 * 20 and many < 1.3 * few
+
+
 def test_contexts_of_a_large_batch_are_sent_in_pieces(spark, held):
     names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
     mb, given = held(lambda: words.contexts(stories(spark), ["doc"], "text", names, "novel"))
