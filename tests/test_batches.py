@@ -100,6 +100,33 @@ def test_contexts_of_a_large_batch_are_sent_in_pieces(spark, held):
     assert sum(n for n, _ in given) == 400 * 20 and max(x for _, x in given) < 3e6 and mb < 20
 
 
+def test_only_runs_that_hold_names_are_cut_for_contexts(spark, held, monkeypatch):
+    rng, letters = random.Random(5), "ab é1 ,沈砚长风来了青石城"
+    known = Words.of([("沈砚", 9.0), ("长风", 5.0), ("来了", 3.0), ("石城", 2.0), ("青石城", 4.0)])
+    names = {s: sorted({"".join(rng.choice(letters.replace(" ", "")) for _ in range(rng.choice([1, 2, 3]))) for _ in range(8)}) for s in range(80)}
+    docs = [(i, i % 80, "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40, 80])))) for i in range(800)]
+    want = set()
+    for i, s, t in docs:
+        known.add(s, [(n, None) for n in names[s]])
+        cut = known.tokens([t], s)[0]
+        want |= {(i, n, words.around(t, [at for w, at in cut if w == n], 3, 6, 30)) for n in names[s] if n in t}
+    known.own.clear()
+    seen, cut = [], Words.cut
+    monkeypatch.setattr(Words, "tokens", lambda *_: pytest.fail("whole texts are cut into words"))
+    monkeypatch.setattr(Words, "cut", lambda self, runs, scope=None: (seen.extend(runs), cut(self, runs, scope))[1])
+    listed = spark.createDataFrame([(s, n) for s in names for n in names[s]], "novel long, name string")
+    got = []
+    monkeypatch.setattr(words, "told", lambda b, keys, rows, name, context: got.extend(zip(b.column("doc").take(pa.array(rows, pa.int64())).to_pylist(), name.to_pylist(), context.to_pylist())) or b)
+    held(lambda: words.contexts(spark.createDataFrame(docs, "doc long, novel long, text string"), ["doc"], "text", listed, "novel", known, 3, 6, 30))
+    assert set(got) == want and len(got) == len(want) and seen and len(known.own) <= words.REMEMBERED
+
+
+def test_what_contexts_hold_does_not_grow_with_the_batch(spark, held):
+    names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
+    (few, _), (many, given) = (held(lambda n=n: words.contexts(stories(spark, n), ["doc"], "text", names, "novel")) for n in (150, 600))
+    assert sum(n for n, _ in given) == 600 * 20 and many < 1.3 * few
+
+
 def test_words_of_a_large_batch_are_cut_in_slices(spark, held):
     known = Words.of([("沈砚", 9.0), ("长风", 5.0), ("来了", 3.0)])
     docs = spark.createDataFrame([(i, 1, "沈砚长风，来了。" * 400) for i in range(400)], "doc long, novel long, text string")
