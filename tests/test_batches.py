@@ -9,6 +9,7 @@ import pytest
 
 from fabula.functions.segment import Words
 from fabula.operators import graph, knn, model_calls, text_index, vector_index, words
+from fabula.plans.story import QUERIES
 
 
 @pytest.fixture
@@ -94,6 +95,23 @@ def test_what_mentions_hold_does_not_grow_with_the_batch(spark, held):
     assert sum(n for n, _ in given) == 600 * 20 and many < 1.3 * few
 
 
+@pytest.mark.parametrize("query", ["drama_cast_block", "drama_cast", "drama_cast_ranked", "appearance_count", "drama_detail"])
+def test_queries_on_casts_hold_a_slice_of_the_chapters(spark, held, monkeypatch, tmp_path, query):
+    rng, letters = random.Random(5), ["harbor", "marsh", "tower", "mill", "river", "stone", "garden", "bridge", *["sunlight", "of"] * 16]
+
+    def of(n):
+        rows = [(i, " ".join(rng.choice(letters) for _ in range(2200)), "en", "src1", 0) for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        asked, mentions = [], words.mentions
+        with monkeypatch.context() as m:
+            m.setattr(words, "mentions", lambda *a: (asked.append(a), mentions(*a))[1])
+            QUERIES[query](spark, f"{tmp_path}/{n}")
+        return held(lambda: mentions(*asked[-1]))
+
+    (few, _), (many, given) = of(150), of(600)
+    assert sum(n for n, _ in given) == 600 * 2 and many < 1.3 * few
+
+
 def test_contexts_of_a_large_batch_are_sent_in_pieces(spark, held):
     names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
     mb, given = held(lambda: words.contexts(stories(spark), ["doc"], "text", names, "novel"))
