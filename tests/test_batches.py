@@ -145,6 +145,20 @@ def test_what_contexts_hold_does_not_grow_with_the_batch(spark, held):
     assert sum(n for n, _ in given) == 600 * 20 and many < 1.3 * few
 
 
+def test_the_query_on_scenes_holds_a_slice_of_them(spark, held, monkeypatch, tmp_path):
+    def of(n):
+        rows = [(i, i * 7 % 11, ["view", "click", "purchase", "signup", "error"][i * 13 % 17 % 5]) for i in range(64 * n)]
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/{n}/events.parquet")
+        asked, contexts = [], words.contexts
+        with monkeypatch.context() as m:
+            m.setattr(words, "contexts", lambda *a: (asked.append(a), contexts(*a))[1])
+            QUERIES["scene_contexts"](spark, f"{tmp_path}/{n}")
+        return held(lambda: contexts(*asked[-1]))
+
+    (few, least), (many, given) = of(1500), of(4500)
+    assert sum(n for n, _ in given) > 2.9 * sum(n for n, _ in least) > 0 and many < 1.3 * few
+
+
 def test_words_of_a_large_batch_are_cut_in_slices(spark, held):
     known = Words.of([("沈砚", 9.0), ("长风", 5.0), ("来了", 3.0)])
     docs = spark.createDataFrame([(i, 1, "沈砚长风，来了。" * 400) for i in range(400)], "doc long, novel long, text string")
