@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -80,3 +81,17 @@ def test_many_chapters_in_one_text(spark):
     got = one(spark, T.split_chapters(F.col("t")), t="before\n" + body)
     text = "before\n" + body
     assert len(got) == 1500 and all(c.content == f"line {i}" and text[c.char_start : c.char_end].strip() == c.content for i, c in enumerate(got))
+
+
+def test_chapter_chunks_are_counted_as_in_the_sql(spark, tmp_path):
+    from fabula.plans.queries import ORACLES, QUERIES
+
+    texts = [None, "", " \t\r\n\f", " " * 2000, "a", "a" * 1500 + "  ", "a" * 1501, "a" * 1500 + " " * 1500 + "b", "a" * 1500 + "\xa0", "a" * 1500 + "\x0b", "　", "\x1c" * 1501, "a" * 1499 + "  ", "山🦆" * 800, "a" * 3000]
+    rows = [(i, t, "src1") for i, t in enumerate(texts)] + [(4, "a", "src1"), (4, "b" * 4000, "src2"), (None, "a", "src1"), (77, "a", None)]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, source varchar, lang varchar, n_chars bigint)")
+    c.executemany("insert into documents values (?, ?, ?, 'en', 1)", rows)
+    c.execute(f"copy documents to '{tmp_path}/documents.parquet'")
+    want = c.sql(f"select doc_id, n_chunks from ({ORACLES['chunk_chapter_mode']})").fetchall()
+    got = QUERIES["chunk_chapter_mode"](spark, str(tmp_path)).select("doc_id", "n_chunks").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
