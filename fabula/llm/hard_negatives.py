@@ -97,7 +97,8 @@ def answered(trees: DataFrame, queries: DataFrame, k: int, same_label: bool, blo
             yield answers(*p)
 
     best = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "vec_id"))
-    return trees.join(everywhere, "slot").drop("slot").mapInArrow(meet, ANSWERS).withColumn("rank", best).where(F.col("rank") <= k)
+    # Spark sizes the copies as one of them, so it would broadcast them all through the driver
+    return trees.join(everywhere.hint("merge"), "slot").drop("slot").mapInArrow(meet, ANSWERS).withColumn("rank", best).where(F.col("rank") <= k)
 
 
 def mine(
@@ -132,8 +133,8 @@ def mine(
         pairs = stored(near, "positives")
         # the least and the greatest whole score of the window
         least, most = f"(positive_score * {low} + pmod(positive_score * -{low}, 100)) div 100", f"(positive_score * {high} - pmod(positive_score * {high}, 100)) div 100"
-        windows = pairs.join(anchors, "anchor_id").select("anchor_id", "positive_id", "label", F.expr(least).alias("low"), F.expr(most).alias("high"), "vec").where("low <= high")
+        windows = pairs.join(anchors.hint("merge"), "anchor_id").select("anchor_id", "positive_id", "label", F.expr(least).alias("low"), F.expr(most).alias("high"), "vec").where("low <= high")
         found = answered(trees, windows, negatives, False, block)
-        result = stored(found.join(pairs, ["anchor_id", "positive_id"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
+        result = stored(found.join(pairs.hint("merge"), ["anchor_id", "positive_id"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
         kept.append(result)
     return result

@@ -54,6 +54,22 @@ def test_hard_negatives_equal_a_plain_search(spark, tree_rows, block):
     assert hard_negatives.mine(few, F.col("vec_id") > 9, F.col("label")).count() == 0
 
 
+def test_hard_negatives_broadcast_no_copies(spark, monkeypatch, capsys):
+    seen = []
+
+    def stored(df, tag):
+        df.explain()
+        seen.append(tag)
+        return hard_negatives_stored(df, tag)
+
+    hard_negatives_stored = hard_negatives.stored
+    monkeypatch.setattr(hard_negatives, "stored", stored)
+    rows = odd_vectors(60, 4, random.Random(6))
+    assert hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0, F.col("label")).count()
+    plans = capsys.readouterr().out
+    assert seen == ["labelled", "trees", "positives", "negatives"] and "SortMergeJoin" in plans and "Broadcast" not in plans
+
+
 @pytest.mark.parametrize("n, width, spread, labels", [(500, 8, 20, 3), (900, 3, 5, 1), (600, 4, 2, 50), (100, 4, 2**26, 2), (60, 4, 2**29, 2), (1, 3, 4, 1), (70, 2, 0, 2)])
 def test_a_tree_finds_what_a_scan_finds(n, width, spread, labels):
     rng = np.random.default_rng(n)
