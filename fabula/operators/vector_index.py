@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Cells of an index at most, vectors that centres are fitted on for each cell, vectors of a block and queries of one, about.
 MOST_CELLS, SAMPLE, BLOCK, ASKED = 4096, 32, 4096, 1024
+#: Pairs of a query and a cell that a task holds at once, about.
+PAIRS = 32_768
 #: By how much a bound gives way for rounding, as a share of what it is made of.
 SLACK = 1e-9
 
@@ -32,7 +34,8 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """k-means on a sample whose first rows are the first centres."""
     c = np.unique(sample[:k], axis=0)
     for _ in range(rounds):
-        own = ((sample**2).sum(1)[:, None] - 2 * sample @ c.T + (c**2).sum(1)).argmin(1)
+        parts = (sample[i : i + ASKED] for i in range(0, len(sample), ASKED))
+        own = np.concatenate([((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1) for x in parts])
         n = np.bincount(own, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, own, sample)
@@ -61,8 +64,8 @@ def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector: str = "
         raise ValueError("there is no vector to index")
     rows = sound.where(F.size("v") == top.width)
     k = cells or max(1, min(MOST_CELLS, int(np.sqrt(top["count"]))))
-    sample = np.array([r.v for r in sampled(rows, top["count"], k * SAMPLE).collect()])
-    centres = centres_of(sample, k)
+    sample = sampled(rows, top["count"], k * SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    centres = centres_of(matrix(sample), k)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,9 +78,10 @@ def build(vectors: DataFrame, root: str, id_col: str = "vec_id", vector: str = "
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell), pa.array(far)], names=["id", "v", "cell", "far"])
 
     dealt = rows.mapInArrow(deal, "id long, v array<double>, cell int, far double")
-    # a cell's vectors go to as many blocks as hold the whole table, so that no cell is gathered in one
-    blocks = -(-top["count"] // BLOCK)
-    packed = dealt.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vectors"), F.max("far").alias("far"))
+    # a large cell's vectors go to several blocks, so that no cell is gathered in one
+    counts = {r.cell: r["count"] for r in dealt.groupBy("cell").count().collect()}  # MOST_CELLS rows at most
+    blocks = F.array(*[F.lit(-(-counts.get(i, 1) // BLOCK)) for i in range(len(centres))])
+    packed = dealt.groupBy("cell", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("cell"))).alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vectors"), F.max("far").alias("far"))
     packed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/blocks")
     sizes = spark.read.parquet(f"{root}/blocks").groupBy("cell").agg(F.max("far").alias("radius"), F.sum(F.size("ids")).alias("n"))
     named = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
@@ -119,12 +123,15 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int, id_col: s
         far = np.sqrt(np.maximum(sums - 2 * q @ centre.T - SLACK * sums, 0))
         return np.maximum(far - radius * (1 + SLACK), 0)
 
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """So few queries at once that they can have PAIRS pairs with cells, about."""
+        n = max(1, PAIRS // len(cell))
+        return (b.slice(i, n) for b in batches for i in range(0, b.num_rows, n))
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The most promising cells, until they hold k others."""
-        for b in batches:
+        for b in few(batches):
             q = matrix(b.column("q"))
-            if not len(q):
-                continue
             order = np.argsort(bounds(q), axis=1, kind="stable")
             enough = np.minimum((np.cumsum(n[order], axis=1) < k + 1).sum(1) + 1, len(cell))
             row = np.repeat(np.arange(len(q)), enough)
@@ -133,10 +140,8 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int, id_col: s
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All cells that can hold a vector as near as the k-th that is known."""
-        for b in batches:
+        for b in few(batches):
             q = matrix(b.column("q"))
-            if not len(q):
-                continue
             kth = b.column("kth").to_numpy(zero_copy_only=False)
             row, at = np.nonzero(bounds(q) <= (np.sqrt(kth) * (1 + SLACK))[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(cell[at].astype(np.int32)), b.column("query_id").take(pa.array(row)), b.column("q").take(pa.array(row))], names=["cell", "query_id", "q"])
@@ -156,12 +161,13 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int, id_col: s
         read = [r.cell for r in pairs.select("cell").distinct().collect()]  # MOST_CELLS at most: only their folders are listed
         blocks = spark.read.parquet(f"{root}/blocks").where(F.col("cell").isin(read)).select("cell", "ids", "vectors")
         best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-        return blocks.join(packed.select("cell", "asked"), "cell").mapInArrow(score, "query_id long, vec_id long, distance double").withColumn("rank", best).where(F.col("rank") <= k)
+        # Spark sizes the pairs as the queries alone, so it would broadcast them all through the driver
+        return blocks.join(packed.select("cell", "asked").hint("merge"), "cell").mapInArrow(score, "query_id long, vec_id long, distance double").withColumn("rank", best).where(F.col("rank") <= k)
 
     pair = "cell int, query_id long, q array<double>"
     near = answers(asked.mapInArrow(first, pair)).groupBy("query_id").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n"))
     # of fewer than k others in all cells, the farthest is no bound
     limits = asked.join(near, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("inf"))).alias("kth"))
-    pairs = limits.mapInArrow(within, pair)
+    pairs = limits.repartition(2 * spark.sparkContext.defaultParallelism, "query_id").mapInArrow(within, pair)
     cells = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("cells"))
     return answers(pairs).join(cells, "query_id").select("query_id", "vec_id", "distance", "rank", "cells")

@@ -3,9 +3,11 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from fabula.functions.segment import Words
 from fabula.operators import graph, knn, model_calls, text_index, vector_index, words
@@ -83,6 +85,25 @@ def test_a_sample_is_cut_before_it_is_sent(spark):
     assert sorted(near) == sorted(r.id for r in vector_index.sampled(rows.repartition(3), 20_000, 500).collect())
 
 
+def test_cells_are_met_without_a_broadcast_of_pairs(spark, monkeypatch, tmp_path, capsys):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (600, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_index, "BLOCK", 64)
+    monkeypatch.setattr(vector_index, "ASKED", 16)
+    monkeypatch.setattr(vector_index, "PAIRS", 40, raising=False)
+    vector_index.build(df, str(tmp_path), cells=12)
+    blocks = spark.read.parquet(f"{tmp_path}/blocks").groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("rows")).collect()
+    assert sum(r.rows for r in blocks) == 600 and all(r.n <= -(-r.rows // 64) for r in blocks)
+    got = vector_index.search(spark, str(tmp_path), df.where("vec_id % 3 = 0"), 3)
+    far = ((x[::3, None] - x[None]) ** 2).sum(2)
+    want = [(3 * q, int(v)) for q, d in enumerate(far) for v in np.argsort(np.where(np.arange(600) == 3 * q, np.inf, d))[:3]]
+    assert sorted((r.query_id, r.vec_id) for r in got.collect()) == sorted(want)
+    got.explain()
+    joins = [x for x in capsys.readouterr().out.split("\n") if "Join" in x and "cell#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_mentions_of_a_large_batch_take_no_texts_along(spark, held):
     names = spark.createDataFrame([(1, n) for n in NAMES], "novel long, name string")
     mb, given = held(lambda: words.mentions(stories(spark), ["doc"], "text", names, "novel"))
