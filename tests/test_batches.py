@@ -76,6 +76,27 @@ def test_nearest_meets_blocks_and_not_pairs(spark, monkeypatch, capsys):
     assert "MapInArrow" in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("block, held, k", [(4096, 5_000_000, 3), (16, 60, 3), (16, 60, 1), (2, 9, 30)])
+def test_many_queries_meet_all_vectors_in_parts(spark, monkeypatch, capsys, block, held, k):
+    rng = random.Random(8)
+    hot = [0.25, 0.5, 0.0, 1.0]
+    rows = [(i, [rng.randint(0, 5) / 4 for _ in range(4)] if i % 3 else hot) for i in range(90)] + [(5, hot), (6, hot), (6, hot)]
+    rows += [(90, None), (91, [0.5]), (92, [1.0]), (93, []), (94, []), (95, [float("nan"), 0.0, 0.0, 0.0]), (96, [float("inf"), 0.0, 0.0, 0.0]), (97, [None, 0.0, 0.0, 0.0]), (98, [1e200, 0.0, 0.0, 0.0]), (99, [float("nan")] * 4), (None, hot)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = sorted(map(repr, knn.nearest(df, df, k).collect()))
+    for name, n in (("QUERIES", 5), ("BLOCK", block), ("ASKED", 8), ("HELD", held)):
+        monkeypatch.setattr(knn, name, n)
+    got = knn.nearest(df, df, k)
+    assert sorted(map(repr, got.collect())) == few
+    got.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_every_vector_is_a_query(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert QUERIES["vec_knn_all"](spark, "/root/testdata/sf0.001").count() == 3 * e.count()
+
+
 def test_a_sample_is_cut_before_it_is_sent(spark):
     rows = spark.range(20_000).repartition(16)
     taken = vector_index.sampled(rows, 20_000, 500)
